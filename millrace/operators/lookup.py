@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import stage
+from millrace.session import Facts, stage_facts
 
 BROADCAST_ROWS = 200_000
 HOT_KEYS = 1_000
@@ -22,12 +22,11 @@ SALTS = 256
 
 def lookup(
     left: DataFrame,
-    right: DataFrame,
+    right: DataFrame | Facts,
     on: Sequence[tuple[Column, str]],
     facts: Sequence[str],
     weight: str | None = None,
     spread: Column | None = None,
-    staged: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add ``facts`` of the matching right row to every left row (null where none).
@@ -37,8 +36,9 @@ def lookup(
     left. ``spread`` is a left expression that salts hot rows.
     """
     keys = [name for _, name in on]
-    fixed = right if staged else stage(right.select(*keys, *facts, *([weight] if weight else [])), "lookup")
-    size = fixed.count()
+    if not isinstance(right, Facts):
+        right = stage_facts(right.select(*keys, *facts, *([weight] if weight else [])), "lookup")
+    fixed, size = right.df, right.rows
     types = {f.name: f.dataType for f in fixed.schema.fields}
     if size == 0:
         return left.withColumns({f: F.lit(None).cast(types[f]) for f in facts})

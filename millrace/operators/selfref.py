@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.lookup import lookup
-from millrace.session import stage
+from millrace.session import Facts, stage, stage_facts
 
 
-def accept_in_order(links: DataFrame, refs: Sequence[int]) -> dict[int, tuple[DataFrame, int | None]]:
+def accept_in_order(links: DataFrame, refs: Sequence[int]) -> dict[int, tuple[Facts, int | None]]:
     """Fixpoint over ``row_idx, key<i>, ref<i>`` (trimmed text, null when empty).
 
     Returns per reference ``i`` the facts that decide any row: a staged table
@@ -62,7 +62,7 @@ def accept_in_order(links: DataFrame, refs: Sequence[int]) -> dict[int, tuple[Da
         accepted.append(fresh)
     total = reduce(DataFrame.unionByName, accepted)
     return {
-        i: (stage(_starts(total, i).join(demand[i], "key"), "selfref-starts"), first[i]) for i in refs
+        i: (stage_facts(_starts(total, i).join(demand[i], "key"), "selfref-starts"), first[i]) for i in refs
     }
 
 

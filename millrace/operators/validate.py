@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from millrace.functions.text import is_empty, strip
 from millrace.operators.lookup import lookup
 from millrace.operators.selfref import accept_in_order
-from millrace.session import stage
+from millrace.session import Facts, stage, stage_facts
 from millrace.target import Fill, ForeignKey, Table, load_order
 
 ROW = "row_idx"
@@ -53,9 +53,9 @@ class TableCheck:
     table: Table
     source: DataFrame  # row_idx + mapped target columns as text
     tuples: DataFrame  # distinct tuples: columns, first row_idx, copies
-    conflicts: DataFrame | None
-    orphans: dict[int, DataFrame]
-    self_facts: dict[int, tuple[DataFrame, int | None]] = field(default_factory=dict)
+    conflicts: Facts | None
+    orphans: dict[int, Facts]
+    self_facts: dict[int, tuple[Facts, int | None]] = field(default_factory=dict)
 
     @property
     def mapped(self) -> list[str]:
@@ -65,19 +65,19 @@ class TableCheck:
     def _with_facts(self, df: DataFrame) -> DataFrame:
         if self.conflicts is not None:
             on = [(e, f"pk{i}") for i, e in enumerate(self._key_parts())]
-            df = lookup(df, self.conflicts, on, ["variants"], "copies", F.col(ROW), staged=True)
+            df = lookup(df, self.conflicts, on, ["variants"], "copies", F.col(ROW))
         else:
             df = df.withColumn("variants", F.lit(None).cast("long"))
         for i, facts in self.orphans.items():
             fk = self.table.foreign_keys[i]
             df = lookup(
-                df, facts.withColumnRenamed("orphan", f"orphan{i}"),
+                df, facts.renamed("orphan", f"orphan{i}"),
                 [(strip(F.col(self._target(fk.column))), "fk_value")],
-                [f"orphan{i}"], "copies", F.col(ROW), staged=True,
+                [f"orphan{i}"], "copies", F.col(ROW),
             )
         for i, (starts, first) in self.self_facts.items():
             ref = self._ref(i)
-            df = lookup(df, starts, [(ref, "key")], ["since"], "copies", F.col(ROW), staged=True)
+            df = lookup(df, starts, [(ref, "key")], ["since"], "copies", F.col(ROW))
             late = F.lit(False) if first is None else F.col(ROW) > F.lit(first)
             missing = ref.isNotNull() & late & ~F.coalesce(F.col("since") < F.col(ROW), F.lit(False))
             df = df.withColumn(f"orphan{i}", F.when(missing, F.lit(True))).drop("since")
@@ -174,7 +174,8 @@ class TableCheck:
             )
         parts = self._key_parts()
         on = [(e, f"pk{i}") for i, e in enumerate(parts)]
-        rows = lookup(self.source, self.conflicts, on, ["first_row", "first_tuple"], "copies", F.col(ROW), staged=True)
+        facts = Facts(first_tuples(self.conflicts.df, self.tuples, self.mapped), self.conflicts.rows)
+        rows = lookup(self.source, facts, on, ["first_row", "first_tuple"], "copies", F.col(ROW))
         same = reduce(
             lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"first_tuple.c{i}")) for i, c in enumerate(self.mapped)]
         )
@@ -228,7 +229,7 @@ class TableCheck:
         else:
             base = self._with_facts(self.tuples)
             kept = None
-        n_conflicts = 0 if self.conflicts is None else self.conflicts.count()
+        n_conflicts = 0 if self.conflicts is None else self.conflicts.rows
         aggs = [
             F.coalesce(F.sum("copies"), F.lit(0)).alias("source_rows"),
             F.coalesce(F.sum(F.when(~self._failed(), F.lit(1))), F.lit(0)).cast("long").alias("valid_rows"),
@@ -278,18 +279,22 @@ def project(staged: DataFrame, table: Table, fill: Fill) -> DataFrame:
     return staged.select(F.col(ROW), *picked)
 
 
-def find_conflicts(tuples: DataFrame, key_parts: list[Column], mapped: list[str]) -> DataFrame:
+def find_conflicts(tuples: DataFrame, key_parts: list[Column]) -> DataFrame:
     """V5: keys (trimmed) held by more than one distinct tuple (untrimmed)."""
     names = [f"pk{i}" for i in range(len(key_parts))]
     keyed = tuples.select(*[e.alias(n) for n, e in zip(names, key_parts)], ROW, "copies").where(F.col("pk0").isNotNull())
     found = keyed.groupBy(*names).agg(
         F.count(F.lit(1)).alias("variants"), F.sum("copies").alias("copies"), F.min(ROW).alias("first_row")
     )
-    found = found.where(F.col("variants") > 1)
+    return found.where(F.col("variants") > 1)
+
+
+def first_tuples(conflicts: DataFrame, tuples: DataFrame, mapped: list[str]) -> DataFrame:
+    """The values of each conflicting key's first row; row_idx is unique, so this spreads evenly."""
     firsts = tuples.select(
         F.col(ROW).alias("__row"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(mapped)]).alias("first_tuple")
     )
-    return found.join(firsts, F.col("first_row") == F.col("__row")).drop("__row")
+    return conflicts.join(firsts, F.col("first_row") == F.col("__row")).drop("__row")
 
 
 def parent_values(valid: DataFrame, column: str) -> DataFrame:
@@ -305,6 +310,14 @@ def find_orphans(tuples: DataFrame, column: str, parents: DataFrame) -> DataFram
     return wanted.join(parents, "fk_value", "left_anti").withColumn("orphan", F.lit(True))
 
 
+def _never_empty(parent: TableCheck, column: str, invalid: dict[str, str]) -> bool:
+    """A required column of a table with accepted rows always holds values."""
+    if parent.table.name in invalid:
+        return False
+    required = {name.lower() for name, _ in parent._null_failures()}
+    return column.lower() in required
+
+
 @dataclass
 class Validation:
     order: list[Table]
@@ -388,7 +401,7 @@ def validate(
         check = TableCheck(table, source, tuples, None, {})
         mapped = {c.lower() for c in check.mapped}
         if table.primary_key and all(k.lower() in mapped for k in table.primary_key):
-            check.conflicts = stage(find_conflicts(tuples, check._key_parts(), check.mapped), f"conflicts-{table.key}")
+            check.conflicts = stage_facts(find_conflicts(tuples, check._key_parts()), f"conflicts-{table.key}")
 
         for i, fk in enumerate(table.foreign_keys):
             parent = checks.get(fk.parent_table.lower())
@@ -397,12 +410,10 @@ def validate(
             if fk.parent_column.lower() not in {c.lower() for c in parent.mapped}:
                 continue
             values = parent_values(parent.valid, parent._target(fk.parent_column))
-            if open_world:
-                values = stage(values, f"parents-{table.key}")
-                if values.isEmpty():
-                    continue
+            if open_world and not _never_empty(parent, fk.parent_column, invalid) and values.isEmpty():
+                continue
             orphans = find_orphans(tuples, check._target(fk.column), values)
-            check.orphans[i] = stage(orphans, f"orphans-{table.key}")
+            check.orphans[i] = stage_facts(orphans, f"orphans-{table.key}")
 
         own = [
             i for i, fk in enumerate(table.foreign_keys)

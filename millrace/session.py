@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -60,3 +62,20 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@dataclass(frozen=True)
+class Facts:
+    """A staged table and its row count, taken while it was written."""
+
+    df: DataFrame
+    rows: int
+
+    def renamed(self, old: str, new: str) -> Facts:
+        return Facts(self.df.withColumnRenamed(old, new), self.rows)
+
+
+def stage_facts(df: DataFrame, label: str = "facts") -> Facts:
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return Facts(staged, seen.get["n"])

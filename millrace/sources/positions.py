@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators.lookup import lookup
-from millrace.session import stage
+from millrace.session import stage_facts
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -49,7 +49,7 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
     blocks = rows.groupBy("source", "__block").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("n"))
     # A file's blocks are its size over the split size, far below one window's reach.
     before = F.sum("n").over(W.partitionBy("source").orderBy("__block").rowsBetween(W.unboundedPreceding, -1))
-    facts = stage(
+    facts = stage_facts(
         blocks.select(
             F.col("source").alias("file"), F.col("__block").alias("block"), "n",
             (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"),
@@ -57,5 +57,5 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
         "blocks",
     )
     on = [(F.col("source"), "file"), (F.col("__block"), "block")]
-    placed = lookup(rows, facts, on, ["shift"], "n", F.col("__id"), staged=True)
+    placed = lookup(rows, facts, on, ["shift"], "n", F.col("__id"))
     return placed.select("source", (F.col("__id") + F.col("shift") + 1).alias("line_no"), "line")

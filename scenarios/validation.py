@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.validate import Validation, validate
+from millrace.session import stage
 from millrace.target import Column, Fill, ForeignKey, Table, fill
 from scenarios.base import positioned, query, table
 
@@ -111,7 +112,7 @@ li_flag AS (
 
 
 def sales(spark: SparkSession, sf_dir: str) -> Validation:
-    return validate(sales_sheet(spark, sf_dir), [LINEITEM, ORDERS, CUSTOMER, SHIPMENT], fill(MAPPINGS))
+    return validate(stage(sales_sheet(spark, sf_dir), "sheet"), [LINEITEM, ORDERS, CUSTOMER, SHIPMENT], fill(MAPPINGS))
 
 
 def sales_fill() -> Fill:
@@ -162,7 +163,7 @@ def overall_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
  (SELECT count(*) FROM lineitem) AS source_rows""",
 )
 def table_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sheet = sales_sheet(spark, sf_dir)
+    sheet = stage(sales_sheet(spark, sf_dir), "sheet")
     result = validate(sheet, [SHIPMENT], fill(MAPPINGS))
     return result.invalid_tables.withColumn("source_rows", sheet.agg(F.count(F.lit(1))).scalar())
 
@@ -185,7 +186,7 @@ def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT k1 AS order_key, k2 AS line_no, variants, first_row FROM li_bad""",
 )
 def conflict_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sales(spark, sf_dir).checks["lineitem"].conflicts
+    found = sales(spark, sf_dir).checks["lineitem"].conflicts.df
     return found.select(F.col("pk0").alias("order_key"), F.col("pk1").alias("line_no"), "variants", "first_row")
 
 
@@ -235,7 +236,7 @@ SELECT 'Customer' AS "table", row_idx, c_custkey AS key, c_name AS label FROM cu
 UNION ALL SELECT 'Orders', row_idx, o_orderkey, o_custkey || '/' || o_totalprice FROM ord_ok""",
 )
 def split_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = validate(sales_sheet(spark, sf_dir), [ORDERS, CUSTOMER], sales_fill())
+    result = validate(stage(sales_sheet(spark, sf_dir), "sheet"), [ORDERS, CUSTOMER], sales_fill())
     cust, orders = result.checks["customer"].valid, result.checks["orders"].valid
     return cust.select(F.lit("Customer").alias("table"), "row_idx", F.col("Cust_Key").alias("key"), F.col("Cust_Name").alias("label")).unionByName(
         orders.select(F.lit("Orders").alias("table"), "row_idx", F.col("Order_Key").alias("key"), F.concat_ws("/", "Cust_Key", "Total").alias("label"))
