@@ -32,3 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def positioned(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     return read_parquet(spark, f"{sf_dir}/{name}.parquet", columns)
+
+
+def round2_sql(x: str) -> str:
+    """SQL twin of ``round2``: the exact product by 100, half to even."""
+    hi = f"(({x}) * 100.0::DOUBLE)"
+    split = f"(({x}) * 134217729.0::DOUBLE)"
+    upper = f"({split} - ({split} - ({x})))"
+    err = f"(({upper} * 100.0::DOUBLE - {hi}) + (({x}) - {upper}) * 100.0::DOUBLE)"
+    part = f"({hi} - floor({hi}))"
+    up = (
+        f"({part} > 0.5 OR ({part} = 0.5 AND {err} > 0) "
+        f"OR ({part} = 0.5 AND {err} = 0 AND floor({hi})::BIGINT % 2 = 1))"
+    )
+    return f"((floor({hi}) + CASE WHEN {up} THEN 1 ELSE 0 END) / 100.0::DOUBLE)"
