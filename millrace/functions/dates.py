@@ -58,7 +58,8 @@ def _without_fraction(c: Column) -> Column:
 
 def profile_timestamp(c: Column) -> Column:
     """At least 6 characters, fraction and Z dropped, first format that fits."""
-    return F.when(F.length(c) >= 6, _parse(_without_fraction(c), PROFILE_FORMATS))
+    plausible = (F.length(c) >= 6) & c.rlike(r"^[0-9]{1,4}[-/][0-9]")
+    return F.when(plausible, _parse(_without_fraction(c), PROFILE_FORMATS))
 
 
 def literal_timestamp(c: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from millrace.functions.dates import has_time_of_day, profile_timestamp
 from millrace.functions.kinds import BOOLEAN_WORDS, DIGITS_PATTERN, EMAIL_PATTERN, PHONE_PATTERN, is_integer, is_number
 from millrace.functions.text import round2, strip
+from millrace.session import stage
 
 SAMPLES = 4
 # Texts that count as no value; code lengths read as numeric text.
@@ -59,11 +60,15 @@ def first_samples(distinct: DataFrame, by: Sequence[str] = (), limit: int = SAMP
 
 
 def profile(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per column: type label, flags, lengths, uniqueness, samples."""
-    distinct = distinct_values(values, by)
-    v = F.col("v")
-    lower, ts = F.lower(v), profile_timestamp(v)
-    tested = distinct.select(
+    """One row per column: type label, flags, lengths, uniqueness, samples.
+
+    The distinct values feed both the flags and the samples, so they are staged.
+    """
+    distinct = stage(distinct_values(values, by), "distinct")
+    v, ts = F.col("v"), F.col("ts")
+    lower = F.lower(v)
+    # The parse is a column of its own, so that the tests below share one evaluation.
+    tested = distinct.withColumn("ts", profile_timestamp(v)).select(
         *by, "column", "v", "n", "first_row",
         F.length(v).alias("len"),
         lower.isin(*BOOLEAN_WORDS).alias("bool_ok"),

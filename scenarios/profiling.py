@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import has_time_of_day, profile_timestamp
-from millrace.functions.text import strip
-from millrace.operators.profile import clean_value, distinct_values, first_samples, profile, unpivot
+from millrace.operators.profile import distinct_values, first_samples, profile, unpivot
 from scenarios.base import positioned, query, round2_sql, table
 
 VALUES_SQL = """
@@ -162,5 +161,3 @@ def profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = [c for c in orders.columns if c != "row_idx"]
     return profile(unpivot(orders, cols))
 
-
-__all__ = ["part_values", "clean_value", "strip"]
