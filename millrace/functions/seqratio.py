@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 @F.pandas_udf("double")
 def sequence_ratio(first: pd.Series, second: pd.Series) -> pd.Series:
-    """Argument order matters; each distinct pair of a batch is measured once."""
-    pairs = pd.Series(list(zip(first, second)), index=first.index)
-    known = {p: SequenceMatcher(None, *p).ratio() for p in pairs.unique()}
-    return pairs.map(known).astype("float64")
+    """Argument order matters; each distinct pair of a batch is measured once, nulls stay null."""
+    pairs = list(zip(first, second))
+    known = {p: None if p[0] is None or p[1] is None else SequenceMatcher(None, *p).ratio() for p in set(pairs)}
+    return pd.Series([known[p] for p in pairs], index=first.index, dtype="float64")
+
+
+# Not for its result: this keeps the optimizer from copying the call into filters.
+sequence_ratio = sequence_ratio.asNondeterministic()

@@ -37,7 +37,8 @@ def lookup(
     """
     keys = [name for _, name in on]
     if not isinstance(right, Facts):
-        right = stage_facts(right.select(*keys, *facts, *([weight] if weight else [])), "lookup")
+        wanted = dict.fromkeys([*keys, *facts, *([weight] if weight else [])])
+        right = stage_facts(right.select(*wanted), "lookup")
     fixed, size = right.df, right.rows
     types = {f.name: f.dataType for f in fixed.schema.fields}
     if size == 0:

@@ -25,7 +25,7 @@ from millrace.functions.seqratio import sequence_ratio
 from millrace.functions.text import name_tokens, normalise_name, round2, strip
 from millrace.operators.catalog import unmapped_action
 from millrace.operators.lookup import lookup
-from millrace.session import stage_facts
+from millrace.session import stage, stage_facts
 
 # Thresholds and word lists of the scoring rules.
 KEEP_SCORE = 0.30
@@ -168,14 +168,14 @@ def prepare_sources(sources: DataFrame) -> DataFrame:
 
 # -- pairing -----------------------------------------------------------------------------
 def pair(targets: DataFrame, sources: DataFrame, by: Sequence[str], block_pairs: int = BLOCK_PAIRS) -> DataFrame:
-    """M4: every (declared column, source column) pair of a scope that could score.
+    """M3, M4: every compatible (declared column, source column) pair of a scope that could score.
 
     A pair sharing several keys is emitted once, under the smallest. A key with too
     many pairs is cut into tiles: each target row goes to the tiles of its slice,
     each source row likewise, and every pair meets in exactly one tile.
     """
-    t = prepare_targets(targets).withColumn("key", F.explode("t_keys"))
-    s = prepare_sources(sources).withColumn("key", F.explode("s_keys"))
+    t = stage(prepare_targets(targets), "match-targets").withColumn("key", F.explode("t_keys"))
+    s = stage(prepare_sources(sources), "match-sources").withColumn("key", F.explode("s_keys"))
     on = [*by, "key"]
     load = (
         t.groupBy(*on).agg(F.count(F.lit(1)).alias("nt"))
@@ -198,7 +198,8 @@ def pair(targets: DataFrame, sources: DataFrame, by: Sequence[str], block_pairs:
         s = s.withColumn("s_tile", F.pmod(F.xxhash64("source"), F.coalesce("s_cuts", one)).cast("int"))
         s = s.withColumn("t_tile", F.explode(F.sequence(F.lit(0), F.coalesce("t_cuts", one) - 1))).drop("t_cuts", "s_cuts")
         on = [*on, "t_tile", "s_tile"]
-    met = t.join(s, on).where(F.col("key") == F.array_min(F.array_intersect("t_keys", "s_keys")))
+    met = t.join(s, on).where(incompatibility().isNull())
+    met = met.where(F.col("key") == F.array_min(F.array_intersect("t_keys", "s_keys")))
     return met.drop("key", "t_tile", "s_tile", "t_keys", "s_keys")
 
 
@@ -232,7 +233,7 @@ def pattern_bonus() -> Column:
 
 
 def score(pairs: DataFrame) -> DataFrame:
-    """Add ``score`` and ``reason``; rows below the keep score are dropped.
+    """Add ``score`` and ``reason``; rows below the keep score are dropped.
 
     Whatever a name or type rule settles is settled first; only the rest is measured.
     """
@@ -256,28 +257,31 @@ def score(pairs: DataFrame) -> DataFrame:
     fixed = F
     for test, value, reason in rules:
         fixed = fixed.when(test, F.struct(F.lit(value).alias("score"), F.lit(reason).alias("reason")))
-    base = pairs.where(incompatibility().isNull()).withColumn("fixed", fixed)
+    base = pairs.withColumn("fixed", fixed)
     base = base.withColumns({"bonus": pattern_bonus(), "shared": shares_word(tw, sw), "jac": jaccard(tw, sw)})
     overlap = 2.0 * F.size(F.array_intersect("t_letters", "s_letters")) / (F.length(tn) + F.length(sn))
     hopeful = F.col("shared") | (overlap + F.col("bonus") >= 0.29)
     base = base.where(F.when(F.col("fixed").isNotNull(), F.col("fixed.score") >= KEEP_SCORE).otherwise(hopeful))
 
     keep = [c for c in base.columns if c not in ("fixed", "bonus", "shared", "jac", "t_letters", "s_letters")]
-    settled = base.where(F.col("fixed").isNotNull()).select(
-        *keep, F.col("fixed.score").alias("score"), F.col("fixed.reason").alias("reason")
-    )
+    # Settled pairs pass nulls through the measure, so one pass serves both kinds.
+    unsettled = F.col("fixed").isNull()
+    base = base.withColumn("seq", sequence_ratio(F.when(unsettled, tn), F.when(unsettled, sn)))
     seq = F.col("seq")
     best = F.greatest(seq, seq * 0.5 + F.col("jac") * 0.5)
     best = F.when(F.col("shared"), F.greatest(best, F.lit(SHARED_WORD_FLOOR))).otherwise(best)
-    final = F.least(best + F.col("bonus"), F.lit(SCORE_CAP))
-    measured = base.where(F.col("fixed").isNull()).withColumn("seq", sequence_ratio(tn, sn)).withColumn("final", final)
-    reason = (
+    base = base.withColumn("final", F.least(best + F.col("bonus"), F.lit(SCORE_CAP)))
+    reason_text = (
         F.when(F.col("final") >= 0.80, F.lit("High semantic & token similarity"))
         .when(F.col("final") >= 0.60, F.lit("Moderate token and pattern alignment"))
         .otherwise(F.lit("Semantic similarity and value compatibility"))
     )
-    measured = measured.select(*keep, round2(F.col("final")).alias("score"), reason.alias("reason"))
-    return settled.unionByName(measured).where(F.col("score") >= KEEP_SCORE)
+    scored = base.select(
+        *keep,
+        F.when(unsettled, round2(F.col("final"))).otherwise(F.col("fixed.score")).alias("score"),
+        F.when(unsettled, reason_text).otherwise(F.col("fixed.reason")).alias("reason"),
+    )
+    return scored.where(F.col("score") >= KEEP_SCORE)
 
 
 def candidates(targets: DataFrame, sources: DataFrame, by: Sequence[str], block_pairs: int = BLOCK_PAIRS) -> DataFrame:

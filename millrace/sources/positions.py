@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,23 +29,18 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return placed.select((F.col("skip") + F.col("__at") + 1).alias("row_idx"), *cols)
 
 
-def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Text lines with ``source`` (file path), ``line`` and 1-based ``line_no`` in the file.
+def with_positions(raw: DataFrame, **columns: Column) -> DataFrame:
+    """``source`` (file path), 0-based ``row_no`` in that file, and ``columns`` of a file read.
 
     Spark reads a file in blocks and numbers rows per task; the first number and the
     row count of each block turn those into file positions. One fact per block.
     """
-    raw = spark.read.text(path) if encoding == "UTF-8" else (
-        spark.read.option("encoding", encoding).option("lineSep", "\n").text(path)
-    )
     rows = raw.select(
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__id"),
-        F.col("value").alias("line"),
+        *[expr.alias(name) for name, expr in columns.items()],
     )
-    if len(raw.inputFiles()) == 0:
-        return rows.select("source", F.lit(0).cast("long").alias("line_no"), "line")
     blocks = rows.groupBy("source", "__block").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("n"))
     # A file's blocks are its size over the split size, far below one window's reach.
     before = F.sum("n").over(W.partitionBy("source").orderBy("__block").rowsBetween(W.unboundedPreceding, -1))
@@ -58,4 +53,10 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
     )
     on = [(F.col("source"), "file"), (F.col("__block"), "block")]
     placed = lookup(rows, facts, on, ["shift"], "n", F.col("__id"))
-    return placed.select("source", (F.col("__id") + F.col("shift") + 1).alias("line_no"), "line")
+    return placed.select("source", (F.col("__id") + F.col("shift")).alias("row_no"), *columns)
+
+
+def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """Text lines with ``source``, 0-based ``row_no`` in the file, and ``line``."""
+    reader = spark.read if encoding == "UTF-8" else spark.read.option("encoding", encoding).option("lineSep", "\n")
+    return with_positions(reader.text(path), line=F.col("value"))
