@@ -95,14 +95,22 @@ def fill(mappings: Mapping[str, Mapping[str, str]], actions: object = None) -> F
     """``mappings`` is ``{table: {source: target column}}``.
 
     ``actions`` comes in any of four spellings (A6): a list of records, or a
-    mapping keyed by ``(table, column)``, by ``"table.column"``, or nested.
+    mapping keyed by ``(table, column)``, by ``"table.column"``, or nested. An action
+    decides its column alone: a source it names replaces the match, any other action
+    removes it.
     """
     sources: dict[str, dict[str, str]] = {}
     for table, pairs in mappings.items():
         chosen = sources.setdefault(table.lower(), {})
         for src, tgt in pairs.items():
             chosen[tgt.lower()] = src
-    return Fill(sources, dict(_flatten(actions)))
+    chosen_actions = dict(_flatten(actions))
+    for (table, column), act in chosen_actions.items():
+        if act.is_custom or act.is_default or act.is_null:
+            sources.get(table, {}).pop(column, None)
+        elif act.source:
+            sources.setdefault(table, {})[column] = act.source
+    return Fill(sources, chosen_actions)
 
 
 def _as_action(raw: object) -> Action:
