@@ -1,7 +1,8 @@
 """Date and time parsing by a fixed list of formats.
 
-Each format is tried only on text of its own shape: a failed parse costs an
-exception per value, a shape test a few comparisons.
+A shape test admits exactly the listed formats; the date part is then rewritten to
+year-month-day and cast. Casting parses without a formatter and without an
+exception per failure, and keeps the expression small enough to compile.
 """
 
 from __future__ import annotations
@@ -9,46 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TIME = r" [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
-_YMD = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
-_SLASH = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
-_DASH = r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}"
-
-# Profiling formats, in order of preference.
-PROFILE_FORMATS = (
-    (_YMD + _TIME, "yyyy-M-d H:m:s"),
-    (_YMD + "T" + _TIME[1:], "yyyy-M-d'T'H:m:s"),
-    (_YMD + "$", "yyyy-M-d"),
-    (_SLASH + "$", "d/M/yyyy"),
-    (_SLASH + "$", "M/d/yyyy"),
-    (_DASH + "$", "d-M-yyyy"),
-    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
-    (_SLASH + _TIME, "d/M/yyyy H:m:s"),
-    (_SLASH + _TIME, "M/d/yyyy H:m:s"),
+# Accepted layouts. Profiling reads day first where both readings are
+# possible, rendering reads month first.
+_CLOCK = r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
+PROFILE_SHAPE = (
+    r"^(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:[ T]" + _CLOCK + r")?"
+    r"|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}"
+    r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?: " + _CLOCK + r")?"
+    r"|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})$"
 )
-
-# Formats accepted when a date literal is rendered; an ambiguous
-# day and month read month first.
-LITERAL_FORMATS = (
-    (_YMD + _TIME, "yyyy-M-d H:m:s"),
-    (_YMD + "T" + _TIME[1:], "yyyy-M-d'T'H:m:s"),
-    (_YMD + r" [0-9]{1,2}:[0-9]{1,2}$", "yyyy-M-d H:m"),
-    (_YMD + r"T[0-9]{1,2}:[0-9]{1,2}$", "yyyy-M-d'T'H:m"),
-    (_YMD + "$", "yyyy-M-d"),
-    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
-    (r"^[0-9]{8}$", "yyyyMMdd"),
-    (_SLASH + "$", "M/d/yyyy"),
-    (_SLASH + "$", "d/M/yyyy"),
-    (_DASH + "$", "M-d-yyyy"),
-    (_DASH + "$", "d-M-yyyy"),
-    (_SLASH + _TIME, "M/d/yyyy H:m:s"),
-    (_SLASH + _TIME, "d/M/yyyy H:m:s"),
+LITERAL_SHAPE = (
+    r"^(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:[ T]" + _CLOCK + r")?"
+    r"|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}(?: " + _CLOCK + r")?"
+    r"|[0-9]{8}"
+    r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?: " + _CLOCK + r")?"
+    r"|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}(?: " + _CLOCK + r")?)$"
 )
-
-
-def _parse(text: Column, formats) -> Column:
-    tries = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))) for shape, fmt in formats]
-    return F.coalesce(*tries)
+_YEAR_LAST = r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})"
+_SLASHED = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})"
 
 
 def _without_fraction(c: Column) -> Column:
@@ -56,14 +35,33 @@ def _without_fraction(c: Column) -> Column:
     return F.regexp_replace(bare, r"\s+", " ")
 
 
+def _cast(text: Column) -> Column:
+    return text.try_cast("timestamp")
+
+
 def profile_timestamp(c: Column) -> Column:
-    """At least 6 characters, fraction and Z dropped, first format that fits."""
+    """At least 6 characters, fraction and Z dropped, first format that fits.
+
+    Only slashed dates may also read month first.
+    """
+    text = _without_fraction(c)
+    dashed = F.replace(text, F.lit("/"), F.lit("-"))
+    tries = F.coalesce(
+        _cast(F.regexp_replace(dashed, _YEAR_LAST, "$3-$2-$1")),
+        _cast(F.regexp_replace(text, _SLASHED, "$3-$1-$2")),
+    )
     plausible = (F.length(c) >= 6) & c.rlike(r"^[0-9]{1,4}[-/][0-9]")
-    return F.when(plausible, _parse(_without_fraction(c), PROFILE_FORMATS))
+    return F.when(plausible, F.when(text.rlike(PROFILE_SHAPE), tries))
 
 
 def literal_timestamp(c: Column) -> Column:
-    return _parse(_without_fraction(c), LITERAL_FORMATS)
+    text = _without_fraction(c)
+    dashed = F.regexp_replace(F.replace(text, F.lit("/"), F.lit("-")), r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3")
+    tries = F.coalesce(
+        _cast(F.regexp_replace(dashed, _YEAR_LAST, "$3-$1-$2")),
+        _cast(F.regexp_replace(dashed, _YEAR_LAST, "$3-$2-$1")),
+    )
+    return F.when(text.rlike(LITERAL_SHAPE), tries)
 
 
 def has_time_of_day(ts: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.dates import has_time_of_day, literal_timestamp
+from millrace.functions.dates import literal_timestamp
 from millrace.functions.kinds import TRUE_WORDS, is_number
 from millrace.functions.text import is_empty, strip
 
@@ -59,15 +59,12 @@ def boolean_literal(c: Column) -> Column:
 
 def date_literal(c: Column) -> Column:
     """Date only at midnight, else to the second."""
-    ts = literal_timestamp(strip(c))
-    shown = F.when(has_time_of_day(ts), F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).otherwise(
-        F.date_format(ts, "yyyy-MM-dd")
-    )
-    return F.concat(F.lit("'"), shown, F.lit("'"))
+    shown = F.date_format(literal_timestamp(strip(c)), "yyyy-MM-dd HH:mm:ss")
+    return F.concat(F.lit("'"), F.replace(shown, F.lit(" 00:00:00"), F.lit("")), F.lit("'"))
 
 
-def literal(c: Column, category: str, bare_number: bool = False) -> Column:
-    """O4-O8 by declared category; empty is NULL, unparsable falls back to text.
+def filled_literal(c: Column, category: str, bare_number: bool = False) -> Column:
+    """O4-O8 of a value that is not empty, by declared category; unparsable falls back to text.
 
     ``bare_number`` marks values whose source column is numeric: those stay unquoted
     in text columns (Q20).
@@ -75,9 +72,10 @@ def literal(c: Column, category: str, bare_number: bool = False) -> Column:
     quoted = c if bare_number else text_literal(c)
     by_kind = {"integer": integer_literal, "float": float_literal, "date": date_literal}
     if category == "boolean":
-        shown = boolean_literal(c)
-    elif category in by_kind:
-        shown = F.coalesce(by_kind[category](c), quoted)
-    else:
-        shown = quoted
-    return F.when(is_empty(c), F.lit("NULL")).otherwise(shown)
+        return boolean_literal(c)
+    return F.coalesce(by_kind[category](c), quoted) if category in by_kind else quoted
+
+
+def literal(c: Column, category: str, bare_number: bool = False) -> Column:
+    """The same for any value; empty is NULL."""
+    return F.when(is_empty(c), F.lit("NULL")).otherwise(filled_literal(c, category, bare_number))

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.literals import literal, quote_identifier
+from millrace.functions.literals import filled_literal, literal, quote_identifier
 from millrace.functions.text import is_empty
 from millrace.operators.prefix import number, number_by_order
 from millrace.operators.validate import ROW, Validation
@@ -77,7 +77,7 @@ def value_expr(valid: DataFrame, table: Table, fill: Fill, c: Column, numeric: S
     if held is None:
         return spare
     source = fill.source(table.name, c.name)
-    return F.when(is_empty(F.col(held)), spare).otherwise(literal(F.col(held), c.category, source in numeric))
+    return F.when(is_empty(F.col(held)), spare).otherwise(filled_literal(F.col(held), c.category, source in numeric))
 
 
 def table_name(table: Table, dialect: str) -> str:

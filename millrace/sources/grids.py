@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +36,13 @@ def field_count(line: Column) -> Column:
     return F.size(F.split(F.regexp_replace(line, r'"([^"]|"")*"', ""), ","))
 
 
-def csv_grid(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def csv_grid(spark: SparkSession, path: str, encoding: str = "UTF-8", glob: str = "*") -> DataFrame:
     """Headerless CSV. A file's first line sets its width.
 
     Blank lines and lines wider than that are dropped, shorter ones padded. Fields may
     be quoted but hold no line breaks.
     """
-    lines = read_lines(spark, path, encoding).where(strip(F.col("line")) != "")
+    lines = read_lines(spark, path, encoding, glob).where(strip(F.col("line")) != "")
     lines = lines.withColumn("fields", field_count(F.col("line")))
     widths = stage_facts(
         lines.groupBy("source").agg(F.min_by("fields", "row_no").alias("width"), F.count(F.lit(1)).alias("n")), "widths"
@@ -60,18 +62,18 @@ def _present(c: Column) -> Column:
     return F.when(~c.isin(*MISSING_TEXTS), c)
 
 
-def json_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def json_records(spark: SparkSession, path: str, lines: bool = False, glob: str = "*") -> DataFrame:
     """Records as text columns with ``source`` and ``row_idx``; field names are the headers."""
-    raw = spark.read.option("multiLine", not lines).json(path)
+    raw = spark.read.option("multiLine", not lines).option("pathGlobFilter", glob).json(path)
     placed = with_positions(raw, **{c: F.col(f"`{c}`") for c in raw.columns})
     nested = {f.name for f in raw.schema.fields if f.dataType.typeName() in ("struct", "array", "map")}
     shown = [(F.to_json(c) if c in nested else F.col(f"`{c}`").cast("string")).alias(c) for c in raw.columns]
     return placed.select("source", F.col("row_no").alias("row_idx"), *shown)
 
 
-def json_grid(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def json_grid(spark: SparkSession, path: str, lines: bool = False, glob: str = "*") -> DataFrame:
     """S2 as a grid whose row 0 holds the field names."""
-    records = json_records(spark, path, lines)
+    records = json_records(spark, path, lines, glob)
     names = [c for c in records.columns if c not in ("source", "row_idx")]
     sheet = F.lit(JSON_SHEET).alias("sheet")
     rows = records.select("source", sheet, (F.col("row_idx") + 1).alias("row_idx"), F.array(*[F.col(f"`{n}`") for n in names]).alias("cells"))
@@ -105,19 +107,20 @@ def cell_grid(cells: DataFrame) -> DataFrame:
     return filled.unionByName(gaps)
 
 
-def read_grids(spark: SparkSession, folder: str) -> DataFrame:
-    """Every file of a folder by its extension; workbooks arrive as cell tables (S3)."""
+def read_grids(spark: SparkSession, folder: str, json_lines: bool = False) -> DataFrame:
+    """Every file of a folder by its extension; workbooks arrive as cell tables (S3).
+
+    The extensions come from the listing; files of one format are read together.
+    """
     listing = spark.read.format("binaryFile").load(folder).select(extension(F.col("path")).alias("ext")).distinct()
     found = {r["ext"] for r in listing.toLocalIterator()}
-    parts = []
-    if found - {".json"}:
-        parts.append(csv_grid(spark, f"{folder}/*[!n]" if ".json" in found else folder))
-    if ".json" in found:
-        parts.append(json_grid(spark, f"{folder}/*.json"))
-    grid = parts[0]
-    for p in parts[1:]:
-        grid = grid.unionByName(p)
-    return grid
+    parts = [json_grid(spark, folder, json_lines, "*.json")] if ".json" in found else []
+    plain = sorted(e for e in found if e not in (".json", ""))
+    if plain:
+        parts.append(csv_grid(spark, folder, glob="*{" + ",".join(plain) + "}"))
+    if "" in found:
+        parts.append(csv_grid(spark, folder).where(extension(F.col("source")) == ""))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def inspect(grid: DataFrame) -> DataFrame:

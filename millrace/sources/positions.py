@@ -56,7 +56,9 @@ def with_positions(raw: DataFrame, **columns: Column) -> DataFrame:
     return placed.select("source", (F.col("__id") + F.col("shift")).alias("row_no"), *columns)
 
 
-def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8", glob: str = "*") -> DataFrame:
     """Text lines with ``source``, 0-based ``row_no`` in the file, and ``line``."""
-    reader = spark.read if encoding == "UTF-8" else spark.read.option("encoding", encoding).option("lineSep", "\n")
+    reader = spark.read.option("pathGlobFilter", glob)
+    if encoding != "UTF-8":
+        reader = reader.option("encoding", encoding).option("lineSep", "\n")
     return with_positions(reader.text(path), line=F.col("value"))

@@ -259,3 +259,44 @@ SELECT row_idx, 'Customer', 'VALIDATION_ERROR', 'Required column ''Cust_Name'' i
 )
 def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales(spark, sf_dir).rejected
+
+
+PARENT = Table("Part", (Column("Part_Key", "bigint", False), Column("Part_Of", "bigint")), ("Part_Key",), (ForeignKey("Part_Of", "Part", "Part_Key"),))
+
+TREE_SQL = """
+p AS (SELECT row_number() OVER () AS row_idx, CAST(p_partkey AS VARCHAR) AS k, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN CAST(p_partkey + 3 AS VARCHAR)
+  WHEN p_partkey % 11 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE CAST(p_partkey // 2 AS VARCHAR) END AS r FROM part),
+ok AS (SELECT row_idx, k FROM p WHERE r IS NULL OR row_idx <= 1 UNION ALL SELECT p.row_idx, p.k FROM p JOIN ok ON p.r = ok.k AND ok.row_idx < p.row_idx WHERE p.row_idx > 1)"""
+
+
+@query(
+    "v09_self_reference",
+    f"""WITH RECURSIVE {TREE_SQL}
+SELECT row_idx, k, r, 'accepted' AS verdict FROM p WHERE row_idx IN (SELECT row_idx FROM ok)
+UNION ALL SELECT row_idx, k, r, 'Foreign key violation: Column ''Part_Of'' value ''' || r || ''' does not exist in parent table ''Part.Part_Key''' FROM p WHERE row_idx NOT IN (SELECT row_idx FROM ok)""",
+)
+def self_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V9: every part may belong to an earlier one."""
+    key = F.col("p_partkey")
+    up = F.when(key % 7 == 0, F.lit(None)).when(key % 5 == 0, key + 3).when(key % 11 == 0, key).otherwise(F.floor(key / 2))
+    rows = positioned(spark, sf_dir, "part", ["p_partkey"]).select("row_idx", key.cast("string").alias("k"), up.cast("string").alias("r"))
+    check = validate(rows, [PARENT], fill({"Part": {"k": "Part_Key", "r": "Part_Of"}})).checks["part"]
+    good = check.valid.select("row_idx", F.col("Part_Key").alias("k"), F.col("Part_Of").alias("r"), F.lit("accepted").alias("verdict"))
+    bad = check.rejected.join(rows, F.col("row_index") == F.col("row_idx")).select("row_idx", "k", "r", F.col("reason").alias("verdict"))
+    return good.unionByName(bad)
+
+
+@query(
+    "v07_open_world",
+    """SELECT 'Customer' AS "table", (SELECT count(*) FROM orders) AS source_rows, CAST(0 AS BIGINT) AS valid_rows, CAST(0 AS BIGINT) AS fk_errors
+UNION ALL SELECT 'Orders', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders), 0""",
+)
+def open_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No customer survives, so the references of the orders go unchecked."""
+    o = positioned(spark, sf_dir, "orders").select(
+        "row_idx", *[F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")],
+        F.lit(" ").alias("c_name"),
+    )
+    mappings = {"Customer": {"o_custkey": "Cust_Key", "c_name": "Cust_Name"}, "Orders": MAPPINGS["Orders"]}
+    result = validate(o, [ORDERS, CUSTOMER], fill(mappings))
+    return result.table_counts.select("table", "source_rows", "valid_rows", "fk_errors")

@@ -62,7 +62,8 @@ def compare(spark, con, name, fn, sql, sf_dir):
 def main() -> int:
     sf_dir, parts = sys.argv[1], sys.argv[2:]
     spark = configure(
-        SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g"), 8
+        SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g"), 8
     ).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, bad = connect(sf_dir), all_oracles(), 0
