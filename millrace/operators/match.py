@@ -43,6 +43,9 @@ FLAG_WORDS = ("is", "has", "active", "flag", "enabled")
 
 # Letters from rare to common; only the order of block keys depends on it.
 LETTER_ORDER = "zqxjkvbpgwyfmcuhldrsnioate"
+# Type facts the compatibility rule needs.
+_TARGET_TYPES = ("data_type", "is_pk", "is_identity", "length")
+_SOURCE_TYPES = ("inferred_type", "is_integer", "is_numeric", "is_boolean", "min_length")
 # A block key whose pairs exceed this is split over both sides.
 BLOCK_PAIRS = 4_000_000
 BLOCK_SIDE = 2_000
@@ -150,7 +153,7 @@ def prepare_targets(targets: DataFrame) -> DataFrame:
         rare_letters(F.col("t_letters"), _least_ratio(strong, weak)),
     )
     keys = F.when(F.col("placeholder"), name_keys(norm, cut_first, cut_last)).otherwise(open_keys)
-    return t.withColumn("t_keys", F.array_distinct(keys))
+    return t.withColumn("t_keys", _hashed(keys))
 
 
 def prepare_sources(sources: DataFrame) -> DataFrame:
@@ -163,7 +166,12 @@ def prepare_sources(sources: DataFrame) -> DataFrame:
     ratio = _least_ratio(kind.isin("email-like", "phone-like"), kind.isin("date", "datetime", "boolean"))
     s = s.withColumn("s_letters", letters(F.col("s_norm")))
     keys = F.concat(name_keys(F.col("s_norm")), word_keys(F.col("s_words")), rare_letters(F.col("s_letters"), ratio))
-    return s.withColumn("s_keys", F.array_distinct(keys))
+    return s.withColumn("s_keys", _hashed(keys))
+
+
+def _hashed(keys: Column) -> Column:
+    """Keys as longs: two keys falling together only adds a pair to be scored."""
+    return F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))
 
 
 # -- pairing -----------------------------------------------------------------------------
@@ -174,8 +182,10 @@ def pair(targets: DataFrame, sources: DataFrame, by: Sequence[str], block_pairs:
     many pairs is cut into tiles: each target row goes to the tiles of its slice,
     each source row likewise, and every pair meets in exactly one tile.
     """
-    t = stage(prepare_targets(targets), "match-targets").withColumn("key", F.explode("t_keys"))
-    s = stage(prepare_sources(sources), "match-sources").withColumn("key", F.explode("s_keys"))
+    named, headed = stage(prepare_targets(targets), "match-targets"), stage(prepare_sources(sources), "match-sources")
+    # Only identities, keys and type facts travel through the key join.
+    t = named.select(*by, "table", "name", "t_keys", *_TARGET_TYPES, F.explode("t_keys").alias("key"))
+    s = headed.select(*by, "source", "s_keys", *_SOURCE_TYPES, F.explode("s_keys").alias("key"))
     on = [*by, "key"]
     load = (
         t.groupBy(*on).agg(F.count(F.lit(1)).alias("nt"))
@@ -200,7 +210,10 @@ def pair(targets: DataFrame, sources: DataFrame, by: Sequence[str], block_pairs:
         on = [*on, "t_tile", "s_tile"]
     met = t.join(s, on).where(incompatibility().isNull())
     met = met.where(F.col("key") == F.array_min(F.array_intersect("t_keys", "s_keys")))
-    return met.drop("key", "t_tile", "s_tile", "t_keys", "s_keys")
+    pairs = met.select(*by, "table", "name", "source")
+    t_facts = named.select(*by, "table", "name", "target_pos", "placeholder", "t_norm", "t_words", "tbl_norm", "tbl_words", "t_letters")
+    s_facts = headed.select(*by, "source", "src_pos", "inferred_type", "s_norm", "s_words", "s_letters")
+    return pairs.join(t_facts, [*by, "table", "name"]).join(s_facts, [*by, "source"])
 
 
 # -- scoring -----------------------------------------------------------------------------
@@ -263,9 +276,11 @@ def score(pairs: DataFrame) -> DataFrame:
     hopeful = F.col("shared") | (overlap + F.col("bonus") >= 0.29)
     base = base.where(F.when(F.col("fixed").isNotNull(), F.col("fixed.score") >= KEEP_SCORE).otherwise(hopeful))
 
-    keep = [c for c in base.columns if c not in ("fixed", "bonus", "shared", "jac", "t_letters", "s_letters")]
+    spent = {"fixed", "bonus", "shared", "jac", "t_norm", "t_words", "tbl_norm", "tbl_words", "t_letters", "s_norm", "s_words", "s_letters", "placeholder"}
+    keep = [c for c in base.columns if c not in spent]
     # Settled pairs pass nulls through the measure, so one pass serves both kinds.
     unsettled = F.col("fixed").isNull()
+    base = base.select(*keep, "fixed", "bonus", "shared", "jac", "t_norm", "s_norm")
     base = base.withColumn("seq", sequence_ratio(F.when(unsettled, tn), F.when(unsettled, sn)))
     seq = F.col("seq")
     best = F.greatest(seq, seq * 0.5 + F.col("jac") * 0.5)
@@ -286,8 +301,9 @@ def score(pairs: DataFrame) -> DataFrame:
 
 def candidates(targets: DataFrame, sources: DataFrame, by: Sequence[str], block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """Scored pairs worth keeping: ``by, table, column, source, src_pos, score, reason, ...``."""
-    scored = score(pair(targets, sources, by, block_pairs))
-    return scored.select(
+    scored = score(pair(targets, sources, by, block_pairs)).drop("inferred_type")
+    shown = scored.join(sources.select(*by, "source", "inferred_type", "sample_values"), [*by, "source"])
+    return shown.select(
         *by, "table", F.col("name").alias("column"), "target_pos", "source", "src_pos", "score", "reason",
         "inferred_type", "sample_values",
     )
