@@ -6,9 +6,10 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(first: pd.Series, second: pd.Series) -> pd.Series:
     """Argument order matters; each distinct pair of a batch is measured once, nulls stay null."""
     pairs = list(zip(first, second))
