@@ -19,7 +19,7 @@ from millrace.functions.kinds import is_number
 from millrace.functions.text import column_key, round2, strip
 from millrace.operators.lookup import lookup
 from millrace.operators.prefix import Running, number, running
-from millrace.session import Facts, stage, stage_facts
+from millrace.session import stage, stage_facts
 
 SHEET = ("source", "sheet")
 SEARCH_ROWS = 20
@@ -148,7 +148,7 @@ def structure(grid: DataFrame, numeric_cells: str = "parsed") -> Structured:
     segmented = stage(segment(grid), "segmented")
     heads = stage_facts(headers(segmented, blocks(segmented), numeric_cells), "headers")
     keys = [*SHEET, "block_start"]
-    facts = Facts(heads.df.select(*keys, "table_name", "header_row", "data_start", "n_rows"), heads.rows)
+    facts = heads.narrowed(*keys, "table_name", "header_row", "data_start", "n_rows")
     placed = lookup(segmented, facts, [(F.col(k), k) for k in keys], ["table_name", "header_row", "data_start"], "n_rows", F.col("row_idx"))
     data = placed.where(F.col("row_in_block") >= F.col("data_start"))
 

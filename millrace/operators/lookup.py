@@ -1,7 +1,7 @@
 """Left lookup of per-key facts that holds up under hot keys.
 
-The right side has one row per key. It is staged and counted: empty means no
-join, small means broadcast. Beyond that the heaviest keys (a fixed number, by
+The right side has one row per key. It is staged and measured: empty means no
+join, small in rows and bytes means broadcast. Beyond that the heaviest keys (a fixed number, by
 known row weight) are answered by a broadcast of just those keys while their rows
 are spread over salts, and all others meet in a shuffle join.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from millrace.session import Facts, stage_facts
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_KEYS = 1_000
 SALTS = 256
 
@@ -49,7 +50,7 @@ def lookup(
     side = fixed.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *facts)
     match = [F.col(lk[k]) == F.col(f"__r_{k}") for k in keys]
     spare = [*lk.values(), *[f"__r_{k}" for k in keys]]
-    if size <= broadcast_rows:
+    if size <= broadcast_rows and right.bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(side), match, "left").drop(*spare)
 
     if weight is None:

@@ -41,40 +41,42 @@ class Running:
         return F.greatest(a, b) if self.kind == "max" else F.least(a, b)
 
 
-def _window(by: Sequence[str], order: str, backward: bool, strict: bool):
-    spec = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    spec = spec.orderBy(F.col(order).desc() if backward else F.col(order).asc())
+def _window(key: str, order: str, backward: bool, strict: bool):
+    spec = W.partitionBy(key).orderBy(F.col(order).desc() if backward else F.col(order).asc())
     return spec.rowsBetween(W.unboundedPreceding, -1 if strict else 0)
 
 
 def running(df: DataFrame, by: Sequence[str], position: str, specs: Sequence[Running], depth: int = 2) -> DataFrame:
-    """Add ``specs`` computed along ``position`` within ``by``.
+    """Add ``specs`` computed along ``position`` within ``by`` (nulls form a group).
 
     ``position`` must be a non-negative integer below 2**(16 * (depth + 1)).
     """
     by = list(by)
+    key, bucket = f"__key{depth}", f"__bucket{depth}"
+    group = [F.col(b) for b in by] or [F.lit(0).alias("all")]
     if depth == 0:
+        df = df.withColumn(key, F.struct(*group))
         for s in specs:
-            df = df.withColumn(s.out, s.fold(s.value).over(_window(by, position, s.backward, s.strict)))
-        return df
+            df = df.withColumn(s.out, s.fold(s.value).over(_window(key, position, s.backward, s.strict)))
+        return df.drop(key)
 
-    bucket = f"__bucket{depth}"
+    # Group and bucket form one struct key: null-safe, and the join below leaves the
+    # rows partitioned just as the window needs them.
     rows = df.withColumn(bucket, F.shiftright(F.col(position), BITS))
-    totals = rows.groupBy(*by, bucket).agg(*[s.fold(s.value).alias(f"__t_{s.out}") for s in specs])
+    rows = rows.withColumn(key, F.struct(*group, F.col(bucket)))
+    totals = rows.groupBy(key).agg(*[s.fold(s.value).alias(f"__t_{s.out}") for s in specs])
+    totals = totals.select(key, F.col(key).dropFields(bucket).alias("__g") if by else F.lit(0).alias("__g"),
+                           F.col(f"{key}.{bucket}").alias(bucket), *[f"__t_{s.out}" for s in specs])
     before = [Running(f"__b_{s.out}", s.kind, F.col(f"__t_{s.out}"), s.backward, True) for s in specs]
-    totals = running(totals, by, bucket, before, depth - 1).drop(*[f"__t_{s.out}" for s in specs])
-
-    keys = [*by, bucket]
-    right = totals.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[b.out for b in before])
-    match = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in by]
-    match.append(F.col(bucket) == F.col(f"__r_{bucket}"))
-    joined = rows.join(right, match, "left").drop(*[f"__r_{k}" for k in keys])
+    totals = running(totals, ["__g"], bucket, before, depth - 1)
+    right = totals.select(F.col(key).alias("__r"), *[b.out for b in before])
+    joined = rows.join(right, F.col(key) == F.col("__r"), "left").drop("__r")
     for s in specs:
-        local = s.fold(s.value).over(_window(keys, position, s.backward, s.strict))
+        local = s.fold(s.value).over(_window(key, position, s.backward, s.strict))
         joined = joined.withColumn(f"__l_{s.out}", local)
     for s in specs:
         joined = joined.withColumn(s.out, s.join(F.col(f"__b_{s.out}"), F.col(f"__l_{s.out}")))
-    return joined.drop(bucket, *[f"__b_{s.out}" for s in specs], *[f"__l_{s.out}" for s in specs])
+    return joined.drop(key, bucket, *[f"__b_{s.out}" for s in specs], *[f"__l_{s.out}" for s in specs])
 
 
 def number(df: DataFrame, by: Sequence[str], position: str, out: str, depth: int = 2) -> DataFrame:

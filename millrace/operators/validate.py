@@ -174,7 +174,7 @@ class TableCheck:
             )
         parts = self._key_parts()
         on = [(e, f"pk{i}") for i, e in enumerate(parts)]
-        facts = Facts(first_tuples(self.conflicts.df, self.tuples, self.mapped), self.conflicts.rows)
+        facts = stage_facts(first_tuples(self.conflicts.df, self.tuples, self.mapped), "first-tuples")
         rows = lookup(self.source, facts, on, ["first_row", "first_tuple"], "copies", F.col(ROW))
         same = reduce(
             lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"first_tuple.c{i}")) for i, c in enumerate(self.mapped)]

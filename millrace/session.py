@@ -66,16 +66,24 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 @dataclass(frozen=True)
 class Facts:
-    """A staged table and its row count, taken while it was written."""
+    """A staged table with its row count and text volume, taken while it was written."""
 
     df: DataFrame
     rows: int
+    bytes: int
 
     def renamed(self, old: str, new: str) -> Facts:
-        return Facts(self.df.withColumnRenamed(old, new), self.rows)
+        return Facts(self.df.withColumnRenamed(old, new), self.rows, self.bytes)
+
+    def narrowed(self, *columns: str) -> Facts:
+        return Facts(self.df.select(*columns), self.rows, self.bytes)
 
 
 def stage_facts(df: DataFrame, label: str = "facts") -> Facts:
     seen = Observation()
-    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
-    return Facts(staged, seen.get["n"])
+    width = F.lit(0)
+    for c in df.columns:
+        width = width + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8
+    measured = df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"))
+    staged = stage(measured, label)
+    return Facts(staged, seen.get["n"], seen.get["bytes"])
