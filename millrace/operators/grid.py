@@ -205,15 +205,14 @@ def wide(rows: DataFrame, columns: DataFrame, sheet: tuple[str, str], name: str)
 
 def physical_types(values: DataFrame, by: Sequence[str]) -> DataFrame:
     """Narrowest of five types that every value of a column has; text values."""
-    v = F.lower(strip(F.col("value")))
-    filled = F.when(v != "", v)
-    number_like = is_number(filled)
-    tested = values.select(
+    text = F.lower(strip(F.col("value")))
+    filled = F.col("filled")
+    tested = values.select(*by, F.when(text != "", text).alias("filled")).select(
         *by,
         filled.rlike(r"^[+-]?[0-9]{1,18}$").alias("int_ok"),
-        number_like.alias("num_ok"),
-        F.when(filled.isNotNull(), filled.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([t ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?)?$")).alias("date_ok"),
-        F.when(filled.isNotNull(), filled.isin("true", "false")).alias("bool_ok"),
+        is_number(filled).alias("num_ok"),
+        filled.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([t ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?)?$").alias("date_ok"),
+        filled.rlike("^(true|false)$").alias("bool_ok"),
         filled.isNull().alias("no_value"),
     )
     folded = tested.groupBy(*by).agg(

@@ -20,6 +20,7 @@ from millrace.functions.literals import filled_literal, literal, quote_identifie
 from millrace.functions.text import is_empty
 from millrace.operators.prefix import number, number_by_order
 from millrace.operators.validate import ROW, Validation
+from millrace.session import stage
 from millrace.target import Column, Fill, Table
 
 BATCH_ROWS = 1000
@@ -191,7 +192,8 @@ def script(
     parts = [_lines(spark, head, 0, 0, 0)]
     for pos, name in enumerate(result.valid_tables):
         check = result.checks[name.lower()]
-        valid, table = check.valid, check.table
+        # Read by the identity test, the count and the statements.
+        valid, table = stage(check.valid, f"valid-{check.table.key}"), check.table
         columns = inserted_columns(valid, table, fill)
         if not columns:
             continue
