@@ -14,7 +14,6 @@ from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions.literals import filled_literal, literal, quote_identifier
 from millrace.functions.text import is_empty
@@ -159,15 +158,18 @@ def manifest(spark: SparkSession, table: Table, fill: Fill, inserted: Sequence[C
     return spark.createDataFrame(rows, schema)
 
 
-def _lines(spark: SparkSession, lines: Sequence[str], *place: int) -> DataFrame:
+Line = tuple[int, int, int, int, str]
+
+
+def _lines(lines: Sequence[str], *place: int) -> list[Line]:
     """Frame lines at ``(section, table, part)``; their number is bounded by the schema."""
-    rows = [(*place, i, line) for i, line in enumerate(lines)]
-    return spark.createDataFrame(rows, _SCRIPT)
+    return [(*place, i, line) for i, line in enumerate(lines)]
 
 
-_SCRIPT = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("section", "table_pos", "part", "item")] + [T.StructField("text", T.StringType())]
-)
+def _frame(spark: SparkSession, lines: Sequence[Line]) -> DataFrame:
+    names = ("section", "table_pos", "part", "item")
+    rows = [F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(names, r)], F.lit(r[4]).alias("text")) for r in lines]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
 
 def script(
@@ -189,7 +191,7 @@ def script(
     head = [RULE, "-- VALID INSERTS", RULE, ""]
     if use_transaction:
         head += [BEGIN.get(dialect, BEGIN["tsql"]), ""]
-    parts = [_lines(spark, head, 0, 0, 0)]
+    frame, parts = _lines(head, 0, 0, 0), []
     for pos, name in enumerate(result.valid_tables):
         check = result.checks[name.lower()]
         # Read by the identity test, the count and the statements.
@@ -221,22 +223,24 @@ def script(
         if filled and dialect == "tsql":
             footer.append(f"SET IDENTITY_INSERT {target} ON;")
             closing = [f"SET IDENTITY_INSERT {target} OFF;", ""]
+        frame += _lines(header, 1, pos, 0) + _lines(footer, 1, pos, 2) + _lines(closing, 1, pos, 4)
         place = [F.lit(v).cast("long").alias(n) for v, n in ((1, "section"), (pos, "table_pos"))]
         total = valid.agg(F.concat(F.lit("-- Valid Rows to Insert: "), F.count(F.lit(1)).cast("string")).alias("text"))
         inserts = statements(valid, table, fill, dialect, batch_size, columns, numeric)
         spaced = F.concat(F.when(F.col("batch") > 0, F.lit("\n")).otherwise(F.lit("")), F.col("text"))
         parts += [
-            _lines(spark, header, 1, pos, 0),
             total.select(*place, F.lit(1).cast("long").alias("part"), F.lit(0).cast("long").alias("item"), "text"),
-            _lines(spark, footer, 1, pos, 2),
             inserts.select(*place, F.lit(3).cast("long").alias("part"), F.col("batch").alias("item"), spaced.alias("text")),
-            _lines(spark, closing, 1, pos, 4),
         ]
     if use_transaction:
-        parts.append(_lines(spark, [COMMIT, ""], 2, 0, 0))
+        frame += _lines([COMMIT, ""], 2, 0, 0)
     if include_report:
-        parts += _report(result, fill, unmapped, candidates)
-    return reduce(DataFrame.unionByName, parts)
+        report_lines, report_parts = _report(result, fill, unmapped, candidates)
+        frame += report_lines
+        parts += report_parts
+    parts.append(_frame(spark, frame))
+    # Ordering samples its input first, so the lines are staged rather than made twice.
+    return stage(reduce(DataFrame.unionByName, parts), "script")
 
 
 def ordered(lines: DataFrame) -> DataFrame:
@@ -259,16 +263,15 @@ def rejection_report(result: Validation) -> DataFrame:
 
 def _report(
     result: Validation, fill: Fill, unmapped: Sequence[str], candidates: DataFrame | None
-) -> list[DataFrame]:
-    """O14-O16 as script lines."""
-    spark = result.spark
+) -> tuple[list[Line], list[DataFrame]]:
+    """Frame lines, and the lines that come from data."""
     lines = [RULE, "-- VALIDATION ERRORS", RULE, ""]
     if result.invalid:
         lines.append("-- [TABLES CANNOT BE GENERATED]")
         for name, reason in result.invalid.items():
             lines += [f"-- Table: {name}", f"--   Reason: {reason}", "--"]
         lines.append("")
-    parts = [_lines(spark, lines, 3, 0, 0)]
+    frame, parts = _lines(lines, 3, 0, 0), []
     for pos, check in enumerate(result.checks.values()):
         name = check.table.name
         place = [F.lit(v).cast("long").alias(n) for v, n in ((4, "section"), (pos, "table_pos"))]
@@ -276,7 +279,7 @@ def _report(
         def lines_of(df: DataFrame, part: int, text: Expr, item: Expr, place=place) -> DataFrame:
             return df.select(*place, F.lit(part).cast("long").alias("part"), item.cast("long").alias("item"), text.alias("text"))
 
-        rejected = check.counts.where(F.col("rejected_rows") > 0)
+        rejected = stage(check.counts.where(F.col("rejected_rows") > 0), "rejected")
         row = F.col("row_index")
         title = F.concat(F.lit(f"-- [Table: {name}] Rejected Rows: "), F.col("rejected_rows").cast("string"))
         parts += [
@@ -300,9 +303,9 @@ def _report(
         tail.append(f"-- Target Table: [{name}]")
         tail += [f"--   {source} -> {cased.get((name, column), column)} [MATCHED]" for column, source in pairs.items()]
         tail.append("--")
-    parts.append(_lines(spark, tail, 5, 0, 0))
+    frame += _lines(tail, 5, 0, 0)
     if candidates is not None:
-        parts.append(_lines(spark, ["-- AMBIGUOUS MAPPINGS REQUIRING CONFIRMATION:"], 6, 0, 0))
+        frame += _lines(["-- AMBIGUOUS MAPPINGS REQUIRING CONFIRMATION:"], 6, 0, 0)
         listed = candidates.select("source", "table", "column", "score", (-F.col("score")).alias("down"))
         listed = number_by_order(listed, ["source", "down", "table", "column"], "item")
         rank = F.row_number().over(W.partitionBy("source").orderBy("item"))
@@ -315,4 +318,4 @@ def _report(
         place = [F.lit(v).cast("long").alias(n) for v, n in ((6, "section"), (0, "table_pos"), (1, "part"))]
         listed = listed.select(*place, F.col("item").cast("long").alias("item"), text.alias("text"))
         parts.append(listed)
-    return parts
+    return frame, parts
