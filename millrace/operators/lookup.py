@@ -63,7 +63,9 @@ def lookup(
     )
     rows = rows.join(F.broadcast(hot), [F.col(lk[k]) == F.col(f"__h_{k}") for k in keys], "left")
     rows = rows.drop(*[f"__h_{k}" for k in keys])
-    salt_of = F.pmod(F.xxhash64(spread if spread is not None else F.rand(7)), F.lit(SALTS)).cast("int") + 1
+    # A hash, not a random number: a recomputed task must salt its rows alike.
+    basis = [spread] if spread is not None else [F.col(f"`{c}`") for c in left.columns]
+    salt_of = F.pmod(F.xxhash64(*basis), F.lit(SALTS)).cast("int") + 1
     unkeyed = F.lit(False)
     for k in keys:
         unkeyed = unkeyed | F.col(lk[k]).isNull()

@@ -318,6 +318,17 @@ def _never_empty(parent: TableCheck, column: str, invalid: dict[str, str]) -> bo
     return column.lower() in required
 
 
+# Report layouts for a run in which no table takes part.
+EMPTY_REPORTS = {
+    "rejected": "row_index long, table string, error_type string, reason string",
+    "pk_errors": "table string, pk_columns string, pk_value string, row_index long, conflicting_with_row long, reason string",
+    "fk_errors": "row_index long, table string, column string, value string, parent_table string, parent_column string, reason string",
+    "null_errors": "row_index long, table string, column string, reason string",
+    "counts": "table string, source_rows long, valid_rows long, rejected_rows long, duplicate_rows long, "
+    "pk_conflict_keys long, fk_errors long, null_errors long",
+}
+
+
 @dataclass
 class Validation:
     order: list[Table]
@@ -329,7 +340,7 @@ class Validation:
 
     def _stack(self, member: str) -> DataFrame:
         parts = [getattr(c, member) for c in self.checks.values()]
-        return reduce(DataFrame.unionByName, parts)
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], EMPTY_REPORTS[member])
 
     @property
     def rejected(self) -> DataFrame:
@@ -360,10 +371,10 @@ class Validation:
     def stats(self) -> DataFrame:
         """V13."""
         return self.table_counts.agg(
-            F.sum("valid_rows").alias("total_valid_rows"),
-            F.sum("rejected_rows").alias("total_rejected_rows"),
-            F.sum("pk_conflict_keys").alias("pk_error_count"),
-            F.sum("fk_errors").alias("fk_error_count"),
+            F.coalesce(F.sum("valid_rows"), F.lit(0)).alias("total_valid_rows"),
+            F.coalesce(F.sum("rejected_rows"), F.lit(0)).alias("total_rejected_rows"),
+            F.coalesce(F.sum("pk_conflict_keys"), F.lit(0)).alias("pk_error_count"),
+            F.coalesce(F.sum("fk_errors"), F.lit(0)).alias("fk_error_count"),
             F.lit(self.missing_required_count).cast("long").alias("missing_required_count"),
         )
 

@@ -86,6 +86,7 @@ def test_required_columns_and_messages(spark):
     rows = spark.createDataFrame([(1, "x", None, None, None)], SCHEMA)
     got = validate(rows, [t], fill({"Inv": {"a": "Code"}}))
     assert got.invalid == {"Inv": "Table [Inv] cannot be generated: Missing required columns (Cost) with no default in Excel data."}
+    assert got.rejected.isEmpty() and got.stats.first()["missing_required_count"] == 1
 
 
 def test_actions_only_table_collapses_to_one_row(spark):
