@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import lines, mixing, neardup, quality
+from millrace.llm import decontaminate, lines, mixing, neardup, quality
 from millrace.llm.registry import table
+from millrace.llm.text import fresh
 from millrace.session import stage
 
 #: Words per shingle of the near-duplicate stage.
@@ -42,6 +43,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.remove_repeats(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, neither verbatim nor reworded."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "text_digest").distinct()
+    digest = fresh(docs, "digest")
+    rows = docs.withColumn(digest, F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows[digest] == found["text_digest"])
+    return rows.join(found, same, "left_anti").select(docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training mix: a row per document and epoch, with the words that the epoch takes."""
     return mixing.mixed(docs)
@@ -53,6 +63,7 @@ STAGES: list[Stage] = [
     ("quality", keep_quality),
     ("near_dedup", drop_near_duplicates),
     ("substring_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
     ("mixing", mix),
 ]
 

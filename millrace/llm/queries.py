@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import html, licenses, lines, mixing, neardup, quality, repetition, urls
+from millrace.llm import decontaminate, html, licenses, lines, mixing, neardup, quality, repetition, scoring, urls
 from millrace.llm.registry import query, table
 
 #: The rules that the URL query is asked to apply.
@@ -52,6 +52,11 @@ SELECT doc_id, p.source, size, source_size, target,
 FROM placed p JOIN aimed a ON p.source IS NOT DISTINCT FROM a.source"""
 
 
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"))
+
+
 @query("op2_url_filters", URL_SQL)
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rules_table(spark, URL_RULES))
@@ -77,6 +82,11 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op7_decontamination")
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op8_near_dedup")
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
