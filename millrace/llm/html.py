@@ -183,6 +183,13 @@ LABELLED = (
     '<body><div>-Hill Gazette, since 1889</div><article><p>+The mill closed in autumn.</p><p>+It had ground flour for two hundred years, and its wheel still turns when the stream is high.</p></article>'
     '<div>-Write to the office by letter, or come in between nine and noon on any working day except in August.</div><p>-Printed on the hill.</p>',
     '<body><div>-Today: rain, then sun over the whole of the valley, with wind from the west.</div><main><p>+Short.</p><p>+Rain fell for nine days before the dam was opened by two men and a boy.</p></main><p>-Late edition</p>',
+    "<body><h2>+How to keep bees</h2><p>+Start with one hive and a good book.</p><p>+In the first summer the bees need little help, only shade and water near the hive.</p><p>+Be patient.</p>"
+    '<p><a>-Part one</a> <a>-Part two</a> <a>-All parts</a></p><p><a>-Print</a></p>',
+    '<body><p><a>-Start</a> <a>-Sitemap</a></p><p>+The tower is forty metres high and leans a little to the south, as towers on clay do.</p><ol><li>+Climb the stair.</li><li>+Ring the bell.</li></ol>'
+    '<p>+See <a>the plan</a> for the rooms above the second floor.</p><ul><li><a>-Towers of the north</a></li><li><a>-Towers of the south</a></li></ul>',
+    '<body><div class="nav-top"><a>-A</a></div><div>+Dear readers, this letter comes late because the press was broken for a week.</div><div>+It is mended now.</div><div class="foot">-Page four</div>',
+    '<body><article><h1>+Wool</h1><p>+A good fleece weighs three kilos.</p><dl><dt>+Staple</dt><dd>+The length of the fibre.</dd></dl></article><div>-Sheep, goats and more every month in your letter box.</div>'
+    '<div class="banner">-Wool sale!</div>',
 )
 
 
