@@ -93,7 +93,8 @@ def repeated_spans(docs: DataFrame, least_words: int = 25) -> DataFrame:
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"),
         F.count(F.lit(1)).alias("units"), F.array_sort(F.collect_set("kept")).alias("kept_in"))
     spans = spans.where(F.col("words") >= least_words).drop("run")
-    return spans.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))
+    shown = lambda c: F.nullif(c, F.lit(_LAST))
+    return spans.withColumn("doc_id", shown(F.col("doc_id"))).withColumn("kept_in", F.transform("kept_in", shown))
 
 
 def cut(text: str | None, starts, stops) -> str | None:

@@ -118,14 +118,15 @@ def train(rows: DataFrame, shrink: float = 0.05, ridge: float = 1e-3) -> Discrim
     d = len(FEATURES)
     total = np.zeros((2, 1 + d + d * d))
     for r in _moments(rows).collect():
-        total[r["label"], r["at"]] = round(r["v"], 6)
+        total[r["label"], r["at"]] = r["v"]
     n = total[:, 0]
     if not n.all():
         return None
     all_n = n.sum()
     mean = total[:, 1:1 + d].sum(0) / all_n
     square = total[:, 1 + d:].reshape(2, d, d)
-    scale = np.sqrt(np.maximum(np.diag(square.sum(0)) / all_n - mean**2, 1e-12))
+    spread_all = np.diag(square.sum(0)) / all_n - mean**2
+    scale = np.sqrt(np.where(spread_all > 1e-6 * (1 + mean**2), spread_all, 1.0))  # a constant statistic stays as it is
     means = (total[:, 1:1 + d] / n[:, None] - mean) / scale
     spread = np.empty((2, d, d))
     for k in (0, 1):
