@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ MISSING_TEXTS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
     "NULL", "NaN", "None", "n/a", "nan", "null",
 )
+WORKBOOKS = (".xlsx", ".xls")
 CSV_SHEET, JSON_SHEET, OTHER_SHEET = "CSV Data", "JSON Data", "Data"
 
 
@@ -31,30 +33,99 @@ def sheet_of(path: Column) -> Column:
     return F.when(ext == ".csv", F.lit(CSV_SHEET)).when(ext == ".json", F.lit(JSON_SHEET)).otherwise(F.lit(OTHER_SHEET))
 
 
-def field_count(line: Column) -> Column:
-    """Comma-separated fields of a line, commas inside quotes aside."""
-    return F.size(F.split(F.regexp_replace(line, r'"([^"]|"")*"', ""), ","))
+# The shapes of delimited text. A quote opens a field only at its start; inside, a doubled
+# quote stands for one. What follows the closing quote belongs to the field as it is.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+_FIELD_START = "(?<![^,])"
+_CLOSING = r'^[^"]*+(?:""[^"]*+)*+"'
+_FIELD = f"({_QUOTED}[^,]*+|[^,]*+),"
+
+
+def _without_quoted(line: Column) -> Column:
+    """The line with every closed quoted field replaced by a letter."""
+    return F.regexp_replace(line, _FIELD_START + _QUOTED, "q")
+
+
+def _stays_open(line: Column) -> Column:
+    return _without_quoted(line).rlike(_FIELD_START + '"')
+
+
+def _ends_inside(line: Column) -> tuple[Column, Column]:
+    """Whether a line ends inside quotes, if it begins outside, and if it begins inside."""
+    rest = F.regexp_replace(line, _CLOSING, "q")
+    return _stays_open(line), (rest == line) | _stays_open(rest)
+
+
+def field_count(record: Column) -> Column:
+    """Comma-separated fields of a whole record, commas inside quoted fields aside."""
+    return F.size(F.split(_without_quoted(record), ","))
+
+
+def fields(record: Column) -> Column:
+    """The record's fields as an array, quotes resolved."""
+    def value(c: Column) -> Column:
+        inner = F.replace(F.regexp_extract(c, '^"([^"]*+(?:""[^"]*+)*+)"', 1), F.lit('""'), F.lit('"'))
+        return F.when(c.startswith('"') & c.rlike("^" + _QUOTED), F.concat(inner, F.regexp_replace(c, "^" + _QUOTED, ""))).otherwise(c)
+
+    return F.transform(F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(_FIELD), F.lit(1)), value)
+
+
+def csv_records(lines: DataFrame) -> DataFrame:
+    """``source, row_no, record``: lines joined where a quoted field goes on over a line break.
+
+    Each line maps the state before it (outside or inside quotes) to the state behind it. The state
+    before a line follows from the last line that leaves no choice and the number of
+    switching lines since, so two running aggregates settle whole files. Lines that belong
+    to no quoted break are taken as they are; only the others are grouped.
+    """
+    if_out, if_in = _ends_inside(F.col("line"))
+    quoted = F.col("line").contains('"')
+    marked = lines.withColumn("out", quoted & if_out).withColumn("in", ~quoted | if_in)
+    opening = marked.where("out").groupBy("source").agg(F.min("row_no").alias("opens"), F.count(F.lit(1)).alias("n"))
+    opening = stage_facts(opening, "opening")
+    if not opening.rows:
+        return lines.select("source", "row_no", F.col("line").alias("record"))
+    switch = (F.col("out") & ~F.col("in")).cast("long")
+    states = running(marked, ["source"], "row_no", [Running("switches", "sum", switch)])
+    settled = F.when(F.col("out") == F.col("in"), F.col("row_no") * 4 + F.col("out").cast("long") * 2 + F.col("switches") % 2)
+    states = running(states.withColumn("settled", settled), ["source"], "row_no", [Running("last", "max", F.col("settled"), strict=True)])
+    before = F.col("switches") - switch
+    since = (before - F.coalesce(F.col("last"), F.lit(0)) % 2) % 2
+    inside = (F.shiftright(F.coalesce(F.col("last"), F.lit(0)), 1) % 2 + since) % 2 == 1
+    behind = F.when(inside, F.col("in")).otherwise(F.col("out"))
+    states = stage(states.select("source", "row_no", "line", inside.alias("inside"), behind.alias("behind")), "quotes")
+    plain = states.where("NOT inside AND NOT behind").select("source", "row_no", F.col("line").alias("record"))
+    broken = states.where("inside OR behind")
+    open_at = F.when(~F.col("inside"), F.col("row_no"))
+    broken = running(broken, ["source"], "row_no", [Running("first", "max", open_at)])
+    joined = broken.groupBy("source", "first").agg(
+        F.array_sort(F.collect_list(F.struct("row_no", "line", "behind"))).alias("parts"))
+    joined = joined.select("source", F.col("first").alias("row_no"), F.array_join("parts.line", "\n").alias("record"),
+                           F.element_at("parts.behind", -1).alias("unclosed"))
+    joined = stage(joined, "records")
+    lost = joined.where("unclosed").select("source", "row_no").first()
+    if lost:
+        raise ValueError(f"a quoted field that begins in line {lost['row_no'] + 1} of {lost['source']} is never closed")
+    return plain.unionByName(joined.drop("unclosed"))
 
 
 def csv_grid(spark: SparkSession, path: str, encoding: str = "UTF-8", glob: str = "*") -> DataFrame:
-    """Headerless CSV. A file's first line sets its width.
+    """Headerless CSV. A file's first record sets its width.
 
-    Blank lines and lines wider than that are dropped, shorter ones padded. Fields may
-    be quoted but hold no line breaks.
+    Blank lines and records wider than that are dropped, shorter ones padded. A quoted field may
+    hold commas, quotes and line breaks; one that is never closed is an error.
     """
-    lines = read_lines(spark, path, encoding, glob).where(strip(F.col("line")) != "")
-    lines = lines.withColumn("fields", field_count(F.col("line")))
+    lines = stage(read_lines(spark, path, encoding, glob), "lines")
+    records = csv_records(lines).where(strip(F.col("record")) != "").withColumn("fields", field_count(F.col("record")))
+    records = stage(records, "records")
     widths = stage_facts(
-        lines.groupBy("source").agg(F.min_by("fields", "row_no").alias("width"), F.count(F.lit(1)).alias("n")), "widths"
+        records.groupBy("source").agg(F.min_by("fields", "row_no").alias("width"), F.count(F.lit(1)).alias("n")), "widths"
     )
-    widest = widths.df.agg(F.max("width")).first()[0] or 1
-    kept = lookup(lines, widths, [(F.col("source"), "source")], ["width"], "n", F.col("row_no"))
+    kept = lookup(records, widths, [(F.col("source"), "source")], ["width"], "n", F.col("row_no"))
     kept = kept.where(F.col("fields") <= F.col("width"))
-    schema = ", ".join(f"c{i} string" for i in range(widest))
-    parsed = F.from_csv("line", F.lit(schema), {"escape": '"'})
-    cells = F.array(*[_present(F.col(f"cell.c{i}")) for i in range(widest)])
-    rows = kept.withColumn("cell", parsed).select("source", "row_no", F.slice(cells, 1, F.col("width")).alias("cells"))
-    numbered = number(rows, ["source"], "row_no", "rn")
+    found = F.transform(fields(F.col("record")), _present)
+    padded = F.concat(found, F.array_repeat(F.lit(None).cast("string"), F.col("width") - F.col("fields")))
+    numbered = number(kept.select("source", "row_no", padded.alias("cells")), ["source"], "row_no", "rn")
     return numbered.select("source", sheet_of(F.col("source")).alias("sheet"), (F.col("rn") - 1).alias("row_idx"), "cells")
 
 
@@ -64,7 +135,9 @@ def _present(c: Column) -> Column:
 
 def json_records(spark: SparkSession, path: str, lines: bool = False, glob: str = "*") -> DataFrame:
     """Records as text columns with ``source`` and ``row_idx``; field names are the headers."""
-    raw = spark.read.option("multiLine", not lines).option("pathGlobFilter", glob).json(path)
+    # Values stay the text that the file spells; no types are inferred.
+    reader = spark.read.option("multiLine", not lines).option("pathGlobFilter", glob).option("primitivesAsString", True)
+    raw = reader.json(path)
     placed = with_positions(raw, **{c: F.col(f"`{c}`") for c in raw.columns})
     nested = {f.name for f in raw.schema.fields if f.dataType.typeName() in ("struct", "array", "map")}
     shown = [(F.to_json(c) if c in nested else F.col(f"`{c}`").cast("string")).alias(c) for c in raw.columns]
@@ -107,17 +180,25 @@ def cell_grid(cells: DataFrame) -> DataFrame:
     return filled.unionByName(gaps)
 
 
+def _ending(extensions: list[str]) -> str:
+    """A file pattern for these endings, spelled as they are."""
+    return "*{" + ",".join(re.sub(r"([\\*?{}\[\],^])", r"\\\1", e) for e in extensions) + "}"
+
+
 def read_grids(spark: SparkSession, folder: str, json_lines: bool = False) -> DataFrame:
     """Every file of a folder by its extension; workbooks arrive as cell tables (S3).
 
     The extensions come from the listing; files of one format are read together.
     """
-    listing = spark.read.format("binaryFile").load(folder).select(extension(F.col("path")).alias("ext")).distinct()
-    found = {r["ext"] for r in listing.toLocalIterator()}
-    parts = [json_grid(spark, folder, json_lines, "*.json")] if ".json" in found else []
-    plain = sorted(e for e in found if e not in (".json", ""))
+    spelled = F.regexp_extract("path", r"(\.[^./]*)$", 1)
+    listing = spark.read.format("binaryFile").load(folder).select(spelled.alias("ext")).distinct()
+    found = sorted(r["ext"] for r in listing.toLocalIterator())
+    if books := [e for e in found if e.lower() in WORKBOOKS]:
+        raise ValueError(f"workbooks ({', '.join(books)}) arrive as cell tables, not as files: {folder}")
+    parts = [json_grid(spark, folder, json_lines, _ending([e])) for e in found if e.lower() == ".json"]
+    plain = [e for e in found if e.lower() != ".json" and e]
     if plain:
-        parts.append(csv_grid(spark, folder, glob="*{" + ",".join(plain) + "}"))
+        parts.append(csv_grid(spark, folder, glob=_ending(plain)))
     if "" in found:
         parts.append(csv_grid(spark, folder).where(extension(F.col("source")) == ""))
     return reduce(DataFrame.unionByName, parts)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators.lookup import lookup
-from millrace.session import stage_facts
+from millrace.session import stage, stage_facts
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -41,6 +41,8 @@ def with_positions(raw: DataFrame, **columns: Column) -> DataFrame:
         F.monotonically_increasing_id().alias("__id"),
         *[expr.alias(name) for name, expr in columns.items()],
     )
+    # Written once, so that ids and block facts come from the same scan.
+    rows = stage(rows, "positioned")
     blocks = rows.groupBy("source", "__block").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("n"))
     # A file's blocks are its size over the split size, far below one window's reach.
     before = F.sum("n").over(W.partitionBy("source").orderBy("__block").rowsBetween(W.unboundedPreceding, -1))

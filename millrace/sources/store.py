@@ -19,12 +19,18 @@ def write_cache(rows: DataFrame, path: str) -> None:
     Rows are cut by table before writing, and a large table still spreads over as
     many files as its share of the data asks for.
     """
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("import_id", "table_name").parquet(path)
+    cut = rows.hint("rebalance", "import_id", "table_name")
+    cut.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("import_id", "table_name").parquet(path)
 
 
 def read_cache(spark: SparkSession, path: str, import_id: str, table_name: str) -> DataFrame:
-    """The two predicates prune to one partition; a missing table is empty."""
-    found = spark.read.parquet(path)
+    """The two predicates prune to one partition; a missing table is empty.
+
+    Ids are text whatever they look like: '007' and '7' are two imports.
+    """
+    keys = ("import_id", "table_name")
+    fields = [T.StructField(f.name, T.StringType()) if f.name in keys else f for f in spark.read.parquet(path).schema.fields]
+    found = spark.read.schema(T.StructType(fields)).parquet(path)
     return found.where((F.col("import_id") == import_id) & (F.col("table_name") == table_name))
 
 

@@ -28,6 +28,8 @@ def messy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 10 == 3, F.concat(F.lit('"'), seg, F.lit(', ""quoted"""'), F.lit(","), key))
         .when(k % 10 == 4, F.lit(",,,,"))
         .when(k % 10 == 5, F.concat(F.lit("NA,"), name, F.lit(",null,,")))
+        .when(k % 10 == 6, F.concat(key, F.lit(',size 5",wide 6",'), seg))
+        .when(k % 10 == 7, F.concat(F.lit('"'), seg, F.lit('\n\n""two"", lines",'), key))
         .otherwise(F.concat(regular, F.lit(",")))
     )
     return table(spark, sf_dir, "customer").select(F.concat(regular, F.lit("\n"), messy).alias("value"))
@@ -37,32 +39,53 @@ def messy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     "s01_csv_grid",
     """SELECT 'Data' AS sheet, concat_ws('|', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) AS text FROM customer
 UNION ALL SELECT 'Data', CASE c_custkey % 10 WHEN 1 THEN c_custkey || '|' || c_name || '|~|~|~' WHEN 3 THEN c_mktsegment || ', "quoted"|' || c_custkey || '|~|~|~'
-  WHEN 4 THEN '~|~|~|~|~' WHEN 5 THEN '~|' || c_name || '|~|~|~' END FROM customer WHERE c_custkey % 10 IN (1, 3, 4, 5)""",
+  WHEN 4 THEN '~|~|~|~|~' WHEN 5 THEN '~|' || c_name || '|~|~|~' WHEN 6 THEN c_custkey || '|size 5"|wide 6"|' || c_mktsegment || '|~'
+  WHEN 7 THEN c_mktsegment || chr(10) || chr(10) || '"two", lines|' || c_custkey || '|~|~|~' END FROM customer WHERE c_custkey % 10 IN (1, 3, 4, 5, 6, 7)""",
 )
 def csv_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over-wide lines dropped, short ones padded, blank ones gone."""
+    """Over-wide records dropped, short ones padded, blank ones gone; inch marks and quoted line breaks kept."""
     path = scratch_path(spark, "csv")
     messy_lines(spark, sf_dir).write.text(path)
     return S.csv_grid(spark, path).select("sheet", F.array_join("cells", "|", "~").alias("text"))
 
 
-@query("s02_json_records", """SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id, event_type, props FROM events""")
+@query(
+    "s02_json_records",
+    """SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id, event_type, props, ((event_id + 1) * 1000003)::VARCHAR || '12345678.5' AS long_number FROM events""",
+)
 def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as the file spells them; a number of many digits stays as it is."""
     path = scratch_path(spark, "json")
-    table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props").write.json(path)
-    return S.json_records(spark, path, lines=True).select("event_id", "user_id", "event_type", "props")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    number = F.concat(((F.col("event_id") + 1) * 1000003).cast("string"), F.lit("12345678.5"))
+    body = F.regexp_replace(F.to_json(F.struct("*")), r"\}$", "")
+    events.select(F.concat(body, F.lit(',"long_number":'), number, F.lit("}")).alias("value")).write.text(path)
+    return S.json_records(spark, path, lines=True).select("event_id", "user_id", "event_type", "props", "long_number")
+
+
+def spell(spark: SparkSession, lines: DataFrame, folder: str, name: str) -> None:
+    """Write a few lines as one file of the given name, through Spark's own file system."""
+    made = scratch_path(spark, "one")
+    lines.coalesce(1).write.text(made)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(made)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
+    fs.rename(part, hadoop.Path(f"{folder}/{name}"))
 
 
 @query(
     "s04_mixed_folder",
-    """SELECT sheet, count(*) AS n FROM (SELECT 'Data' AS sheet FROM customer UNION ALL SELECT 'Data' FROM customer WHERE c_custkey % 10 IN (1, 3, 4, 5)
- UNION ALL SELECT 'JSON Data' FROM supplier) GROUP BY 1""",
+    """SELECT sheet, count(*) AS n FROM (SELECT 'Data' AS sheet FROM customer UNION ALL SELECT 'Data' FROM customer WHERE c_custkey % 10 IN (1, 3, 4, 5, 6, 7)
+ UNION ALL SELECT 'JSON Data' FROM supplier UNION ALL SELECT 'JSON Data' FROM nation UNION ALL SELECT 'CSV Data' FROM region) GROUP BY 1""",
 )
 def mixed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text and JSON files of one folder, each by its extension; header rows of JSON grids aside."""
+    """Text and JSON files of one folder, each by its extension in any case; header rows of JSON grids aside."""
     path = scratch_path(spark, "mixed")
     messy_lines(spark, sf_dir).write.text(path)
     table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").write.mode("append").json(path)
+    spell(spark, table(spark, sf_dir, "nation").select(F.to_json(F.struct("n_nationkey", "n_name")).alias("value")), path, "NATION.Json")
+    spell(spark, table(spark, sf_dir, "region").select(F.concat_ws(",", "r_regionkey", "r_name").alias("value")), path, "REGION.CSV")
     grid = S.read_grids(spark, path, json_lines=True)
     is_head = (F.col("sheet") == "JSON Data") & (F.col("row_idx") == 0)
     return grid.where(~is_head).groupBy("sheet").agg(F.count(F.lit(1)).alias("n"))

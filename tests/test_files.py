@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import grid as G
@@ -46,6 +47,55 @@ def test_csv_lines(spark, tmp_path):
     assert [r["row_idx"] for r in got] == [0, 1, 2, 3] and got[0]["sheet"] == "CSV Data"
 
 
+def cells_of(spark, folder):
+    return [r["cells"] for r in S.csv_grid(spark, str(folder)).orderBy("row_idx").collect()]
+
+
+def test_quotes_inside_bare_fields(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('size 5",wide 6"\nx,y\nz,w\n"p"q,r"s"\n')
+    assert cells_of(spark, tmp_path) == [['size 5"', 'wide 6"'], ["x", "y"], ["z", "w"], ["pq", 'r"s"']]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('a,b\n"one\n\n, ""two""",3\nx"y,"4\n5"\n6,7\n')
+    assert cells_of(spark, tmp_path) == [["a", "b"], ['one\n\n, "two"', "3"], ['x"y', "4\n5"], ["6", "7"]]
+
+
+def test_line_breaks_over_file_blocks(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("k,v\n" + "".join(f'{i},"a\nb{i}"\n' if i % 3 else f"{i},c\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        got = cells_of(spark, tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got[1:] == [[str(i), f"a\nb{i}" if i % 3 else "c"] for i in range(3000)]
+
+
+def test_unclosed_quotes_are_refused(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('a,b\n1,"x\n2,3\n')
+    with pytest.raises(ValueError, match="line 2 .*never closed"):
+        S.csv_grid(spark, str(tmp_path))
+
+
+def test_extensions_in_any_case_and_workbooks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1\n")
+    (tmp_path / "B.CSV").write_text("2\n")
+    (tmp_path / "c.JSON").write_text('[{"v": 12345678.9, "w": true}]')
+    (tmp_path / "d.tsv").write_text("3\n")
+    (tmp_path / "noending").write_text("4\n")
+    got = sorted((r["sheet"], r["row_idx"], r["cells"]) for r in S.read_grids(spark, str(tmp_path)).collect())
+    assert got == [("CSV Data", 0, ["1"]), ("CSV Data", 0, ["2"]), ("Data", 0, ["3"]), ("Data", 0, ["4"]), ("JSON Data", 0, ["v", "w"]), ("JSON Data", 1, ["12345678.9", "true"])]
+    (tmp_path / "e.XLSX").write_bytes(b"PK")
+    with pytest.raises(ValueError, match="cell tables"):
+        S.read_grids(spark, str(tmp_path))
+
+
+def test_cache_ids_stay_text(spark):
+    path = scratch_path(spark, "cache")
+    store.write_cache(spark.createDataFrame([(1, "007", "t"), (2, "7", "t")], "v int, import_id string, table_name string"), path)
+    assert [tuple(r) for r in store.read_cache(spark, path, "007", "t").collect()] == [(1, "007", "t")]
+
+
 def test_positions_over_many_blocks(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"f{k}.txt").write_text("".join(f"{k}-{i}\n" for i in range(4000 + 700 * k)))
