@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.dates import literal_timestamp
+from millrace.functions.dates import aside, literal_timestamp
 from millrace.functions.kinds import TRUE_WORDS, is_number
 from millrace.functions.text import is_empty, strip
 
@@ -35,16 +35,30 @@ def _plain_number(c: Column) -> Column:
     return F.replace(strip(c), F.lit("_"), F.lit(""))
 
 
+def _shifted(v: Column) -> Column:
+    """Exponents, and fractions without a leading digit, shift the point within the digits.
+
+    Beyond the range of a double there is no number.
+    """
+    parts = r"^[+-]?([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$"
+    front, back = F.regexp_extract(v, parts, 1), F.regexp_extract(v, parts, 2)
+    shift = F.coalesce(F.regexp_extract(v, parts, 3).try_cast("int"), F.lit(0))
+    right = F.concat(front, F.rpad(F.substring(back, F.lit(1), F.greatest(shift, F.lit(0))), F.greatest(shift, F.lit(0)), "0"))
+    kept = F.greatest(F.length(front) + F.least(shift, F.lit(0)), F.lit(0))
+    whole = F.ltrim(F.when(shift >= 0, right).otherwise(F.substring(front, F.lit(1), kept)), F.lit("0"))
+    whole = F.when(whole == "", F.lit("0")).otherwise(whole)
+    finite = is_number(v) & (F.abs(v.try_cast("double")) < float("inf")) & (F.abs(shift) < 400)
+    minus = F.when(v.startswith("-") & (whole != "0"), F.lit("-")).otherwise(F.lit(""))
+    return F.when(finite, F.concat(minus, whole))
+
+
 def integer_literal(c: Column) -> Column:
     """Truncated toward zero; digits stay exact at any length, null when not a number."""
     v = _plain_number(c)
     digits = F.regexp_extract(v, r"^[+-]?0*([0-9]+)(\.[0-9]*)?$", 1)
     negative = v.startswith("-") & (digits != "0")
     by_text = F.when(digits != "", F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits))
-    # Exponents, and fractions without a leading digit, go through a decimal.
-    wide = F.when(is_number(strip(c)), v.try_cast("decimal(38,10)"))
-    truncated = F.when(wide < 0, F.ceil(wide)).otherwise(F.floor(wide)).cast("decimal(38,0)").cast("string")
-    return F.coalesce(by_text, truncated)
+    return F.coalesce(by_text, aside(v, _shifted))
 
 
 def float_literal(c: Column) -> Column:

@@ -130,8 +130,8 @@ def load_order(tables: DataFrame, fks: DataFrame, by: Sequence[str]) -> DataFram
 
     ``tables`` holds ``by, table, table_pos``. A table follows its last-placed
     parent, ties keep schema order. Round n places level n; each round touches only
-    edges out of the tables just placed. The sort key spells the path of
-    last-placed parents, so no round needs a global numbering.
+    edges out of the tables just placed. The sort key is the path of last-placed
+    parents as an array of positions, so no round needs a global numbering.
     """
     nodes = tables.select(*by, F.lower("table").alias("k"), "table", "table_pos")
     edges = fks.select(*by, F.lower("child_table").alias("child"), plain_table(F.col("parent_table")).alias("parent"))
@@ -141,7 +141,7 @@ def load_order(tables: DataFrame, fks: DataFrame, by: Sequence[str]) -> DataFram
     needs = edges.groupBy(*by, F.col("child").alias("k")).agg(F.count(F.lit(1)).alias("open"))
     state = stage(nodes.join(needs, [*by, "k"], "left").fillna({"open": 0}), "order-state")
 
-    own = F.lpad(F.col("table_pos").cast("string"), 10, "0")
+    own = F.array(F.col("table_pos").cast("long"))
     placed = state.where(F.col("open") == 0).select(*by, "k", "table", "table_pos", F.lit(0).alias("level"), own.alias("path"))
     pending = state.where(F.col("open") > 0)
     parts, level = [placed], 0

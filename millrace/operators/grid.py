@@ -206,23 +206,25 @@ def wide(rows: DataFrame, columns: DataFrame, sheet: tuple[str, str], name: str)
 def physical_types(values: DataFrame, by: Sequence[str]) -> DataFrame:
     """Narrowest of five types that every value of a column has; text values."""
     text = F.lower(strip(F.col("value")))
-    filled = F.col("filled")
+    filled, whole = F.col("filled"), r"^[+-]?[0-9]+$"
     tested = values.select(*by, F.when(text != "", text).alias("filled")).select(
         *by,
-        filled.rlike(r"^[+-]?[0-9]{1,18}$").alias("int_ok"),
+        (filled.rlike(whole) & filled.try_cast("long").isNotNull()).alias("int_ok"),
+        filled.rlike(whole).alias("whole_ok"),
         is_number(filled).alias("num_ok"),
         filled.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([t ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?)?$").alias("date_ok"),
         filled.rlike("^(true|false)$").alias("bool_ok"),
         filled.isNull().alias("no_value"),
     )
     folded = tested.groupBy(*by).agg(
-        *[F.bool_and(c).alias(c) for c in ("int_ok", "num_ok", "date_ok", "bool_ok")], F.bool_or("no_value").alias("gaps")
+        *[F.bool_and(c).alias(c) for c in ("int_ok", "whole_ok", "num_ok", "date_ok", "bool_ok")], F.bool_or("no_value").alias("gaps")
     )
-    # A column of whole numbers with gaps is held as floats; booleans with gaps as text.
+    # A column of whole numbers with gaps is held as floats; booleans with gaps as text, and so are
+    # whole numbers that no integer type holds, whose digits a float would lose.
     kind = (
         F.when(F.col("bool_ok") & ~F.col("gaps"), F.lit("boolean"))
         .when(F.col("int_ok") & ~F.col("gaps"), F.lit("integer"))
-        .when(F.col("num_ok"), F.lit("float"))
+        .when(F.col("num_ok") & (F.col("int_ok") | ~F.col("whole_ok")), F.lit("float"))
         .when(F.col("date_ok"), F.lit("date"))
     )
     return folded.select(*by, kind.otherwise(F.lit("string")).alias("physical_type"))

@@ -48,6 +48,8 @@ _TARGET_TYPES = ("data_type", "is_pk", "is_identity", "length")
 _SOURCE_TYPES = ("inferred_type", "is_integer", "is_numeric", "is_boolean", "min_length")
 # A block key whose pairs exceed this is split over both sides.
 BLOCK_PAIRS = 4_000_000
+# A scope with no more pairs than this is compared as a whole.
+SCOPE_PAIRS = 250_000
 BLOCK_SIDE = 2_000
 
 
@@ -183,6 +185,23 @@ def pair(targets: DataFrame, sources: DataFrame, by: Sequence[str], block_pairs:
     each source row likewise, and every pair meets in exactly one tile.
     """
     named, headed = stage(prepare_targets(targets), "match-targets"), stage(prepare_sources(sources), "match-sources")
+    # A scope whose two sides are short meets as it is: fewer rows than its keys would bring together.
+    sides = named.groupBy(*by).agg(F.count(F.lit(1)).alias("nt")).join(headed.groupBy(*by).agg(F.count(F.lit(1)).alias("ns")), list(by))
+    short = stage(sides.where(F.col("nt") * F.col("ns") <= min(block_pairs, SCOPE_PAIRS)).select(*by), "short-scopes")
+    small = named.join(short, list(by)).join(headed.drop("s_keys"), list(by)).drop("t_keys").where(incompatibility().isNull())
+    large = sides.where(F.col("nt") * F.col("ns") > min(block_pairs, SCOPE_PAIRS)).select(*by)
+    if large.isEmpty():
+        return _wanted(small, by)
+    return _wanted(small, by).unionByName(_wanted(_by_keys(named.join(large, list(by)), headed.join(large, list(by)), by, block_pairs), by))
+
+
+def _wanted(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    return pairs.select(*by, "table", "name", "target_pos", "placeholder", "t_norm", "t_words", "tbl_norm", "tbl_words", "t_letters",
+                        "source", "src_pos", "inferred_type", "s_norm", "s_words", "s_letters")
+
+
+def _by_keys(named: DataFrame, headed: DataFrame, by: Sequence[str], block_pairs: int) -> DataFrame:
+    """Pairs of large scopes that share a name key."""
     # Only identities, keys and type facts travel through the key join.
     t = named.select(*by, "table", "name", "t_keys", *_TARGET_TYPES, F.explode("t_keys").alias("key"))
     s = headed.select(*by, "source", "s_keys", *_SOURCE_TYPES, F.explode("s_keys").alias("key"))
@@ -278,10 +297,13 @@ def score(pairs: DataFrame) -> DataFrame:
 
     spent = {"fixed", "bonus", "shared", "jac", "t_norm", "t_words", "tbl_norm", "tbl_words", "t_letters", "s_norm", "s_words", "s_letters", "placeholder"}
     keep = [c for c in base.columns if c not in spent]
-    # Settled pairs pass nulls through the measure, so one pass serves both kinds.
     unsettled = F.col("fixed").isNull()
     base = base.select(*keep, "fixed", "bonus", "shared", "jac", "t_norm", "s_norm")
-    base = base.withColumn("seq", sequence_ratio(F.when(unsettled, tn), F.when(unsettled, sn)))
+    # One measurement per distinct pair of names over all scopes.
+    base = stage(base, "hopeful")
+    measured = base.where(unsettled).select("t_norm", "s_norm").distinct()
+    measured = stage_facts(measured.withColumn("seq", sequence_ratio(tn, sn)), "ratios")
+    base = lookup(base, measured.renamed("t_norm", "m_t").renamed("s_norm", "m_s"), [(tn, "m_t"), (sn, "m_s")], ["seq"])
     seq = F.col("seq")
     best = F.greatest(seq, seq * 0.5 + F.col("jac") * 0.5)
     best = F.when(F.col("shared"), F.greatest(best, F.lit(SHARED_WORD_FLOOR))).otherwise(best)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.text import is_empty, strip
+from millrace.functions.text import is_empty, is_empty_number, strip
 from millrace.operators.lookup import lookup
 from millrace.operators.selfref import accept_in_order
 from millrace.session import Facts, stage, stage_facts
@@ -56,6 +56,7 @@ class TableCheck:
     conflicts: Facts | None
     orphans: dict[int, Facts]
     self_facts: dict[int, tuple[Facts, int | None]] = field(default_factory=dict)
+    accepted: Facts | None = None  # the valid tuples, written once the rules are settled
 
     @property
     def mapped(self) -> list[str]:
@@ -103,6 +104,10 @@ class TableCheck:
                 out.append((c.name, is_empty(F.col(name))))
         return out
 
+    def required(self, column: str) -> bool:
+        """A required column holds a value in every accepted row."""
+        return column.lower() in {name.lower() for name, _ in self._null_failures()}
+
     def _fk_failures(self) -> list[tuple[int, ForeignKey, Column]]:
         known = sorted([*self.orphans, *self.self_facts])
         return [(i, self.table.foreign_keys[i], F.col(f"orphan{i}").isNotNull()) for i in known]
@@ -116,6 +121,9 @@ class TableCheck:
     @property
     def valid(self) -> DataFrame:
         """Accepted distinct tuples with the row they were first seen in."""
+        return self._valid() if self.accepted is None else self.accepted.df
+
+    def _valid(self) -> DataFrame:
         if self.self_facts:
             rows = self._with_facts(self.source).where(~self._failed())
             return distinct_tuples(rows.select(ROW, *self.mapped)).select(ROW, *self.mapped)
@@ -223,25 +231,17 @@ class TableCheck:
         conflict = F.col("variants").isNotNull()
         nulls = _count_true([t for _, t in self._null_failures()])
         fks = _count_true([t for *_, t in self._fk_failures()])
-        if self.self_facts:
-            base = self.flagged.withColumn("copies", F.lit(1).cast("long"))
-            kept = self.valid.agg(F.count(F.lit(1)).alias("valid_rows"))
-        else:
-            base = self._with_facts(self.tuples)
-            kept = None
+        base = self.flagged.withColumn("copies", F.lit(1).cast("long")) if self.self_facts else self._with_facts(self.tuples)
         n_conflicts = 0 if self.conflicts is None else self.conflicts.rows
         aggs = [
             F.coalesce(F.sum("copies"), F.lit(0)).alias("source_rows"),
-            F.coalesce(F.sum(F.when(~self._failed(), F.lit(1))), F.lit(0)).cast("long").alias("valid_rows"),
+            F.lit(self.accepted.rows).cast("long").alias("valid_rows"),
             F.coalesce(F.sum(F.when(self._failed(), F.col("copies"))), F.lit(0)).alias("rejected_rows"),
             F.lit(n_conflicts).cast("long").alias("pk_conflict_keys"),
             F.coalesce(F.sum(F.when(~conflict, fks * F.col("copies"))), F.lit(0)).cast("long").alias("fk_errors"),
             F.coalesce(F.sum(F.when(~conflict, nulls * F.col("copies"))), F.lit(0)).cast("long").alias("null_errors"),
         ]
-        out = base.agg(*aggs)
-        if kept is not None:
-            out = out.withColumn("valid_rows", kept.scalar())
-        return out.select(
+        return base.agg(*aggs).select(
             F.lit(self.table.name).alias("table"), "source_rows", "valid_rows", "rejected_rows",
             (F.col("source_rows") - F.col("valid_rows") - F.col("rejected_rows")).alias("duplicate_rows"),
             "pk_conflict_keys", "fk_errors", "null_errors",
@@ -270,12 +270,15 @@ def distinct_tuples(rows: DataFrame) -> DataFrame:
 
 
 def project(staged: DataFrame, table: Table, fill: Fill) -> DataFrame:
-    """This table's own slice of a source that may feed several tables."""
+    """This table's own slice of a source that may feed several tables; NaN is a missing value."""
     picked = []
+    floating = {f.name.lower() for f in staged.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     for c in table.columns:
         src = fill.source(table.name, c.name)
         if src is not None:
-            picked.append(F.col(f"`{src}`").cast("string").alias(c.name))
+            value = F.col(f"`{src}`")
+            value = F.when(~is_empty_number(value), value) if src.lower() in floating else value
+            picked.append(value.cast("string").alias(c.name))
     return staged.select(F.col(ROW), *picked)
 
 
@@ -310,14 +313,6 @@ def find_orphans(tuples: DataFrame, column: str, parents: DataFrame) -> DataFram
     return wanted.join(parents, "fk_value", "left_anti").withColumn("orphan", F.lit(True))
 
 
-def _never_empty(parent: TableCheck, column: str, invalid: dict[str, str]) -> bool:
-    """A required column of a table with accepted rows always holds values."""
-    if parent.table.name in invalid:
-        return False
-    required = {name.lower() for name, _ in parent._null_failures()}
-    return column.lower() in required
-
-
 # Report layouts for a run in which no table takes part.
 EMPTY_REPORTS = {
     "rejected": "row_index long, table string, error_type string, reason string",
@@ -389,7 +384,7 @@ def validate(
     """Check ``staged`` (``row_idx`` plus source columns) against ``tables``, parents first.
 
     ``open_world`` (Q10): a reference is unchecked while its parent has no accepted
-    values. ``self_fk`` is ``"ordered"`` (checked against earlier accepted rows) or
+    values; in a closed world nothing satisfies it then. ``self_fk`` is ``"ordered"`` (checked against earlier accepted rows) or
     ``"off"``.
     """
     order = load_order(tables)
@@ -415,20 +410,24 @@ def validate(
             check.conflicts = stage_facts(find_conflicts(tuples, check._key_parts()), f"conflicts-{table.key}")
 
         for i, fk in enumerate(table.foreign_keys):
-            parent = checks.get(fk.parent_table.lower())
-            if fk.column.lower() not in mapped or fk.parent_table.lower() == table.key or parent is None:
-                continue
-            if fk.parent_column.lower() not in {c.lower() for c in parent.mapped}:
+            parent = checks.get(fk.parent_key)
+            if fk.column.lower() not in mapped or fk.parent_key == table.key:
                 continue
-            values = parent_values(parent.valid, parent._target(fk.parent_column))
-            if open_world and not _never_empty(parent, fk.parent_column, invalid) and values.isEmpty():
+            if parent is not None and fk.parent_column.lower() in {c.lower() for c in parent.mapped}:
+                values = parent_values(parent.valid, parent._target(fk.parent_column))
+                held = parent.required(fk.parent_column) and parent.accepted.rows > 0
+                if open_world and not held and values.isEmpty():
+                    continue
+            elif open_world:
                 continue
+            else:
+                values = staged.sparkSession.createDataFrame([], "fk_value string")
             orphans = find_orphans(tuples, check._target(fk.column), values)
             check.orphans[i] = stage_facts(orphans, f"orphans-{table.key}")
 
         own = [
             i for i, fk in enumerate(table.foreign_keys)
-            if fk.parent_table.lower() == table.key and {fk.column.lower(), fk.parent_column.lower()} <= mapped
+            if fk.parent_key == table.key and {fk.column.lower(), fk.parent_column.lower()} <= mapped
         ]
         if own and self_fk == "ordered":
             links = [F.col(ROW)]
@@ -439,7 +438,8 @@ def validate(
             check.self_facts = accept_in_order(clean.select(*links), own)
 
         checks[table.key] = check
-        if check.valid.isEmpty():  # V12
+        check.accepted = stage_facts(check.valid, f"valid-{table.key}")
+        if not check.accepted.rows:  # V12
             invalid[table.name] = "No valid rows remaining after validation."
         else:
             valid_tables.append(table.name)

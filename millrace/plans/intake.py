@@ -79,8 +79,8 @@ def auto_match(targets: DataFrame, sources: DataFrame, by: Sequence[str], decisi
 
 
 def check_targets(matched: DataFrame, by: Sequence[str]) -> None:
-    """A1 as the gate before rendering: names the first conflicts."""
-    bad = [r["message"] for r in duplicate_targets(matched, by).limit(20).collect()]
+    """A1 as the gate before rendering: names all conflicts, in order. There are at most as many as declared columns."""
+    bad = sorted(r["message"] for r in duplicate_targets(matched, by).select("message").collect())
     if bad:
         raise ValueError("Cannot generate SQL with unresolved mapping conflicts: " + "; ".join(bad))
 

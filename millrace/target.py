@@ -29,12 +29,21 @@ class Column:
         return category_of(self.sql_type)
 
 
+def plain_name(table: str) -> str:
+    """A table name without schema and quotes, in lower case."""
+    return table.rsplit(".", 1)[-1].strip("[]`\"").lower()
+
+
 @dataclass(frozen=True)
 class ForeignKey:
     column: str
     parent_table: str
     parent_column: str
 
+    @property
+    def parent_key(self) -> str:
+        return plain_name(self.parent_table)
+
 
 @dataclass(frozen=True)
 class Table:
@@ -151,7 +160,7 @@ def load_order(tables: Iterable[Table]) -> list[Table]:
     tables = list(tables)
     rank = {t.key: i for i, t in enumerate(tables)}
     parents = {
-        t.key: {fk.parent_table.lower() for fk in t.foreign_keys if fk.parent_table.lower() in rank} - {t.key}
+        t.key: {fk.parent_key for fk in t.foreign_keys if fk.parent_key in rank} - {t.key}
         for t in tables
     }
     placed: dict[str, int] = {}
