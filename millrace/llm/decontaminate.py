@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,16 +21,18 @@ WINDOW, STRIDE = 64, 32
 #: Latent dimensions, and the extra columns of the random test matrix.
 RANK, EXTRA = 256, 16
 #: Terms that stand in more than this share of passages carry no weight, unless an item has few rarer ones.
-MAX_SHARE, LEAST_TERMS = 0.02, 12
+MAX_SHARE, LEAST_TERMS = 0.005, 12
 #: Rows of a partial sum that travel as one record.
 CHUNK = 256
 SCHEMA = "doc_id long, text_digest long, item_id long, cosine double, lcs_share double, answer_share double, start_word int, stop_word int"
 
-_EDGE = re.compile(r"^\W+|\W+$")
+#: Fixed value: what is stripped from both ends of a word.
+EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00b7\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026"
 
 
-def plain(word: str) -> str:
-    return _EDGE.sub("", word.lower())
+def plain(words: pa.Array) -> pa.Array:
+    """Words in lower case, without punctuation at their ends."""
+    return pc.utf8_trim(pc.utf8_lower(words), characters=EDGES)
 
 
 @dataclass(frozen=True)
@@ -57,7 +60,8 @@ def encode_items(rows: list[tuple[int, str]]) -> tuple[dict[str, int], list[Item
     vocabulary: dict[str, int] = {}
     items = []
     for item_id, text in rows:
-        codes = [vocabulary.setdefault(p, len(vocabulary)) if (p := plain(w)) else -1 for w in (text or "").split()]
+        own = plain(pa.array((text or "").split(), pa.string())).to_pylist()
+        codes = [vocabulary.setdefault(w, len(vocabulary)) if w else -1 for w in own]
         start = _answer_start(text or "")
         whole, answer = (np.array([c for c in part if c >= 0], np.int32) for part in (codes, codes[start:]))
         if len(whole):
@@ -68,11 +72,13 @@ def encode_items(rows: list[tuple[int, str]]) -> tuple[dict[str, int], list[Item
 def encode(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """``doc_id, text_digest, codes``: every word of every text as the number of its benchmark term, or -1."""
 
+    terms = pa.array(list(vocabulary), pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 w = words(part.column("text"))
-                known = np.fromiter((vocabulary.get(plain(v), -1) for v in w.values.to_pylist()), np.int32, len(w.values))
+                known = pc.fill_null(pc.index_in(plain(w.values), terms), -1).to_numpy().astype(np.int32)
                 flat = known[w.codes] if len(w.codes) else np.zeros(0, np.int32)
                 codes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((w.starts * 4).tobytes()), pa.py_buffer(flat.tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_digest"), codes.cast(pa.binary())], ["doc_id", "text_digest", "codes"])
@@ -120,13 +126,25 @@ class Terms:
 
 
 def project(of: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
-    """Rows of a sparse matrix times ``basis``, some thousand rows at a time."""
-    out = np.zeros((n, basis.shape[1]), np.float32)
-    edges = np.searchsorted(of, np.arange(0, n + 1024, 1024))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if a < b:
-            head = np.flatnonzero(np.concatenate([[True], of[a + 1:b] != of[a:b - 1]]))
-            out[of[a:b][head]] = np.add.reduceat(basis[term[a:b]] * value[a:b, None].astype(np.float32), head, 0)
+    """Rows of a sparse matrix (sorted by row ``of``) times ``basis``.
+
+    Some hundred rows at a time, longest first: step ``j`` adds every row's ``j``-th entry, so the sum stays in the cache.
+    """
+    out, value = np.zeros((n, basis.shape[1]), np.float32), value.astype(np.float32)
+    for first in range(0, n, 256):
+        rows = min(n - first, 256)
+        lo, hi = np.searchsorted(of, [first, first + rows])
+        if lo == hi:
+            continue
+        count = np.bincount(of[lo:hi] - first, minlength=rows)
+        order = np.argsort(-count, kind="stable")
+        start, count = (lo + np.cumsum(count) - count)[order], count[order]
+        total = np.zeros((rows, basis.shape[1]), np.float32)
+        for j in range(count[0]):
+            m = np.searchsorted(-count, -j)
+            at = start[:m] + j
+            total[:m] += basis[term[at]] * value[at, None]
+        out[first + order] = total
     return out
 
 
@@ -179,8 +197,14 @@ def weigh(coded: DataFrame, items: list[Item], n_terms: int) -> Terms:
         of, start, _ = passages(lengths, WINDOW)
         total[n_terms, 0] += len(of)
         at = np.flatnonzero(codes >= 0)
-        seen = np.unique((np.searchsorted(start, at, "right") - 1) * n_terms + codes[at])
-        total[:n_terms, 0] += np.bincount(seen % n_terms, minlength=n_terms)
+        passage, term = np.searchsorted(start, at, "right") - 1, codes[at]
+        # Keys of some passages at a time stay small and sort within the cache.
+        step = max(1, (1 << 31) // n_terms // 4096)
+        edges = np.searchsorted(passage, np.arange(0, len(start) + step, step))
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            key = np.sort(((passage[a:b] - step * k) * n_terms + term[a:b]).astype(np.int32))
+            new = np.concatenate([[True], key[1:] != key[:-1]])[:len(key)]
+            total[:n_terms, 0] += np.bincount(key[new] % n_terms, minlength=n_terms)
 
     counts = _total(coded, (n_terms + 1, 1), add)[:, 0]
     share = counts[:n_terms] / max(counts[n_terms], 1)
