@@ -14,8 +14,10 @@ from millrace.llm.components import components
 from millrace.llm.text import mix, shingles, slices, words
 from millrace.session import stage
 
-#: Registers per sketch, the base of their spacing, and the rate of the exponential variables.
-REGISTERS, BASE, RATE = 128, 1.2, 20.0
+#: Registers per sketch, the base of their spacing, and the rate of the exponential variables. The closer the
+#: base to 1, the rarer equal registers of unrelated sets: 0.5 % each at 1.02, so bands of four hardly ever meet by chance.
+REGISTERS, BASE, RATE = 128, 1.02, 20.0
+TOP = 65_535
 #: Registers per band. At a similarity of 0.8 two texts share no band with a probability of 1e-8.
 BAND = 4
 #: Candidates are verified from this far below the similarity asked for: 4.5 standard errors of the estimate.
@@ -44,7 +46,7 @@ def registers(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
             for k in range(REGISTERS):
                 least[i:j, k] = np.minimum.reduceat(part * _A[k] + _B[k], at)
     x = -np.log1p(-(least + 0.5) / 2.0**32) / RATE
-    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,14 +94,14 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 n = np.diff(starts)
                 full = np.flatnonzero(n)
                 hi, lo = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-                regs = np.zeros((len(n), REGISTERS), np.uint8)
+                regs = np.zeros((len(n), REGISTERS), np.uint16)
                 if len(full):
                     at = starts[:-1][full]
                     with np.errstate(over="ignore"):
                         hi[full] = np.add.reduceat(mix(h + np.uint64(11)), at).view(np.int64)
                         lo[full] = np.add.reduceat(mix(h + np.uint64(29)), at).view(np.int64)
                     regs[full] = registers(h, np.append(at, len(h)))
-                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(REGISTERS), len(n), [None, pa.py_buffer(regs.tobytes())]).cast(pa.binary())
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REGISTERS), len(n), [None, pa.py_buffer(regs.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(n), pa.array(hi), pa.array(lo), packed],
                                                  ["doc_id", "row", "n", "hi", "lo", "regs"])
 
@@ -109,16 +111,22 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 def _bands(sets: DataFrame) -> DataFrame:
     """``bucket, id`` per set and band; a bucket is a band's number and values."""
-    keys = [F.xxhash64(F.lit(k), F.substring("regs", k * BAND + 1, BAND)) for k in range(REGISTERS // BAND)]
+    keys = [F.xxhash64(F.lit(k), F.substring("regs", 2 * k * BAND + 1, 2 * BAND)) for k in range(REGISTERS // BAND)]
     return sets.select(F.explode(F.array(*keys)).alias("bucket"), "id")
 
 
 def _compare(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    return estimate((a > b).sum(1).astype(float), (a < b).sum(1).astype(float), n_a.astype(float), n_b.astype(float))
+    """Estimates for rows of ``a`` and ``b``; 0 where they are far apart."""
+    greater, less = (a > b).sum(1), (a < b).sum(1)
+    out = np.zeros(len(greater))
+    # With fewer than half of the registers equal the likelihood has its maximum far below any threshold in use.
+    near = np.flatnonzero(2 * (greater + less) <= REGISTERS)
+    out[near] = estimate(*(x[near].astype(float) for x in (greater, less, n_a, n_b)))
+    return out
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist() if isinstance(column, pa.Array) else column), np.uint8).reshape(-1, REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist() if isinstance(column, pa.Array) else column), np.uint16).reshape(-1, REGISTERS)
 
 
 def _likely(pairs: DataFrame, sets: DataFrame, percent: int, least: float) -> DataFrame:
@@ -241,7 +249,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = stage(links.union(_verified(stage(rest, "rest"), nodes, docs, width, percent)), "links")
     found = components(links)
 
-    placed = shared.join(found, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
+    # Pairs with a bucket's first member are settled; what is left are its other members among themselves.
+    placed = shared.where("size > 2 AND id <> head").join(found, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
     placed = stage(placed, "placed")
     several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     rows3 = placed.join(several, "bucket").join(nodes.select("id", "n", "regs"), "id")
