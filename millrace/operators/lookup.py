@@ -1,9 +1,10 @@
 """Left lookup of per-key facts that holds up under hot keys.
 
 The right side has one row per key. It is staged and measured: empty means no
-join, small in rows and bytes means broadcast. Beyond that the heaviest keys (a fixed number, by
-known row weight) are answered by a broadcast of just those keys while their rows
-are spread over salts, and all others meet in a shuffle join.
+join, small in rows and bytes means broadcast. Beyond that every key that holds more than a
+fixed share of the left rows (by known row weight) is answered by a broadcast of just those
+keys, whose number the share bounds and whose bytes are measured, while their rows are
+spread over salts; all others meet in a shuffle join.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from millrace.session import Facts, stage_facts
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
-HOT_KEYS = 1_000
+#: A key with more than one in so many left rows is hot; there are fewer such keys than this.
+HOT_SHARE = 2_000
 SALTS = 256
 
 
@@ -56,8 +58,11 @@ def lookup(
     if weight is None:
         return rows.join(side, match, "left").drop(*spare)
 
-    hot = fixed.orderBy(F.col(weight).desc()).limit(HOT_KEYS)
-    hot = hot.select(
+    total = fixed.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = stage_facts(fixed.where(F.col(weight) * HOT_SHARE > F.lit(total)), "hot")
+    if not hot.rows or hot.bytes > BROADCAST_BYTES:
+        return rows.join(side, match, "left").drop(*spare)
+    hot = hot.df.select(
         *[F.col(k).alias(f"__h_{k}") for k in keys],
         F.struct(*facts).alias("__hot"),
     )

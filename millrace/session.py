@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DIRS: dict[str, str] = {}
+_LOCAL_DIRS: dict[str, tempfile.TemporaryDirectory] = {}
+_STAGED: list[str] = []
 
 
 def configure(builder: SparkSession.Builder, shuffle_partitions: int | None = None) -> SparkSession.Builder:
@@ -43,8 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="millrace-")
-    return _LOCAL_DIRS[app]
+        _LOCAL_DIRS[app] = tempfile.TemporaryDirectory(prefix="millrace-", ignore_cleanup_errors=True)  # goes with the process
+    return _LOCAL_DIRS[app].name
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -60,10 +63,25 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what was staged inside; results must have been written by then."""
+    start = len(_STAGED)
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in _STAGED[start:]:
+            at = hadoop.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        del _STAGED[start:]
+
+
 @dataclass(frozen=True)
 class Facts:
     """A staged table with its row count and text volume, taken while it was written."""

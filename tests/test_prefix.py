@@ -51,3 +51,14 @@ def test_lookup_beyond_broadcast_and_under_hot_keys(spark):
 
 def test_facts_count_their_rows(spark):
     assert stage_facts(spark.range(37)).rows == 37
+
+
+def test_staged_tables_go_with_their_block(spark, tmp_path):
+    import os
+
+    from millrace.session import stage, staging
+
+    with staging(spark):
+        path = stage(spark.range(3), "brief").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)

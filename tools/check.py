@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from millrace.session import configure  # noqa: E402
+from millrace.session import configure, staging  # noqa: E402
 from scenarios import all_oracles, all_queries  # noqa: E402
 
 TABLES = (
@@ -71,7 +71,8 @@ def main() -> int:
         if parts and not any(p in name for p in parts):
             continue
         try:
-            state, n, took, note = compare(spark, con, name, fn, oracles.get(name), sf_dir)
+            with staging(spark):
+                state, n, took, note = compare(spark, con, name, fn, oracles.get(name), sf_dir)
         except Exception as e:  # noqa: BLE001
             state, n, took, note = "ERROR", 0, 0.0, str(e)[:1500]
         bad += state not in ("ok", "rows-only")
