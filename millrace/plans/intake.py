@@ -14,9 +14,10 @@ from millrace.operators import match as M
 from millrace.operators.profile import profile
 from millrace.operators.render import BATCH_ROWS, script
 from millrace.operators.validate import Validation, validate
-from millrace.plans.merge import duplicate_targets
+from millrace.plans.ledger import counters
+from millrace.plans.merge import duplicate_targets, matches_of, merge, normalise_actions, unmapped_sources
 from millrace.session import stage
-from millrace.sources.store import append_import, write_cache
+from millrace.sources.store import append_import, close_import, write_cache
 from millrace.target import Fill, Table, fill
 
 
@@ -126,6 +127,59 @@ def generate(
     return Generated(result, lines, filled)
 
 
+def fill_of(merged: DataFrame, actions: DataFrame) -> Fill:
+    """The decisions of one import as a ``Fill``: ``merge``'s result and normalised actions, both of a schema's size."""
+    mappings: dict[str, dict[str, str]] = {}
+    for r in merged.select("table_key", "column", "source").collect():
+        mappings.setdefault(r["table_key"], {})[r["source"]] = r["column"]
+    chosen = [
+        {"table": r["table"], "sql_column": r["column"], "action": r["action"], "raw_data_key": r["source"], "custom_value": r["custom_value"]}
+        for r in actions.select("table", "column", "action", "source", "custom_value").collect()
+    ]
+    return fill(mappings, chosen)
+
+
+NO_ACTIONS = "table string, column string, action string, source string, custom_value string, pos long"
+
+
+def load(
+    staged: DataFrame,
+    tables: Sequence[Table],
+    plans: DataFrame,
+    headers: DataFrame,
+    ledger: str,
+    import_id: str,
+    actions: DataFrame | None = None,
+    selected: Sequence[str] | None = None,
+    candidates: DataFrame | None = None,
+    dialect: str = "tsql",
+    batch_size: int = BATCH_ROWS,
+) -> Generated:
+    """From plans and user actions to the load script of one import, noted in the ledger.
+
+    ``plans`` and ``headers`` (``source``) are one import's; ``actions`` holds ``table, column,
+    action, source, custom_value, pos``. Plans that claim one column twice stop the load, and
+    the ledger says so.
+    """
+    spark = staged.sparkSession
+    try:
+        matched = matches_of(plans, [])
+        check_targets(matched, [])
+        given = normalise_actions(spark.createDataFrame([], NO_ACTIONS) if actions is None else actions, [])
+        merged = stage(merge(matched, given, []), "merged")
+        chosen = choose_tables(tables, selected)
+        filled = fill_of(merged, given)
+        unused = [r["source"] for r in unmapped_sources(headers, merged, []).orderBy("source").collect()]
+        result = validate(staged, chosen, filled)
+        numeric = [c for c, kind in G.schema_types(staged).items() if kind in ("integer", "float")]
+        lines = script(result, filled, dialect, True, batch_size, True, unused, candidates, numeric)
+        close_import(spark, ledger, import_id, counters(result, import_id))
+    except Exception as failure:
+        close_import(spark, ledger, import_id, None, str(failure))
+        raise
+    return Generated(result, lines, filled)
+
+
 def targets_of(columns: DataFrame, keys: DataFrame, fks: DataFrame, by: Sequence[str]) -> DataFrame:
     """C1, C2, C5 together: declared columns ready for matching."""
     return C.column_roles(C.mark_primary_keys(C.with_category(columns), keys, by), fks, by)

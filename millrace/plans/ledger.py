@@ -12,6 +12,13 @@ from millrace.operators.validate import ROW, Validation
 from millrace.sources.grids import inspect
 
 
+def current(ledger: DataFrame) -> DataFrame:
+    """One line per import: the ledger only grows, and a closing line stands for the opening one."""
+    closed = F.coalesce(F.col("status") != "PENDING", F.lit(False))
+    line = F.struct(*[F.col(f"`{c}`") for c in ledger.columns if c != "import_id"])
+    return ledger.groupBy("import_id").agg(F.max_by(line, closed).alias("line")).select("import_id", "line.*")
+
+
 def history(ledger: DataFrame) -> DataFrame:
     """L1: newest first."""
     return ledger.orderBy(F.col("upload_date").desc())
@@ -50,9 +57,9 @@ def staging_records(staged: DataFrame, result: Validation, import_id: str, sheet
 
 
 def counters(result: Validation, import_id: str) -> DataFrame:
-    """L4: totals over the target tables of one import."""
+    """L4: totals over the target tables of one import, all in rows per table, so that they add up."""
     return result.table_counts.agg(
-        F.max("source_rows").alias("total_records"), F.sum("valid_rows").alias("successful_records"),
+        F.sum("source_rows").alias("total_records"), F.sum("valid_rows").alias("successful_records"),
         F.sum("rejected_rows").alias("failed_records"), F.sum("duplicate_rows").alias("duplicate_records"),
     ).withColumn("import_id", F.lit(import_id))
 

@@ -49,12 +49,15 @@ def normalise_actions(actions: DataFrame, by: Sequence[str]) -> DataFrame:
 def merge(matched: DataFrame, actions: DataFrame, by: Sequence[str]) -> DataFrame:
     """A3: the source of every filled column; a user action beats a match.
 
-    ``actions`` comes from ``normalise_actions``. Within one table a source fills one
-    column and a column has one source; later entries win.
+    ``actions`` comes from ``normalise_actions``. Within one table a matched source fills one
+    column and a column has one source; later entries win. A source that an action has
+    placed in a table is no longer free to fill another column of it by a match; actions
+    may place one source in several columns.
     """
     keys = [*by, "table_key", "column_key"]
     chosen = actions.where((F.col("action") == "EXCEL") & F.col("source").isNotNull()).select(*keys, "column", "source")
     free = _keyed(matched).join(actions.select(*keys), keys, "left_anti")
+    free = free.join(chosen.select(*by, "table_key", "source"), [*by, "table_key", "source"], "left_anti")
     per_source = free.groupBy(*by, "table_key", "source").agg(
         F.max_by(F.struct("column_key", "column"), "pos").alias("t"), F.min("pos").alias("pos")
     )

@@ -106,3 +106,18 @@ def append_import(spark: SparkSession, path: str, import_id: str, file_name: str
         "import_id", "file_name", F.current_timestamp().alias("upload_date"), zero.alias("total_records"), zero.alias("successful_records"),
         zero.alias("failed_records"), zero.alias("duplicate_records"), F.lit("PENDING").alias("status"), F.lit(None).cast("string").alias("error_message"),
     ).write.mode("append").parquet(path)
+
+
+def close_import(spark: SparkSession, path: str, import_id: str, counters: DataFrame | None, error: str | None = None) -> None:
+    """The import's last line in the ledger, with its counters, or FAILED with the reason."""
+    opened = spark.read.schema(HISTORY).parquet(path).where((F.col("import_id") == F.lit(import_id)) & (F.col("status") == "PENDING"))
+    names = ("total_records", "successful_records", "failed_records", "duplicate_records")
+    if counters is None:
+        counts = [F.lit(0).cast("long").alias(n) for n in names]
+    else:
+        seen = counters.select(*names).first()
+        counts = [F.lit(seen[n] or 0).cast("long").alias(n) for n in names]
+    opened.select(
+        "import_id", "file_name", "upload_date", *counts, F.lit("COMPLETED" if error is None else "FAILED").alias("status"),
+        F.lit(error).cast("string").alias("error_message"),
+    ).write.mode("append").parquet(path)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import grid as G
 from millrace.plans import ledger as L
 from millrace.plans import merge as A
-from millrace.session import stage
+from millrace.plans.intake import auto_match, load, source_profiles, targets_of, upload
+from millrace.session import scratch_path, stage
+from millrace.target import Column, Table
 from scenarios.base import positioned, query, table
 from scenarios.catalogs import BY
 from scenarios.matching import ANSWERS_SQL, SCORED_SQL, final_plans, line_sources
@@ -70,7 +73,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "a03_merged_sources",
     f"""WITH {MERGE_SQL},
 free AS (SELECT import_id, lower("table") AS tk, lower("column") AS ck, source, pos FROM matched m WHERE NOT EXISTS
-  (SELECT 1 FROM na WHERE na.import_id = m.import_id AND tk = lower(m."table") AND ck = lower(m."column"))),
+  (SELECT 1 FROM na WHERE na.import_id = m.import_id AND tk = lower(m."table") AND (ck = lower(m."column") OR action = 'EXCEL' AND na.source = m.source))),
 per_source AS (SELECT import_id, tk, source, arg_max(ck, pos) AS ck, min(pos) AS pos FROM free GROUP BY 1, 2, 3),
 per_target AS (SELECT import_id, tk, ck, arg_max(source, pos) AS source FROM per_source GROUP BY 1, 2, 3)
 SELECT import_id, tk AS table_key, ck AS column_key, source FROM na WHERE action = 'EXCEL' UNION ALL SELECT * FROM per_target""",
@@ -132,7 +135,7 @@ def ledger_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "l04_counters",
     f"""WITH {SHEET_SQL}, ok AS (SELECT count(DISTINCT sig) AS n, count(*) AS m FROM li_flag WHERE NOT (conflict OR no_flag OR orphan))
-SELECT 'sales' AS import_id, (SELECT count(*) FROM sheet) AS total_records,
+SELECT 'sales' AS import_id, 3 * (SELECT count(*) FROM sheet) AS total_records,
  (SELECT count(*) FROM cust_ok) + (SELECT count(*) FROM ord_ok) + n AS successful_records,
  2 * (SELECT count(*) FROM sheet WHERE c_name IS NULL) + (SELECT count(*) FROM sheet) - m AS failed_records,
  2 * (SELECT count(*) FROM sheet WHERE c_name IS NOT NULL) - (SELECT count(*) FROM cust_ok) - (SELECT count(*) FROM ord_ok) + m - n AS duplicate_records FROM ok""",
@@ -149,3 +152,39 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = stage(event_sheets(spark, sf_dir), "grid")
     found = L.preview(grid, G.structure(grid))
     return found.select("sheet", "table_name", "row_count", "column_count", "sheet_rows", "sheet_columns", F.size("sample").alias("samples"))
+
+
+FLOW = Table("Customer", (
+    Column("Cust_Key", "int", False), Column("Cust_Name", "varchar(40)", False), Column("Acct_Bal", "decimal(12,2)"), Column("Mkt_Segment", "varchar(20)"),
+    Column("Branch", "int", False), Column("Remark", "varchar(80)")), ("Cust_Key",))
+
+
+@query(
+    "s13_import_flow",
+    """SELECT 'i1' AS import_id, 'customers.csv' AS file_name, 'COMPLETED' AS status, count(*) AS total_records, count(*) FILTER (c_custkey % 13 <> 0) AS successful_records,
+  count(*) FILTER (c_custkey % 13 = 0) AS failed_records, 0::BIGINT AS duplicate_records, count(*) FILTER (c_custkey % 13 <> 0) AS script_rows, 'nation' AS unused FROM customer""",
+)
+def import_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer sheet from grid to script: upload, match, actions, load, and the ledger's last line."""
+    cust = positioned(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey"])
+    name = F.when(F.col("c_custkey") % 13 != 0, F.col("c_name"))
+    body = cust.select(F.col("row_idx"), F.array(F.col("c_custkey").cast("string"), name, F.col("c_acctbal").cast("string"), "c_mktsegment", F.col("c_nationkey").cast("string")).alias("cells"))
+    head = spark.range(1).select(F.lit(0).cast("long").alias("row_idx"), F.array(*map(F.lit, ("Cust Key", "Cust Name", "Acct Bal", "Mkt Segment", "Nation"))).alias("cells"))
+    sheet = head.unionByName(body).select(F.lit("customers.csv").alias("source"), F.lit("Customers").alias("sheet"), "row_idx", "cells")
+    cache, book = scratch_path(spark, "cache"), scratch_path(spark, "ledger")
+    found = upload(spark, stage(sheet, "sheet"), "i1", "customers.csv", cache, book)
+    staged = stage(G.wide(found.rows, found.columns, ("customers.csv", "Customers"), "customers"), "staged")
+
+    heads = source_profiles(found).drop(*G.SHEET, "table_name", "header").withColumnRenamed("source_key", "source").withColumn("import_id", F.lit("i1"))
+    declared = spark.createDataFrame(
+        [("i1", FLOW.name, i, c.name, c.sql_type, c.nullable, c.identity, c.default, 40 if "varchar" in c.sql_type else None) for i, c in enumerate(FLOW.columns)],
+        "import_id string, table string, target_pos int, name string, sql_type string, nullable boolean, is_identity boolean, has_default boolean, length int")
+    keys = spark.createDataFrame([("i1", FLOW.name, 1, "Cust_Key")], "import_id string, table string, pk_pos int, column string")
+    none = spark.createDataFrame([], "import_id string, child_table string, child_column string, parent_table string, parent_column string, fk_pos int")
+    matching = auto_match(targets_of(declared, keys, none, ["import_id"]), heads, ["import_id"])
+    given = spark.createDataFrame([(FLOW.name, "branch", "CUSTOM_VALUE", None, "-3", 0)], "table string, column string, action string, source string, custom_value string, pos long")
+    done = load(staged, [FLOW], matching.plans, heads.select("source"), book, "i1", given, candidates=matching.candidates)
+    shown = done.script.agg(F.sum(F.size(F.split("text", r"\n    -3,\n")) - 1).alias("script_rows"),
+                            F.max(F.regexp_extract("text", r"^-- Excel Column: (.*)$", 1)).alias("unused"))
+    line = L.current(L.find_import(L.current(spark.read.parquet(book)), "i1"))
+    return line.join(shown).select("import_id", "file_name", "status", "total_records", "successful_records", "failed_records", "duplicate_records", F.col("script_rows").cast("long").alias("script_rows"), "unused")
