@@ -66,6 +66,7 @@ def incompatibility() -> Column:
     date_bad = found.isin("integer", "decimal", "email-like", "phone-like", "boolean")
     boolean_bad = ~F.col("is_boolean") & ~found.isin("integer", "boolean")
     short = F.col("length").between(1, 5) & (F.col("min_length") > F.col("length")) & (kind == "string")
+    # The message texts.
     return (
         F.when(
             (F.col("is_pk") | F.col("is_identity")) & (kind == "integer") & ~F.col("is_integer"),
@@ -276,7 +277,7 @@ def score(pairs: DataFrame) -> DataFrame:
         (F.size(sw) > 0) & (F.size(F.array_except(sw, tw)) == 0)
         & (F.size(F.array_except(F.array_except(tw, sw), F.col("tbl_words"))) == 0)
     )
-    # Each rule: test, score, reason; the first that holds decides.
+    # Each rule: test, score, reason; the first that holds decides. Scores and reasons.
     rules = (
         (F.col("placeholder") & direct, 0.98, "Direct match to generic column name"),
         (F.col("placeholder"), 0.0, "Generic SQL column placeholder requires direct name match"),
@@ -308,6 +309,7 @@ def score(pairs: DataFrame) -> DataFrame:
     best = F.greatest(seq, seq * 0.5 + F.col("jac") * 0.5)
     best = F.when(F.col("shared"), F.greatest(best, F.lit(SHARED_WORD_FLOOR))).otherwise(best)
     base = base.withColumn("final", F.least(best + F.col("bonus"), F.lit(SCORE_CAP)))
+    # Reasons by score.
     reason_text = (
         F.when(F.col("final") >= 0.80, F.lit("High semantic & token similarity"))
         .when(F.col("final") >= 0.60, F.lit("Moderate token and pattern alignment"))

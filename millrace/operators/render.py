@@ -244,7 +244,7 @@ def script(
 
 
 def ordered(lines: DataFrame) -> DataFrame:
-    return lines.orderBy("section", "table_pos", "part", "item")
+    return lines.orderBy("section", "table_pos", "part", "item", "text")  # the text orders several messages of one row
 
 
 def rejection_report(result: Validation) -> DataFrame:
@@ -264,7 +264,10 @@ def rejection_report(result: Validation) -> DataFrame:
 def _report(
     result: Validation, fill: Fill, unmapped: Sequence[str], candidates: DataFrame | None
 ) -> tuple[list[Line], list[DataFrame]]:
-    """Frame lines, and the lines that come from data."""
+    """Frame lines, and the lines that come from data.
+
+    Fixed values: the comment lines of the script's format.
+    """
     lines = [RULE, "-- VALIDATION ERRORS", RULE, ""]
     if result.invalid:
         lines.append("-- [TABLES CANNOT BE GENERATED]")
