@@ -22,8 +22,8 @@ TOP = 65_535
 BAND = 4
 #: Candidates are verified from this far below the similarity asked for: 4.5 standard errors of the estimate.
 MARGIN = 0.16
-#: Members of a bucket that one task compares with one another; larger buckets are cut into tiles.
-TILE = 2_000
+#: Members of a bucket, and their shingles, that one task compares with one another; larger buckets are cut into tiles.
+TILE, TILE_SHINGLES = 2_000, 1_000_000
 
 _rng = np.random.default_rng(20260701)
 _A = (_rng.integers(0, 1 << 32, REGISTERS, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -171,41 +171,61 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
     return met.mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, percent: int, least: float) -> DataFrame:
-    """Likely pairs of different components inside the buckets, beyond the pairs with a bucket's first member.
+def _full_sets(ids: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``id, set`` of the wanted texts, the set as ascending 64-bit hashes."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), "text").join(ids.join(sets.select("id", "row"), "id"), ["id", "row"])
 
-    ``rows``: ``bucket, id, n, regs, component, size`` of buckets with several components. A
-    bucket of more than ``TILE`` members is cut into tiles, every two of which meet in a task
-    of their own. Members of one component aren't compared.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 8 << 20):
+                h, s = _sets(part.column("text"), width)
+                packed = pa.array([h[i:j].tobytes() for i, j in zip(s[:-1], s[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), packed], ["id", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Links between different components inside the buckets, by the full sets.
+
+    ``rows``: ``bucket, id, set, component, size, shingles`` of buckets with several components,
+    the last two summed over the bucket. A bucket of more than ``TILE`` members or ``TILE_SHINGLES``
+    shingles is cut into tiles, every two of which meet in a task of their own. A member is held
+    against all others at once through the tile's inverted index of shingles; members of one
+    component aren't compared, and one link per member and other component is returned, so
+    the result doesn't grow with the square of a group.
     """
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
     rows = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    met = met.select("id", "n", "regs", "component", "bucket", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("s"), "tile")
+    met = met.select("id", "set", "component", "bucket", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("s"), "tile")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own, regs = pdf["component"].to_numpy(), _matrix(pdf["regs"])
-        ids, n, tile = (pdf[c].to_numpy() for c in ("id", "n", "tile"))
-        kinds, code, sizes = np.unique(own, return_inverse=True, return_counts=True)
+        ids, tile = pdf["id"].to_numpy(), pdf["tile"].to_numpy()
+        n = pdf["set"].map(len).to_numpy() // 8
+        h = np.frombuffer(b"".join(pdf["set"]), np.uint64)
+        of, starts = np.repeat(np.arange(len(ids)), n), np.concatenate([[0], np.cumsum(n)])
+        _, code, sizes = np.unique(pdf["component"].to_numpy(), return_inverse=True, return_counts=True)
+        order = np.argsort(h, kind="stable")
+        distinct, place, width = np.unique(h, return_inverse=True, return_counts=True)
+        holder, first = of[order], np.cumsum(width) - width
+        out: list[tuple[int, int]] = []
         # Members of the largest component are compared only from the others' side.
-        small = np.flatnonzero(code != sizes.argmax())
-        out_a, out_b, out_j = [], [], []
-        for i in small:
-            other = (code != code[i]) & ((code == sizes.argmax()) | (ids > ids[i]))
+        for i in np.flatnonzero(code != sizes.argmax()):
+            own = place[starts[i]:starts[i + 1]]
+            reach = width[own]
+            at = np.repeat(first[own] - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
+            both = np.bincount(holder[at], minlength=len(ids))
+            other = (code != code[i]) & (100 * both >= percent * (n + n[i] - both))
             if key[1] != key[2]:
                 other &= tile != tile[i]
-            near = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-            k = np.flatnonzero(other & near)
-            if not len(k):
-                continue
-            j = _compare(regs[k], regs[i][None, :], n[k], np.full(len(k), n[i]))
-            k, j = k[j >= least], j[j >= least]
-            out_a += np.minimum(ids[k], ids[i]).tolist()
-            out_b += np.maximum(ids[k], ids[i]).tolist()
-            out_j += j.tolist()
-        return pd.DataFrame({"a": out_a, "b": out_b, "j": out_j}).astype({"a": "int64", "b": "int64", "j": "float64"})
+            k = np.flatnonzero(other)
+            if len(k):
+                k = k[np.unique(code[k], return_index=True)[1]]
+                out += [(min(ids[i], ids[x]), max(ids[i], ids[x])) for x in k]
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
 
-    return met.groupBy("bucket", "t", "s").applyInPandas(run, "a long, b long, j double").select("a", "b", "j").distinct()
+    return met.groupBy("bucket", "t", "s").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -221,7 +241,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
        the joint likelihood estimate drops pairs far below the threshold; the best pair of
        every member is verified first, then those that still join different components.
     3. In buckets that still hold several components, members of different components are
-       compared as well, so no link is lost to the choice of step 2.
+       compared by their full sets, so no link is lost to the choice of step 2.
 
     Null identifiers are linked with nothing and kept, with a null component. Repeated rows
     give repeated results. An empty table gives no rows. Only ``doc_id`` and ``text`` are read.
@@ -250,12 +270,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = components(links)
 
     # Pairs with a bucket's first member are settled; what is left are its other members among themselves.
-    placed = shared.where("size > 2 AND id <> head").join(found, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
+    placed = shared.where("size > 2 AND id <> head").join(found, "id", "left")
+    placed = placed.join(nodes.select("id", "n"), "id").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     placed = stage(placed, "placed")
-    several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rows3 = placed.join(several, "bucket").join(nodes.select("id", "n", "regs"), "id")
-    more = stage(_across(rows3, percent, least), "across").join(likely, ["a", "b"], "left_anti").select("a", "b")
-    links = stage(links.union(_verified(stage(more, "more"), nodes, docs, width, percent)), "links")
+    several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"),
+                                           F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("x <> y")
+    # Buckets of the same members are compared once.
+    several = several.groupBy("members", "size", "x", "y", "shingles").agg(F.min("bucket").alias("bucket")).select("bucket", "size", "shingles")
+    met = stage(placed.join(several, "bucket"), "several")
+    full_sets = stage(_full_sets(met.select("id").distinct(), nodes, docs, width), "full-sets")
+    links = stage(links.union(_across(met.join(full_sets, "id"), percent)), "links")
     found = components(links)
 
     named = sets.select("n", "hi", "lo", "id").join(found, "id", "left").select("n", "hi", "lo", F.coalesce("component", "id").alias("c"))
