@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.text import fresh
+from millrace.session import stage
 
 #: Units end at a line break, or at white space behind a full stop, question or exclamation mark.
 _BORDER = re.compile(r"\s*\n\s*|(?<=[.!?])[ \t]+")
@@ -81,7 +82,8 @@ def repeated_spans(docs: DataFrame, least_words: int = 25) -> DataFrame:
     """
     all_units = unit_rows(docs)
     first = all_units.where(~F.col("again")).groupBy("hi", "lo").agg(F.min("doc_id").alias("kept"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("hi", "lo", "kept")
+    # Written, so that the join below has two plain exchanges and a digest with many rows can be split.
+    first = stage(first.where("n > 1").select("hi", "lo", "kept"), "repeated")
     met = all_units.join(first, ["hi", "lo"], "left").where(F.col("again") | (F.col("doc_id") > F.col("kept")))
     met = met.withColumn("kept", F.coalesce(F.least("kept", "doc_id"), "doc_id"))
     # All that follows looks at one text's units, so one exchange serves it.
