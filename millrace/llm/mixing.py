@@ -10,7 +10,7 @@ from millrace.llm.text import WORD, fresh
 from millrace.session import stage
 
 #: Buckets of the random key a source is cut into; a window sees one bucket of one source, or one source's buckets.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 12
 #: Fixed value: the weights, repeated over the sources in code-point order.
 WEIGHTS = (5, 2, 1)
 
