@@ -18,7 +18,7 @@ from millrace.session import stage
 
 #: Words of a passage, and between the starts of two passages that are searched.
 WINDOW, STRIDE = 64, 32
-#: Latent dimensions, and the extra columns of the random test matrix.
+#: Latent dimensions (and item passages) of a block of items, and the extra columns of the random test matrix.
 RANK, EXTRA = 256, 16
 #: Terms that stand in more than this share of passages carry no weight, unless an item has few rarer ones.
 MAX_SHARE, LEAST_TERMS = 0.005, 12
@@ -232,7 +232,8 @@ def latent_basis(coded: DataFrame, terms: Terms, items: list[Item], seed: int =
     """
     n = int((terms.row >= 0).sum())
     q_codes, _, q_start, q_end = _item_passages(items)
-    rank = min(RANK, len(q_start), n)
+    # A dimension per item passage: with fewer, short passages of the corpus fall out of the space and miss the least cosine.
+    rank = min(len(q_start), n)
     wide = min(n, rank + EXTRA)
     own = terms.vectors(q_codes, q_start, q_end)
 
@@ -332,20 +333,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.
     words must stand in order: ``lcs`` of them, or ``weak_lcs`` together with ``answer`` of the words of
     the item's closing sentence.
 
-    The benchmark is the stated query set; it is taken in blocks of about ``block_words`` words, each
-    with its own terms and latent space, and all texts meet every block. Null and empty items
+    The benchmark is the stated query set; it is taken in blocks of about ``block_words`` words and at most
+    ``RANK`` passages (a longer item is a block of its own), each with its own terms and a latent space
+    of as many dimensions as it has passages, and all texts meet every block. Null and empty items
     match nothing; null and empty texts hold nothing; repeated rows give repeated results; an
     empty table gives no rows. Only ``doc_id, text`` and ``item_id, text`` are read.
     """
-    found, block, size = None, [], 0
+    found, block, size, held = None, [], 0, 0
     listed = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").orderBy("item_id", "text")
     blocks: list[list[tuple[int, str]]] = []
     for r in listed.toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        size += len(r["text"].split())
-        if size >= block_words:
+        n = len(r["text"].split())
+        count = len(passages(np.array([n]), WINDOW)[0])
+        if block and (size >= block_words or held + count > RANK):
             blocks.append(block)
-            block, size = [], 0
+            block, size, held = [], 0, 0
+        block.append((r["item_id"], r["text"]))
+        size, held = size + n, held + count
     for rows in [*blocks, block]:
         vocabulary, items = encode_items(rows)
         if not items:

@@ -100,6 +100,19 @@ def test_cosine_search_reaches_all_close_passages(spark):
     assert wanted.sum() > 20 and (near[wanted] >= 0.35).mean() >= 0.95
 
 
+def test_many_short_items_in_one_benchmark(spark):
+    """Far more passages than latent dimensions of a block: items planted in long texts are found all the same."""
+    rng = np.random.default_rng(21)
+    words = np.array([f"w{k}" for k in range(6000)])
+    odds = 1 / np.arange(20, 6020)
+    prose = lambda n: " ".join(rng.choice(words, n, p=odds / odds.sum()))
+    items = [(k, prose(int(rng.integers(15, 24))) + ".") for k in range(1100)]
+    docs = [(k, f"{prose(150)} {items[k][1]} {prose(150)}") for k in range(0, 1100, 4)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dec.contaminated(d, b).collect()}
+    assert len({(k, k) for k, _ in docs} & got) >= 0.99 * len(docs)
+
+
 def test_nothing_to_find(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
