@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -12,12 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.text import fresh
+from millrace.llm.text import fresh, mix, owners, slices, words
 from millrace.session import stage
 
 #: Units end at a line break, or at white space behind a full stop, question or exclamation mark.
 _BORDER = re.compile(r"\s*\n\s*|(?<=[.!?])[ \t]+")
 _LAST = (1 << 63) - 1
+#: Words of a window, and how many neighbouring windows leave one anchor at least: every run of
+#: ``WINDOW + CHOICE - 1`` = 50 words has an anchor, wherever it begins.
+WINDOW, CHOICE = 25, 26
 
 UNITS = "doc_id long, row long, unit int, start int, stop int, words int, hi long, lo long, again boolean"
 
@@ -60,18 +64,150 @@ def unit_rows(docs: DataFrame) -> DataFrame:
                     cols = empty()
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    return own.mapInArrow(run, UNITS)
+    return _keyed(docs).mapInArrow(run, UNITS)
+
+
+def anchors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, word position and hash of the chosen windows: the smallest hash of every ``CHOICE`` neighbours.
+
+    Which windows of a passage are chosen depends on the passage alone, so its copies share their anchors.
+    """
+    w = words(texts)
+    n = len(w.codes)
+    if n < WINDOW + CHOICE - 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(v.lower()) for v in w.values.to_pylist()), np.uint64, len(w.values))
+    h, width = digest[w.codes], 1
+    with np.errstate(over="ignore"):
+        while width < WINDOW:
+            step = min(width, WINDOW - width)
+            h, width = mix(h[:len(h) - step] * np.uint64(0x9E3779B97F4A7C15) + h[step:]), width + step
+    of = owners(w.starts)
+    at = []
+    for i in range(0, len(h) - CHOICE + 1, 1 << 16):
+        view = np.lib.stride_tricks.sliding_window_view(h[i:i + (1 << 16) + CHOICE - 1], CHOICE)
+        # Neighbours lie in one text.
+        inside = of[i:i + len(view)] == of[i + WINDOW + CHOICE - 2:][:len(view)]
+        at.append(np.unique((view.argmin(1) + np.arange(len(view)) + i)[inside]))
+    pos = np.unique(np.concatenate(at))
+    return of[pos], pos - w.starts[of[pos]], h[pos]
+
+
+def anchor_rows(docs: DataFrame) -> DataFrame:
+    """One row per anchor of every text; ``own`` is the first position of its hash in the same text, where that is an earlier one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 8 << 20):
+                of, pos, h = anchors(part.column("text"))
+                order = np.lexsort((pos, h, of))
+                of, pos, h = of[order], pos[order], h[order]
+                new = np.ones(len(of), bool)
+                new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+                own = pos[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(of) else pos
+                ids, rows = (part.column(c).take(pa.array(of)) for c in ("doc_id", "row"))
+                yield pa.RecordBatch.from_arrays([ids, rows, pa.array(pos, pa.int32()), pa.array(np.where(new, -1, own), pa.int32()), pa.array(h.view(np.int64))], ["doc_id", "row", "pos", "own", "h"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, row long, pos int, own int, h long")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
+    """``doc_id, row, text`` of the wanted texts, each once."""
+    own = _keyed(docs).join(wanted.select("doc_id", "row").distinct(), ["doc_id", "row"])
+    return stage(own.groupBy("doc_id", "row").agg(F.first("text").alias("text")), label)
+
+
+def extend(text: str, other: str | None, pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """``start, stop, words`` of the runs around pairs of equal positions, as far as the words agree.
+
+    Without ``other`` the run is compared with an earlier place of the same text, which it doesn't overlap.
+    """
+    where = [m.span() for m in _ASCII_WORD.finditer(text)]
+    mine = [text[a:b].lower() for a, b in where]
+    theirs = mine if other is None else [m[0].lower() for m in _ASCII_WORD.finditer(other)]
+    out, done = [], 0
+    for p, q in sorted(pairs):
+        if p + WINDOW <= done or mine[p:p + WINDOW] != theirs[q:q + WINDOW]:
+            continue
+        lo, hi = 0, WINDOW
+        room = lambda: other is not None or q + hi < p - lo  # noqa: B023, E731
+        while lo < min(p, q) and mine[p - lo - 1] == theirs[q - lo - 1] and room():
+            lo += 1
+        while p + hi < len(mine) and q + hi < len(theirs) and mine[p + hi] == theirs[q + hi] and room():
+            hi += 1
+        out.append((where[p - lo][0], where[p + hi - 1][1], lo + hi))
+        done = p + hi
+    return out
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """``doc_id, row, start, stop, words, kept``: word runs that an earlier text, or the same one earlier, holds.
+
+    Every run of 50 or more words is among them wherever it begins and ends, with its exact borders.
+    """
+    all_anchors = anchor_rows(docs)
+    first = all_anchors.where("own < 0").groupBy("h").agg(F.min(F.struct("doc_id", "row", "pos")).alias("k"), F.count(F.lit(1)).alias("n"))
+    first = stage(first.where("n > 1").select("h", "k"), "anchors")
+    met = all_anchors.join(first, "h", "left").withColumn("other", F.coalesce(F.col("doc_id") > F.col("k.doc_id"), F.lit(False)))
+    met = met.where(F.col("other") | ((F.col("own") >= 0) & (F.col("pos") >= F.col("own") + WINDOW)))
+    k = lambda c, same: F.when(F.col("other"), F.col(f"k.{c}")).otherwise(F.col(same))
+    met = met.select("doc_id", "row", "pos", "other", k("doc_id", "doc_id").alias("kept"), k("row", "row").alias("kept_row"), k("pos", "own").alias("at"))
+    met = met.groupBy("doc_id", "row", "other", "kept", "kept_row").agg(F.collect_set(F.struct("pos", "at")).alias("pairs"))
+    met = stage(met, "met")
+    wanted = met.select("doc_id", "row").union(met.where("other").select("kept", "kept_row"))
+    texts = _texts(docs, wanted, "texts")
+    both = met.join(texts, ["doc_id", "row"]).join(texts.select(F.col("doc_id").alias("kept"), F.col("row").alias("kept_row"), F.col("text").alias("theirs")), ["kept", "kept_row"])
+    both = both.select("doc_id", "row", "kept", "other", "text", "theirs", F.col("pairs.pos").alias("pos"), F.col("pairs.at").alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                out = []
+                for r in part.to_pylist():
+                    found = extend(r["text"], r["theirs"] if r["other"] else None, list(zip(r["pos"], r["at"], strict=True)))
+                    out += [(r["doc_id"], r["row"], *x, r["kept"]) for x in found]
+                yield _batch(out, _PASSAGES)
+
+    return both.mapInArrow(run, "doc_id long, row long, start int, stop int, words int, kept long")
+
+
+_ASCII_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_PASSAGES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("kept", pa.int64())])
+_SPANS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int64()), ("units", pa.int64()), ("kept_in", pa.list_(pa.int64()))])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def joined(text: str, spans: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, int, int, list[int]]]:
+    """``start, stop, words, units, kept_in`` of spans ``start, stop, kept_in``; those with no word between them are one."""
+    merged: list[list] = []
+    for a, b, kept in sorted(spans):
+        if merged and (a <= merged[-1][1] or not text[merged[-1][1]:a].strip()):
+            merged[-1][1] = max(b, merged[-1][1])
+            merged[-1][2] |= set(kept)
+        else:
+            merged.append([a, b, set(kept)])
+    all_units = [(a, b) for a, b, *_ in units(text)]
+    return [(a, b, len(text[a:b].split()), sum(x < b and a < y for x, y in all_units), sorted(kept)) for a, b, kept in merged]
 
 
 def repeated_spans(docs: DataFrame, least_words: int = 25) -> DataFrame:
     """``doc_id, row, start, stop, words, units, kept_in``: what to remove, one row per span.
 
-    Units are lines cut into sentences. A unit repeats where its digest occurs in a document
-    of a smaller ``doc_id``, or earlier in the same text; the earliest stays. Runs of repeated
-    units that follow one another are one span; spans of fewer than ``least_words`` words stay in
-    the text, so that a common short line alone harms no document. ``kept_in`` lists the
-    documents that keep the span's units.
+    Two kinds of repeats are removed. Units are lines cut into sentences. A unit repeats where its
+    digest occurs in a document of a smaller ``doc_id``, or earlier in the same text; the earliest
+    stays. Runs of repeated units that follow one another are one span; spans of fewer than
+    ``least_words`` words stay in the text, so that a common short line alone harms no document.
+    Passages are word runs, wherever they begin and end: all of 50 words or more, and shorter
+    ones down to ``WINDOW`` words where they have an anchor. Overlapping spans are one. ``units``
+    counts the units that a span touches; ``kept_in`` lists the documents where its parts were found first.
 
     Rows that share an identifier count as one document with several texts; equal rows lose
     the same spans. Null identifiers rank last. Null, empty and wordless texts have no units.
@@ -80,6 +216,33 @@ def repeated_spans(docs: DataFrame, least_words: int = 25) -> DataFrame:
     A digest meets others only as a map-side combined minimum, then in a join with one row
     per repeated digest, whose hot rows Spark can split.
     """
+    whole = stage(_unit_spans(docs, least_words), "unit-spans")
+    runs = stage(passages(docs).where(F.col("words") >= least_words), "passages")
+    per_text = whole.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop", "kept_in")).alias("whole"))
+    more = runs.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "stop", F.array("kept").alias("kept_in"))).alias("runs"))
+    more = more.join(per_text, ["doc_id", "row"], "left").withColumn("whole", F.coalesce("whole", F.expr("filter(runs, r -> false)")))
+    # Runs inside a span of whole units add nothing to it.
+    more = more.withColumn("runs", F.expr("filter(runs, r -> NOT exists(whole, w -> w.start <= r.start AND r.stop <= w.stop))"))
+    more = stage(more.where("size(runs) > 0"), "more")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                out = []
+                for r in part.to_pylist():
+                    spans = [(x["start"], x["stop"], x["kept_in"]) for x in [*r["whole"], *r["runs"]]]
+                    out += [(r["doc_id"], r["row"], *x) for x in joined(r["text"], spans)]
+                yield _batch(out, _SPANS)
+
+    mended = more.join(_texts(docs, more, "more-texts"), ["doc_id", "row"]).select("doc_id", "row", "whole", "runs", "text")
+    mended = mended.mapInArrow(run, "doc_id long, row long, start int, stop int, words long, units long, kept_in array<long>")
+    spans = whole.join(more.select("doc_id", "row"), ["doc_id", "row"], "left_anti").unionByName(mended)
+    shown = lambda c: F.nullif(c, F.lit(_LAST))
+    return spans.withColumn("doc_id", shown(F.col("doc_id"))).withColumn("kept_in", F.transform("kept_in", shown))
+
+
+def _unit_spans(docs: DataFrame, least_words: int) -> DataFrame:
+    """Runs of repeated whole units; null identifiers are ``_LAST``."""
     all_units = unit_rows(docs)
     first = all_units.where(~F.col("again")).groupBy("hi", "lo").agg(F.min("doc_id").alias("kept"), F.count(F.lit(1)).alias("n"))
     # Written, so that the join below has two plain exchanges and a digest with many rows can be split.
@@ -94,9 +257,7 @@ def repeated_spans(docs: DataFrame, least_words: int = 25) -> DataFrame:
     spans = gone.withColumn("run", run).groupBy("doc_id", "row", "run").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"),
         F.count(F.lit(1)).alias("units"), F.array_sort(F.collect_set("kept")).alias("kept_in"))
-    spans = spans.where(F.col("words") >= least_words).drop("run")
-    shown = lambda c: F.nullif(c, F.lit(_LAST))
-    return spans.withColumn("doc_id", shown(F.col("doc_id"))).withColumn("kept_in", F.transform("kept_in", shown))
+    return spans.where(F.col("words") >= least_words).drop("run")
 
 
 def cut(text: str | None, starts, stops) -> str | None:

@@ -80,3 +80,22 @@ def test_spans_restore_the_text(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lines.repeated_spans(none).collect() == [] and lines.remove_repeats(none).collect() == []
+
+
+def test_passages_inside_sentences(spark):
+    """A repeated passage without sentence ends of its own goes whole, wherever it begins; the earliest one stays."""
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 10**6, n))
+    passage = prose(50)
+    texts = {1: f"{prose(40)} {passage} {prose(30)}. End.", 2: f"Start {prose(7)} {passage.upper()}, {prose(9)}", 3: f"A {passage} b {prose(70)} c {passage} d",
+             4: f"{prose(20)}. {' '.join(passage.split()[:49])}"}
+    texts[5] = " ".join(["again"] * 200)
+    df = spark.createDataFrame([*texts.items(), (None, passage)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.remove_repeats(df).collect()}
+    last = passage.split()[-1]
+    assert got[1] == texts[1] and got[None] == ""
+    assert got[2] == texts[2].replace(" ".join(passage.upper().split()[:-1]) + " ", "")  # "word," isn't the passage's last word
+    assert got[3] == texts[3].replace(passage + " ", "") and last not in got[3]
+    assert len(got[5].split()) < 200 and set(got[5].split()) == {"again"}
+    spans = {r.doc_id: (r.words, r.kept_in) for r in lines.repeated_spans(df).where("doc_id = 2 OR doc_id IS NULL").collect()}
+    assert spans == {2: (49, [1]), None: (50, [1])}
