@@ -18,7 +18,7 @@ BLOCK_TAGS = frozenset(
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p "
     "pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-SILENT_TAGS = frozenset("script style noscript template svg math iframe object canvas select button textarea head title audio video map datalist".split())
+SILENT_TAGS = frozenset("script style noscript template svg iframe canvas select button textarea head title audio video map datalist".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 FRAME_TAGS = frozenset("nav footer aside header form menu dialog address".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +35,7 @@ _FRAME_NAME = re.compile(
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|body|entry\w*|post|post-body|post-content|story\w*|text)(?=$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_NAME = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _FRAME_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "frame", "outside", "inside", "heading")
@@ -133,7 +134,7 @@ def blocks(page: str | None) -> list[Block]:
         own = _FRAME_NAME.search(named) if not main and tag not in ("html", "body") else None
         frame = frame or (own is not None and not (inside and own[0].strip(" _-").lower() == "header"))
         inside = inside or main or bool(_MAIN_NAME.search(named) and tag not in ("html", "body"))
-        silent = silent or tag in SILENT_TAGS or "hidden" in re.split(r"[\s=]+", m[3].lower())
+        silent = silent or tag in SILENT_TAGS or any(k.lower() == "hidden" for k in _NAME.findall(m[3]))
         if tag in RAW_TAGS:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
             pos = end.end() if end else size

@@ -61,3 +61,16 @@ def test_rows(spark):
     want = [(1, "u", CASES[page], len(CASES[page]))] * 2 + [(2, None, "", 0), (None, "v", "", 0)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_only_a_hidden_attribute_hides():
+    body = "<p>The first line of a long story about water.</p>"
+    for tag in ('<article data-title="a hidden river">', "<article data-x='hidden'>", "<article data-x=hidden>", '<article data-a="x = hidden y">'):
+        assert html.main_text(f"{tag}{body}</article>", TREE) == "The first line of a long story about water.", tag
+    for tag in ("<p hidden>", '<p HIDDEN="">', "<p class=x hidden=until-found>", '<p title="a"hidden>'):
+        assert html.main_text(f"<article>{body}{tag}gone</p></article>", TREE) == "The first line of a long story about water.", tag
+
+
+def test_formulas_and_fallbacks_stay():
+    page = "<article><p>So <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds.</p><p><object data=x>A map of the town.</object></p></article>"
+    assert html.main_text(page, TREE) == "So a=b holds.\n\nA map of the town."
