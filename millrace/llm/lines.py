@@ -147,7 +147,8 @@ def extend(text: str, other: str | None, pairs: list[tuple[int, int]]) -> list[t
 def passages(docs: DataFrame) -> DataFrame:
     """``doc_id, row, start, stop, words, kept``: word runs that an earlier text, or the same one earlier, holds.
 
-    Every run of 50 or more words is among them wherever it begins and ends, with its exact borders.
+    Every run of 50 or more words has an anchor here, wherever it begins and ends, which is extended to
+    the exact borders of the run shared with the anchor's first holder (a later holder may share more).
     """
     all_anchors = anchor_rows(docs)
     first = all_anchors.where("own < 0").groupBy("h").agg(F.min(F.struct("doc_id", "row", "pos")).alias("k"), F.count(F.lit(1)).alias("n"))
