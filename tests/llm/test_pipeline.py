@@ -114,6 +114,6 @@ def test_registration():
 
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
     numbers = sorted(int(n[2:].split("_")[0]) for n in names if n[2:3].isdigit())
-    assert numbers == list(range(1, 11)) and "pipeline" in names
-    assert set(ORACLES) <= set(QUERIES) and {"op2_url_filters", "op5_mixing"} <= set(entry.oracle_sql())
+    assert numbers == list(range(1, 14)) and "pipeline" in names
+    assert set(ORACLES) <= set(QUERIES) and {"op2_url_filters", "op5_mixing", "op11_chat_formatting", "op12_conversation_repair", "op13_lexical_search"} <= set(entry.oracle_sql())
     assert len(URL_RULES) == 5
