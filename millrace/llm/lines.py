@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -16,73 +17,105 @@ from pyspark.sql import functions as F
 from millrace.llm.text import fresh, mix, owners, slices, words
 from millrace.session import stage
 
-#: Units end at a line break, or at white space behind a full stop, question or exclamation mark.
-_BORDER = re.compile(r"\s*\n\s*|(?<=[.!?])[ \t]+")
+#: The bytes of ASCII white space, and of the marks that end a sentence.
+_SPACE, _ENDS = np.zeros(256, np.bool_), np.zeros(256, np.bool_)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ENDS[[*b".!?"]] = True
+#: Units end at a line break, or at spaces and tabs behind a full stop, question or exclamation mark.
+_BORDER = re.compile(r"[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*|(?<=[.!?])[ \t]+")
 _LAST = (1 << 63) - 1
 #: Words of a window, and how many neighbouring windows leave one anchor at least: every run of
 #: ``WINDOW + CHOICE - 1`` = 50 words has an anchor, wherever it begins.
 WINDOW, CHOICE = 25, 26
 
-UNITS = "doc_id long, row long, unit int, start int, stop int, words int, hi long, lo long, again boolean"
+#: Units have all columns. Anchors have ``hi`` null; their word position is ``n``, their hash ``lo``, and ``start`` is the first
+#: position of that hash in the same text, where it is an earlier one, or -1.
+DIGESTS = "doc_id long, row long, n int, start int, stop int, words int, hi long, lo long, again boolean"
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()),
+                      ("words", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("again", pa.bool_())])
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def units(text: str | None) -> Iterator[tuple[int, int, int, bytes]]:
-    """``start, stop, words, digest`` of every unit with a word; offsets in code points.
-
-    Case and the amount of white space don't count.
-    """
+def units(text: str | None) -> Iterator[tuple[int, int]]:
+    """``start, stop`` of every unit with a word, in code points."""
     text = text or ""
     pos = 0
     while pos < len(text):
         m = _BORDER.search(text, pos)
         stop, after = (m.start(), m.end()) if m else (len(text), len(text))
-        own = text[pos:stop].lower().split()
-        if own:
-            yield pos, stop, len(own), xxhash.xxh3_128_digest(" ".join(own))
+        if _ASCII_WORD.search(text, pos, stop):
+            yield pos, stop
         pos = after
 
 
-def unit_rows(docs: DataFrame) -> DataFrame:
-    """One row per unit of every text. ``row`` tells texts apart that share an identifier;
-    ``again`` marks a unit whose digest came earlier in the same text."""
+def _plain_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, one after another, and where each begins and the last ends."""
+    sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+    ends = np.append(0, np.cumsum(sizes))
+    first = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset] if len(texts) else 0
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[int(first):int(first) + int(ends[-1])] if data is not None and ends[-1] else np.zeros(0, np.uint8)
+    return raw, ends
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()),
-                            ("words", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("again", pa.bool_())])
-        empty = lambda: [[] for _ in schema]
-        for batch in batches:
-            cols = empty()
-            for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                seen = set()
-                for i, (start, stop, n, digest) in enumerate(units(text)):
-                    hi, lo = int.from_bytes(digest[:8], signed=True), int.from_bytes(digest[8:], signed=True)
-                    for c, v in zip(cols, (doc_id, row, i, start, stop, n, hi, lo, digest in seen), strict=True):
-                        c.append(v)
-                    seen.add(digest)
-                if len(cols[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-                    cols = empty()
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return _keyed(docs).mapInArrow(run, UNITS)
+def unit_digests(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text, number, start, stop, words, two digests and repeat mark of every unit of a batch.
+
+    ``starts`` has each text's first word, ``lanes`` two hashes for every word, whatever its case. A digest is the
+    sum of the unit's words' hashes mixed with their places: 128 bits that depend on the words and their order alone.
+    """
+    n = len(lanes)
+    space = _SPACE[raw]
+    edge = np.zeros(len(raw) + 1, np.bool_)
+    edge[ends] = True
+    word = ~space
+    begin = np.flatnonzero(word & (np.append(True, space[:-1]) | edge[:-1]))
+    end = np.flatnonzero(word & (np.append(space[1:], True) | edge[1:])) + 1
+    of = owners(starts)
+    breaks = np.append(0, np.cumsum(raw == 10))
+    closing = np.append(of[1:] != of[:-1], True)
+    gap_end = np.where(closing, ends[of + 1], np.append(begin[1:], 0))
+    after = raw[np.minimum(end, len(raw) - 1)]
+    border = (breaks[gap_end] > breaks[end]) | (_ENDS[raw[end - 1]] & (gap_end > end) & ((after == 32) | (after == 9)))
+    opens = np.append(True, closing[:-1] | border[:-1])
+    first = np.flatnonzero(opens)
+    counts = np.diff(np.append(first, n))
+    last = first + counts - 1
+    text = of[first]
+    new_text = np.append(True, text[1:] != text[:-1])
+    # What surrounds a text's first and last unit belongs to it, unless a line break or a sentence's end stands between.
+    led = new_text & (breaks[begin[first]] == breaks[ends[text]])
+    start = np.where(led, ends[text], begin[first])
+    stop = np.where(closing[last] & ~border[last], ends[text + 1], end[last])
+    points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+    base = points[ends[text]]
+    place = (np.arange(n) - np.repeat(first, counts)).astype(np.uint64)
+    both = []
+    with np.errstate(over="ignore"):
+        for lane in (0, 1):
+            total = np.add.reduceat(mix(lanes[:, lane] + place * _STEP), first)
+            both.append(mix(total + counts.astype(np.uint64) * _STEP))
+    number = np.arange(len(first)) - np.repeat(np.flatnonzero(new_text), np.diff(np.append(np.flatnonzero(new_text), len(first))))
+    order = np.lexsort((number, both[1], both[0], text))
+    again = np.zeros(len(first), np.bool_)
+    a, b = order[1:], order[:-1]
+    again[a] = (text[a] == text[b]) & (both[0][a] == both[0][b]) & (both[1][a] == both[1][b])
+    return text, number, points[start] - base, points[stop] - base, counts, both[0], both[1], again
 
 
-def anchors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, word position and hash of the chosen windows: the smallest hash of every ``CHOICE`` neighbours.
+def anchors(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, word position, first equal position (or -1) and hash of the chosen windows: the smallest hash of every ``CHOICE`` neighbours.
 
     Which windows of a passage are chosen depends on the passage alone, so its copies share their anchors.
     """
-    w = words(texts)
-    n = len(w.codes)
+    n, width = len(h), 1
     if n < WINDOW + CHOICE - 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    digest = np.fromiter((xxhash.xxh3_64_intdigest(v.lower()) for v in w.values.to_pylist()), np.uint64, len(w.values))
-    h, width = digest[w.codes], 1
+        return (*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))
     with np.errstate(over="ignore"):
         while width < WINDOW:
             step = min(width, WINDOW - width)
-            h, width = mix(h[:len(h) - step] * np.uint64(0x9E3779B97F4A7C15) + h[step:]), width + step
-    of = owners(w.starts)
+            h, width = mix(h[:len(h) - step] * _STEP + h[step:]), width + step
+    of = owners(starts)
     at = []
     for i in range(0, len(h) - CHOICE + 1, 1 << 16):
         view = np.lib.stride_tricks.sliding_window_view(h[i:i + (1 << 16) + CHOICE - 1], CHOICE)
@@ -90,25 +123,43 @@ def anchors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside = of[i:i + len(view)] == of[i + WINDOW + CHOICE - 2:][:len(view)]
         at.append(np.unique((view.argmin(1) + np.arange(len(view)) + i)[inside]))
     pos = np.unique(np.concatenate(at))
-    return of[pos], pos - w.starts[of[pos]], h[pos]
+    of, pos, h = of[pos], pos - starts[of[pos]], h[pos]
+    order = np.lexsort((pos, h, of))
+    of, pos, h = of[order], pos[order], h[order]
+    new = np.ones(len(of), np.bool_)
+    new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+    own = pos[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(of) else pos
+    return of, pos, np.where(new, -1, own), h
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """One row per anchor of every text; ``own`` is the first position of its hash in the same text, where that is an earlier one."""
+def digest_rows(docs: DataFrame) -> DataFrame:
+    """Units and anchors of every text, in one pass over the texts. ``row`` tells texts apart that share an identifier;
+    ``again`` marks a unit whose digest came earlier in the same text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
-                of, pos, h = anchors(part.column("text"))
-                order = np.lexsort((pos, h, of))
-                of, pos, h = of[order], pos[order], h[order]
-                new = np.ones(len(of), bool)
-                new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
-                own = pos[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(of) else pos
-                ids, rows = (part.column(c).take(pa.array(of)) for c in ("doc_id", "row"))
-                yield pa.RecordBatch.from_arrays([ids, rows, pa.array(pos, pa.int32()), pa.array(np.where(new, -1, own), pa.int32()), pa.array(h.view(np.int64))], ["doc_id", "row", "pos", "own", "h"])
+                texts = pc.fill_null(part.column("text"), "")
+                w = words(texts)
+                if not len(w.codes):
+                    continue
+                digest = xxhash.xxh3_128_digest
+                lanes = np.frombuffer(b"".join(digest(v.lower()) for v in w.values.to_pylist()), np.uint64).reshape(-1, 2)[w.codes]
+                text, *rest = unit_digests(*_plain_bytes(texts), w.starts, lanes)
+                yield _digest_batch(part, text, rest)
+                text, pos, own, h = anchors(lanes[:, 0], w.starts)
+                yield _digest_batch(part, text, [pos, own, None, None, None, h, None])
+
+    return _keyed(docs).mapInArrow(run, DIGESTS)
+
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, row long, pos int, own int, h long")
+def _digest_batch(part: pa.RecordBatch, text: np.ndarray, columns: list[np.ndarray | None]) -> pa.RecordBatch:
+    at = pa.array(text)
+    made = [part.column("doc_id").take(at), part.column("row").take(at)]
+    for field, c in zip(list(_DIGESTS)[2:], columns, strict=True):
+        c = c.view(np.int64) if c is not None and c.dtype == np.uint64 else c
+        made.append(pa.nulls(len(text), field.type) if c is None else pa.array(c).cast(field.type))
+    return pa.RecordBatch.from_arrays(made, schema=_DIGESTS)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -144,13 +195,15 @@ def extend(text: str, other: str | None, pairs: list[tuple[int, int]]) -> list[t
     return out
 
 
-def passages(docs: DataFrame) -> DataFrame:
+def passages(docs: DataFrame, digests: DataFrame) -> DataFrame:
     """``doc_id, row, start, stop, words, kept``: word runs that an earlier text, or the same one earlier, holds.
 
     Every run of 50 or more words has an anchor here, wherever it begins and ends, which is extended to
-    the exact borders of the run shared with the anchor's first holder (a later holder may share more).
+    the exact borders of the run shared with the anchor's first holder. A later holder may share more; what is left of
+    that run then has anchors of its own as soon as 50 of its words follow one another. So without these runs no
+    text keeps a stretch of 50 words that an earlier one holds.
     """
-    all_anchors = anchor_rows(docs)
+    all_anchors = digests.where("hi IS NULL").select("doc_id", "row", F.col("n").alias("pos"), F.col("start").alias("own"), F.col("lo").alias("h"))
     first = all_anchors.where("own < 0").groupBy("h").agg(F.min(F.struct("doc_id", "row", "pos")).alias("k"), F.count(F.lit(1)).alias("n"))
     first = stage(first.where("n > 1").select("h", "k"), "anchors")
     met = all_anchors.join(first, "h", "left").withColumn("other", F.coalesce(F.col("doc_id") > F.col("k.doc_id"), F.lit(False)))
@@ -195,7 +248,7 @@ def joined(text: str, spans: list[tuple[int, int, list[int]]]) -> list[tuple[int
             merged[-1][2] |= set(kept)
         else:
             merged.append([a, b, set(kept)])
-    all_units = [(a, b) for a, b, *_ in units(text)]
+    all_units = list(units(text))
     return [(a, b, len(text[a:b].split()), sum(x < b and a < y for x, y in all_units), sorted(kept)) for a, b, kept in merged]
 
 
@@ -217,8 +270,9 @@ def repeated_spans(docs: DataFrame, least_words: int = 25) -> DataFrame:
     A digest meets others only as a map-side combined minimum, then in a join with one row
     per repeated digest, whose hot rows Spark can split.
     """
-    whole = stage(_unit_spans(docs, least_words), "unit-spans")
-    runs = stage(passages(docs).where(F.col("words") >= least_words), "passages")
+    digests = stage(digest_rows(docs), "digests")
+    whole = stage(_unit_spans(digests.where("hi IS NOT NULL"), least_words), "unit-spans")
+    runs = stage(passages(docs, digests).where(F.col("words") >= least_words), "passages")
     per_text = whole.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop", "kept_in")).alias("whole"))
     more = runs.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "stop", F.array("kept").alias("kept_in"))).alias("runs"))
     more = more.join(per_text, ["doc_id", "row"], "left").withColumn("whole", F.coalesce("whole", F.expr("filter(runs, r -> false)")))
@@ -242,9 +296,9 @@ def repeated_spans(docs: DataFrame, least_words: int = 25) -> DataFrame:
     return spans.withColumn("doc_id", shown(F.col("doc_id"))).withColumn("kept_in", F.transform("kept_in", shown))
 
 
-def _unit_spans(docs: DataFrame, least_words: int) -> DataFrame:
+def _unit_spans(all_units: DataFrame, least_words: int) -> DataFrame:
     """Runs of repeated whole units; null identifiers are ``_LAST``."""
-    all_units = unit_rows(docs)
+    all_units = all_units.withColumnRenamed("n", "unit")
     first = all_units.where(~F.col("again")).groupBy("hi", "lo").agg(F.min("doc_id").alias("kept"), F.count(F.lit(1)).alias("n"))
     # Written, so that the join below has two plain exchanges and a digest with many rows can be split.
     first = stage(first.where("n > 1").select("hi", "lo", "kept"), "repeated")

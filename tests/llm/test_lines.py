@@ -99,3 +99,64 @@ def test_passages_inside_sentences(spark):
     assert len(got[5].split()) < 200 and set(got[5].split()) == {"again"}
     spans = {r.doc_id: (r.words, r.kept_in) for r in lines.repeated_spans(df).where("doc_id = 2 OR doc_id IS NULL").collect()}
     assert spans == {2: (49, [1]), None: (50, [1])}
+
+
+def test_no_stretch_of_fifty_words_survives_twice(spark):
+    """Texts cut from one stream at random borders, so that later holders share more of a run than the first one:
+    of what stays in a text, no 50 words that follow one another stand in an earlier one; all that goes is repeated."""
+    rng = np.random.default_rng(8)
+    stream = [f"s{x}" for x in rng.integers(0, 10**6, 900)]
+    texts = {}
+    for d in range(90):
+        parts = []
+        for _ in range(int(rng.integers(1, 5))):
+            a, n = int(rng.integers(0, 850)), int(rng.integers(20, 160))
+            parts += stream[a:a + n] + [f"own{d}_{k}" for k in range(int(rng.integers(0, 40)))]
+        texts[d] = "  ".join(parts) if d % 3 else " ".join(parts).upper()
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    gone = collections.defaultdict(list)
+    for r in lines.repeated_spans(df).collect():
+        gone[r.doc_id].append((r.start, r.stop))
+    seen50, seen25, left = set(), set(), 0
+    for d, t in texts.items():
+        found = [(m.start(), m[0].lower(), any(a <= m.start() < b for a, b in gone[d])) for m in re.finditer(r"\S+", t)]
+        ws = [w for _, w, _ in found]
+        before = {tuple(ws[k:k + 25]): k for k in range(len(ws) - 25, -1, -1)}  # first places in this text
+        for k in range(len(ws) - 49):
+            if not any(g for *_, g in found[k:k + 50]):
+                assert tuple(ws[k:k + 50]) not in seen50, (d, k)
+        for k, (_, _, g) in enumerate(found):
+            if g:
+                near = [x for x in range(max(0, k - 24), k + 1) if len(ws[x:x + 25]) == 25]
+                assert any(tuple(ws[x:x + 25]) in seen25 or before[tuple(ws[x:x + 25])] < x for x in near), (d, k)
+        left += sum(not g for *_, g in found)
+        seen50 |= {tuple(ws[k:k + 50]) for k in range(len(ws) - 49)}
+        seen25 |= set(before)
+    assert left < 0.6 * sum(len(t.split()) for t in texts.values())
+
+
+def test_units_in_bytes_as_in_text():
+    """The vectorised borders are those of the pattern, in code points, and digests depend on words in order alone."""
+    import pyarrow as pa
+    import xxhash
+
+    from millrace.llm.text import words
+
+    rng = np.random.default_rng(4)
+    bits = ["a.", "b", "É!", "naïve?", " ", "  ", "\n", "\t", " \n ", ".", "\U0001f600", "B", "x y", "", "\r\n", "\x0b"]
+    texts = ["".join(rng.choice(bits, int(rng.integers(0, 30)))) for _ in range(1500)] + ["", " ", "\n", "a", " a ", "a. "]
+    w = words(pa.array(texts))
+    lanes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(v.lower()) for v in w.values.to_pylist()), np.uint64).reshape(-1, 2)[w.codes]
+    text, number, start, stop, counts, hi, lo, again = lines.unit_digests(*lines._plain_bytes(pa.array(["pad", *texts])[1:]), w.starts, lanes)
+    got, same, seen = collections.defaultdict(list), {}, set()
+    for t, n, a, b, c, x, y, r in zip(text, number, start, stop, counts, hi, lo, again, strict=True):
+        assert n == len(got[t])
+        got[t].append((int(a), int(b)))
+        own = tuple(re.findall(r"[^\x20\x09-\x0D]+", texts[t][a:b].lower()))
+        assert len(own) == c and same.setdefault(own, (x, y)) == (x, y) and r == ((t, own) in seen)
+        seen.add((t, own))
+    assert len(set(same.values())) == len(same)
+    # A space that the pattern leaves behind a border's spaces, such as a vertical tab, doesn't belong to the next unit here.
+    trim = lambda t, a, b: (a + len(t[a:b]) - len(t[a:b].lstrip("\t\n\x0b\x0c\r ")) if a else a, b)
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == [trim(t, a, b) if k else (a, b) for k, (a, b) in enumerate(lines.units(t))], repr(t)
