@@ -135,20 +135,22 @@ def branches(messages: DataFrame, tree: str, node: str, parent: str, score: str
 
 
 def format_trees(messages: DataFrame, tree: str, node: str, parent: str, role: str = "role", text: str = "text", score: str | None = None,
-                 best: int = 1, loss_roles: Sequence[str] = ("assistant",), template: Template = Template()) -> DataFrame:  # noqa: B008
+                 best: int = 1, loss_roles: Sequence[str] = ("assistant",), template: Template = Template(), links: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """``tree, leaf, branch_rank, branch_score, formatted, spans``: one training text for each of a tree's ``best`` branches.
 
     ``spans`` has a struct per turn, in order: ``start, stop`` of the turn, ``text_start, text_stop`` of its escaped text
     (code points in ``formatted``, counted from 0), and ``loss``, whether the text is learnt (its role is among ``loss_roles``).
+    The parents and scores may stand in a table of their own, ``links``; texts then meet nothing but the chosen paths.
 
     Null roles and texts are empty. Rows that repeat a node are turns of their own, one after another by role and
     text. Null trees are one tree; a null node is a node that nobody replies to. An empty table gives no rows; other
     columns aren't read. A branch's text is one value, so one conversation has to fit a row; nothing else is gathered.
     """
-    paths = branches(messages, tree, node, parent, score, best)
+    paths = branches(messages if links is None else links, tree, node, parent, score, best)
     rows = messages.select(F.struct(F.col(tree).alias("tree"), F.col(node).alias("node")).alias("key"), F.coalesce(F.col(role), F.lit("")).alias("role"),
                            F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.join(paths, "key").withColumn("_role", template.escaped(F.col("role"))).withColumn("_text", template.escaped(F.col("text")))
+    # Escaped behind the exchange, so that each text passes it once.
+    rows = rows.join(paths, "key").drop("key").repartition("tree", "leaf").withColumn("_role", template.escaped(F.col("role"))).withColumn("_text", template.escaped(F.col("text")))
     head = F.concat(F.lit(template.open), "_role", F.lit(template.head))
     rows = rows.select("tree", "leaf", "branch_rank", "branch_score", "turn_no", "role", "text", head.alias("head"), "_text")
     by = W.partitionBy("tree", "leaf").orderBy("turn_no", "role", "text")
@@ -163,15 +165,13 @@ def format_trees(messages: DataFrame, tree: str, node: str, parent: str, role: s
     return out.select("tree", "leaf", "branch_rank", "branch_score", F.array_join(F.col("turns.piece"), "").alias("formatted"), F.col("turns.span").alias("spans"))
 
 
-def reply_chains(rows: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``key, node, parent, role, text``: conversations as trees where every row replies to the one before it.
+def reply_chains(rows: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``key, node, role, text`` and ``key, node, parent``: conversations as trees where every row replies to the one before it.
 
     Rows stand by ``order`` (null first), then role and a digest of the text; rows equal in all share a node. Only
-    that much of a row is sorted, never its text.
+    that much of a row is exchanged and sorted, never its text.
     """
     place = F.struct(F.col(order).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     rows = rows.select(F.col(key).alias("key"), place.alias("node"), F.col(role).alias("role"), F.col(text).alias("text"))
-    nodes = rows.groupBy("key", "node").agg(F.lit(1).alias("_one"))
-    nodes = nodes.withColumn("parent", F.lag("node").over(W.partitionBy("key").orderBy("node"))).select(F.struct("key", "node").alias("_place"), "parent")
-    nodes = stage(nodes, "chains")
-    return rows.withColumn("_place", F.struct("key", "node")).join(nodes, "_place").drop("_place")
+    nodes = rows.select("key", "node").distinct()
+    return rows, nodes.withColumn("parent", F.lag("node").over(W.partitionBy("key").orderBy("node")))

@@ -202,7 +202,8 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(F.lit(CHAT_EXTRA[0]).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CHAT_EXTRA[1]).alias("text"))
     template = chat.Template()
-    done = chat.format_trees(chat.reply_chains(rows.unionByName(more)), "key", "node", "parent", template=template)
+    messages, links = chat.reply_chains(rows.unionByName(more))
+    done = chat.format_trees(messages, "key", "node", "parent", template=template, links=links)
     done = done.withColumn("turns", template.read(F.col("formatted"))).withColumn("learnt", F.array_join(template.masked(F.col("turns"), F.col("spans")), ""))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(

@@ -86,7 +86,8 @@ def test_overlapping_control_strings_are_refused():
 def test_chains_keep_every_row(spark):
     rows = [(1, None, "user", "first"), (1, 3, "assistant", "b"), (1, 3, "assistant", "b"), (1, 3, "assistant", "a"), (1, 9, None, None), (None, 0, "user", "x" * 100_000), (2, 0, "user", "")]
     df = spark.createDataFrame([(*r, "k") for r in rows], "conv_id long, turn long, role string, text string, parent string")
-    done = chat.format_trees(chat.reply_chains(df), "key", "node", "parent").withColumn("turns", chat.Template().read(F.col("formatted")))
+    messages, links = chat.reply_chains(df)
+    done = chat.format_trees(messages, "key", "node", "parent", links=links).withColumn("turns", chat.Template().read(F.col("formatted")))
     got = {r.tree: [(t.role, t.text) for t in r.turns] for r in done.collect()}
     assert got[None] == [("user", "x" * 100_000)] and got[2] == [("user", "")]
     assert got[1][0] == ("user", "first") and sorted(got[1][1:4]) == [("assistant", "a"), ("assistant", "b"), ("assistant", "b")] and got[1][4] == ("", "")
