@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.text import Words, owners, slices, words
-from millrace.session import stage
+from millrace.session import scratch_path, stage
 
 #: Postings of a block: what is decoded at once and has one list of possible maxima.
 BLOCK = 128
@@ -25,10 +25,13 @@ LENGTH_BASE, LENGTH_SHARE, TF_SCALE, TF_DAMP = 100, 25, 1000, 12
 _TERM_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
-INDEX = ("docs long, words long, ids binary, no_id binary, sizes binary, terms array<string>, first binary, df binary, "
-         "last binary, at binary, best binary, best_tf binary, best_size binary, postings binary")
-_INDEX = pa.schema([("docs", pa.int64()), ("words", pa.int64()), *[(c, pa.binary()) for c in ("ids", "no_id", "sizes")], ("terms", pa.list_(pa.string())),
-                    *[(c, pa.binary()) for c in ("first", "df", "last", "at", "best", "best_tf", "best_size", "postings")]])
+#: Columns of numbers are packed (``pack``). ``term_bytes`` and ``df`` have a number per term, ``last``, ``block_bytes`` and ``best``
+#: (how many pairs) one per block, ``best_tf`` and ``best_size`` one per pair.
+_PACKED = ("sizes", "term_bytes", "df", "last", "block_bytes", "best", "best_tf", "best_size")
+INDEX = "docs long, words long, ids binary, no_id binary, terms binary, postings binary, " + ", ".join(f"{c} binary" for c in _PACKED)
+_INDEX = pa.schema([("docs", pa.int64()), ("words", pa.int64()), *[(c, pa.binary()) for c in ("ids", "no_id", "terms", "postings", *_PACKED)]])
+#: Bytes of a row group of a written index: what a reader has in memory at once.
+ROW_GROUP = 16 << 20
 HEAP = "item long, score long, no_id boolean, doc_id long"
 RANKED = "item_id long, rank int, doc_id long, score long"
 
@@ -119,14 +122,20 @@ def shard_row(batch: pa.RecordBatch) -> list[object] | None:
     best = np.ones(len(pick), bool)
     best[1:] = (high[1:] > top[:-1])
     pick = pick[best]
-    raw = lambda a, kind: a.astype(kind).tobytes()
-    return [n, int(sizes.sum()), raw(ids[order], np.int64), raw(no_id[order], np.bool_), raw(sizes, np.int64), w.values.take(pa.array(by_text)).to_pylist(),
-            raw(np.append(0, np.cumsum(-(-df // BLOCK))), np.int64), raw(df, np.int64), raw(doc[block_stop - 1], np.int32),
-            raw(np.append(0, byte_ends[2 * block_stop - 1]), np.int64), raw(np.append(0, np.cumsum(np.bincount(block[pick]))), np.int64),
-            raw(tf[pick], np.int64), raw(sizes[doc[pick]], np.int64), data.tobytes()]
+    spelled = w.values.take(pa.array(by_text))
+    numbers = (sizes, pc.binary_length(spelled).to_numpy(), df, doc[block_stop - 1], np.diff(byte_ends[2 * block_stop - 1], prepend=0),
+               np.bincount(block[pick]), tf[pick], sizes[doc[pick]])
+    return [n, int(sizes.sum()), ids[order].tobytes(), no_id[order].tobytes(), "".join(spelled.to_pylist()).encode(), data.tobytes(),
+            *[pack(a)[0].tobytes() for a in numbers]]
 
 
-def build_index(docs: DataFrame, shard_bytes: int = 8 << 20) -> DataFrame:
+def shard_terms(row: dict[str, object]) -> pa.Array:
+    """A shard's terms, in the order of their numbers."""
+    ends = np.append(0, np.cumsum(unpack(np.frombuffer(row["term_bytes"], np.uint8))))
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(row["terms"]))
+
+
+def build_index(docs: DataFrame, shard_bytes: int = 4 << 20) -> DataFrame:
     """A row per shard of about ``shard_bytes`` of text (a longer text is a shard of its own); all rows of ``docs`` are indexed.
 
     Shards are independent and mergeable: nothing in them depends on other documents. No exchange.
@@ -164,16 +173,17 @@ class Shard:
     """One index row opened for one corpus: bounds are at hand, postings are decoded on demand and kept."""
 
     def __init__(self, row: dict[str, object], corpus: Corpus, vocabulary: pa.Array):
-        get = lambda c, kind: np.frombuffer(row[c], kind)
-        self.ids, self.no_id = get("ids", np.int64), get("no_id", np.bool_)
-        self.damp = corpus.damp(get("sizes", np.int64))
-        self.first, self.last, self.at = get("first", np.int64), get("last", np.int32), get("at", np.int64)
-        bounds = share(get("best_tf", np.int64), corpus.damp(get("best_size", np.int64)))
-        self.block_max = np.maximum.reduceat(bounds, get("best", np.int64)[:-1])
+        get = lambda c: unpack(np.frombuffer(row[c], np.uint8))
+        ends = lambda counts: np.append(0, np.cumsum(counts))
+        self.ids, self.no_id = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["no_id"], np.bool_)
+        self.damp = corpus.damp(get("sizes"))
+        self.first, self.last, self.at = ends(-(-get("df") // BLOCK)), get("last"), ends(get("block_bytes"))
+        bounds = share(get("best_tf"), corpus.damp(get("best_size")))
+        self.block_max = np.maximum.reduceat(bounds, ends(get("best"))[:-1])
         self.term_max = np.maximum.reduceat(self.block_max, self.first[:-1])
-        self.postings = get("postings", np.uint8)
+        self.postings = np.frombuffer(row["postings"], np.uint8)
         #: For every term of the vocabulary its number here, or -1.
-        self.own = pc.fill_null(pc.index_in(vocabulary, value_set=row["terms"]), -1).to_numpy(zero_copy_only=False)
+        self.own = pc.fill_null(pc.index_in(vocabulary, value_set=shard_terms(row)), -1).to_numpy(zero_copy_only=False)
         self.decoded: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def blocks(self, term: int, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,10 +269,9 @@ def search_shard(shard: Shard, codes: np.ndarray, weights: np.ndarray, heap: Hea
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
-    """Rows of the index; a shard's terms stay an Arrow array."""
     for batch in batches:
         for i in range(batch.num_rows):
-            yield {n: batch.column(k)[i].values if n == "terms" else batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 def frequencies(index: DataFrame, vocabulary: pa.Array) -> np.ndarray:
@@ -271,14 +280,14 @@ def frequencies(index: DataFrame, vocabulary: pa.Array) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary), np.int64)
         for row in _shards(batches):
-            own = pc.fill_null(pc.index_in(vocabulary, value_set=row["terms"]), -1).to_numpy(zero_copy_only=False)
-            total[own >= 0] += np.frombuffer(row["df"], np.int64)[own[own >= 0]]
+            own = pc.fill_null(pc.index_in(vocabulary, value_set=shard_terms(row)), -1).to_numpy(zero_copy_only=False)
+            total[own >= 0] += unpack(np.frombuffer(row["df"], np.uint8))[own[own >= 0]]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["term", "n"])
 
     out = np.zeros(len(vocabulary), np.int64)
     # A row per term of one block of items, which bounds it.
-    for r in index.select("terms", "df").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in index.select("terms", "term_bytes", "df").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]
     return out
 
@@ -305,8 +314,7 @@ def search(index: DataFrame, corpus: Corpus, texts: list[str], top: int) -> Data
         cols = [np.repeat(np.arange(len(heaps)), [len(h.score) for h in heaps]), *[np.concatenate([getattr(h, c) for h in heaps]) for c in ("score", "no_id", "ids")]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["item", "score", "no_id", "doc_id"])
 
-    wanted = ["ids", "no_id", "sizes", "terms", "first", "last", "at", "best", "best_tf", "best_size", "postings"]
-    return index.select(*wanted).mapInArrow(run, HEAP)
+    return index.drop("docs", "words").mapInArrow(run, HEAP)
 
 
 def rank(index: DataFrame, items: DataFrame, top: int = 20, block_bytes: int = 1 << 20) -> DataFrame:
@@ -361,4 +369,6 @@ def ranked(docs: DataFrame, items: DataFrame, top: int = 20) -> DataFrame:
     Null and empty texts, and those without a term, are in no list and don't count as documents. Rows that share an
     identifier are documents of their own. The index is written to the shared folder, so its shards outlive executors.
     """
-    return rank(stage(build_index(docs), "index"), items, top)
+    at = scratch_path(docs.sparkSession, "index")
+    build_index(docs).write.option("parquet.block.size", ROW_GROUP).parquet(at)
+    return rank(docs.sparkSession.read.schema(INDEX).parquet(at), items, top)

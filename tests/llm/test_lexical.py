@@ -76,9 +76,9 @@ def test_blocks_are_passed_over_undecoded(monkeypatch):
         if not len(w.codes):
             continue
         df = np.zeros(len(w.values), np.int64)
-        shards = [lexical.Shard(dict(zip(names, r, strict=True)) | {"terms": pa.array(r[5])}, whole, w.values) for r in rows]
+        shards = [lexical.Shard(dict(zip(names, r, strict=True)), whole, w.values) for r in rows]
         for r, s in zip(rows, shards, strict=True):
-            df[s.own >= 0] += np.frombuffer(r[7], np.int64)[s.own[s.own >= 0]]
+            df[s.own >= 0] += lexical.unpack(np.frombuffer(r[names.index("df")], np.uint8))[s.own[s.own >= 0]]
         codes, repeats = np.unique(w.codes, return_counts=True)
         heap = lexical.Heap.empty(3)
         for s in shards:
