@@ -113,7 +113,7 @@ def fill(mappings: Mapping[str, Mapping[str, str]], actions: object = None) -> F
         chosen = sources.setdefault(table.lower(), {})
         for src, tgt in pairs.items():
             chosen[tgt.lower()] = src
-    chosen_actions = dict(_flatten(actions))
+    chosen_actions = {a.target: a.action for a in _spelled(actions or ())}
     for (table, column), act in chosen_actions.items():
         if act.is_custom or act.is_default or act.is_null:
             sources.get(table, {}).pop(column, None)
@@ -122,34 +122,43 @@ def fill(mappings: Mapping[str, Mapping[str, str]], actions: object = None) -> F
     return Fill(sources, chosen_actions)
 
 
-def _as_action(raw: object) -> Action:
-    if isinstance(raw, Action):
-        return raw
-    if isinstance(raw, str):
-        return Action(raw)
-    src = raw.get("raw_data_key") or raw.get("source") or raw.get("excel_column") or raw.get("excel_source")
-    return Action(str(raw.get("action") or ""), src, raw.get("custom_value"))
-
-
-def _flatten(actions: object) -> Iterable[tuple[tuple[str, str], Action]]:
-    if not actions:
-        return
-    if isinstance(actions, Mapping):
-        for key, value in actions.items():
-            if isinstance(key, tuple):
-                yield (str(key[0]).lower(), str(key[1]).lower()), _as_action(value)
-            elif "." in str(key):
-                table, column = str(key).split(".", 1)
-                yield (table.lower(), column.lower()), _as_action(value)
-            else:
-                for column, inner in value.items():
-                    yield (str(key).lower(), str(column).lower()), _as_action(inner)
-        return
-    for record in actions:
-        table = str(record.get("table") or "").lower()
-        column = str(record.get("sql_column") or record.get("column") or "").lower()
-        if table and column:
-            yield (table, column), _as_action(record)
+#: The names under which a record of an action may give its column and its source, the first one present counting.
+COLUMN_FIELDS, SOURCE_FIELDS = ("sql_column", "column"), ("raw_data_key", "source", "excel_column", "excel_source")
+
+
+@dataclass(frozen=True)
+class _Spelled:
+    """One action as somebody wrote it: the path to its column, and what stands there."""
+
+    path: tuple[str, ...]
+    said: object
+
+    @property
+    def target(self) -> tuple[str, str]:
+        """Table and column in lower case; a path of one name is cut at its first dot."""
+        table, column = self.path if len(self.path) == 2 else self.path[0].split(".", 1)
+        return table.lower(), column.lower()
+
+    @property
+    def action(self) -> Action:
+        if isinstance(self.said, Action):
+            return self.said
+        said = {"action": self.said} if isinstance(self.said, str) else self.said
+        source = next(filter(None, map(said.get, SOURCE_FIELDS)), None)
+        return Action(str(said.get("action") or ""), source, said.get("custom_value"))
+
+
+def _spelled(actions: Mapping | Iterable, path: tuple[str, ...] = ()) -> list[_Spelled]:
+    """Every spelling as a list of paths: records name theirs, mappings are walked down to it."""
+    if not isinstance(actions, Mapping):
+        named = [(r, r.get("table"), next(filter(None, map(r.get, COLUMN_FIELDS)), None)) for r in actions]
+        return [_Spelled((str(table), str(column)), r) for r, table, column in named if table and column]
+    found: list[_Spelled] = []
+    for key, said in actions.items():
+        here = (*path, *map(str, key)) if isinstance(key, tuple) else (*path, str(key))
+        complete = len(here) == 2 or "." in here[0]
+        found += [_Spelled(here, said)] if complete else _spelled(said, here)
+    return found
 
 
 def load_order(tables: Iterable[Table]) -> list[Table]:

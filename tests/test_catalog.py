@@ -28,22 +28,20 @@ def test_load_order_agrees_with_the_plain_one(spark):
         assert [r["table"] for r in got if r["import_id"] == import_id] == names
 
 
-def test_fixture_metadata(spark):
-    cols = spark.createDataFrame(
-        [("s", "Customer", 1, "Customer_ID", "INT", False, True, False), ("s", "Customer", 2, "Name", "VARCHAR(100)", False, False, False),
-         ("s", "Bills", 1, "Bill_ID", "INT", False, True, False), ("s", "Bills", 2, "Customer_ID", "INT", False, False, False)],
-        "import_id string, table string, col_pos int, name string, sql_type string, nullable boolean, is_identity boolean, has_default boolean",
-    )
-    keys = spark.createDataFrame([("s", "customer", 1, "CUSTOMER_ID"), ("s", "Bills", 1, "Bill_ID")], "import_id string, table string, pk_pos int, column string")
-    fks = spark.createDataFrame([("s", "Bills", "Customer_ID", "Customer", "Customer_ID", 1)], "import_id string, child_table string, child_column string, parent_table string, parent_column string, fk_pos int")
-    names = cols.groupBy("import_id", "table").count()
-    related = {r["table"]: r["related_tables"] for r in C.related_tables(names, fks, BY).collect()}
-    assert related == {"Customer": ["Bills"], "Bills": ["Customer"]}
-    lists = {r["table"].lower(): r["primary_key"] for r in C.primary_key_lists(cols, keys, BY).collect()}
-    assert lists == {"customer": "Customer_ID", "bills": "Bill_ID"}
-    roles = {(r["table"], r["name"]): r["role"] for r in C.column_roles(C.mark_primary_keys(cols, keys, BY), fks, BY).collect()}
-    assert roles[("Bills", "Customer_ID")] == "FK (References Customer.Customer_ID)" and roles[("Customer", "Customer_ID")] == "PK"
-    read = from_catalog(cols, keys, fks, ["Bills", "customer"])
-    assert [t.name for t in read] == ["Bills", "Customer"]
-    assert read[0].columns[0] == Column("Bill_ID", "INT", False, True, False)
-    assert read[0].foreign_keys == (ForeignKey("Customer_ID", "Customer", "Customer_ID"),)
+def test_metadata_of_two_linked_tables(spark):
+    flags = "nullable boolean, is_identity boolean, has_default boolean"
+    declared = [("m", "Harbour", 1, "UN_Code", "CHAR(5)", False, False, False), ("m", "Harbour", 2, "Title", "TEXT", True, False, True),
+                ("m", "Pilotage", 1, "Slot", "BIGINT", False, True, False), ("m", "Pilotage", 2, "At_Port", "CHAR(5)", True, False, False)]
+    cols = spark.createDataFrame(declared, f"import_id string, table string, col_pos int, name string, sql_type string, {flags}")
+    keys = spark.createDataFrame([("m", "HARBOUR", 1, "un_code"), ("m", "pilotage", 1, "Slot")], "import_id string, table string, pk_pos int, column string")
+    link = ("m", "Pilotage", "At_Port", "Harbour", "UN_Code", 1)
+    fks = spark.createDataFrame([link], "import_id string, child_table string, child_column string, parent_table string, parent_column string, fk_pos int")
+    related = C.related_tables(cols.groupBy("import_id", "table").count(), fks, BY).select("table", "related_tables").collect()
+    assert sorted(map(tuple, related)) == [("Harbour", ["Pilotage"]), ("Pilotage", ["Harbour"])]
+    lists = C.primary_key_lists(cols, keys, BY).collect()
+    assert sorted((r["table"].lower(), r["primary_key"]) for r in lists) == [("harbour", "UN_Code"), ("pilotage", "Slot")]
+    roles = C.column_roles(C.mark_primary_keys(cols, keys, BY), fks, BY).where("name IN ('At_Port', 'UN_Code')").orderBy("name").collect()
+    assert [r["role"] for r in roles] == ["FK (References Harbour.UN_Code)", "PK"]
+    pilotage, harbour = from_catalog(cols, keys, fks, ["pilotage", "Harbour"])
+    assert pilotage == Table("Pilotage", (Column("Slot", "BIGINT", False, True, False), Column("At_Port", "CHAR(5)", True)), ("Slot",), (ForeignKey(*link[2:5]),))
+    assert harbour.columns[1] == Column("Title", "TEXT", default=True)

@@ -81,6 +81,7 @@ def test_wide_exponents(one):
     assert dict(zip(want, one(lambda c: X.literal(c, "integer"), list(want)), strict=True)) == want
 
 
+# Worked literals that the output format prescribes.
 def test_literals(one):
     assert one(lambda c: X.literal(c, "string"), ["John's Restaurant", None, "  "]) == ["'John''s Restaurant'", "NULL", "NULL"]
     assert one(lambda c: X.literal(c, "float"), ["100.5", " 250.75 ", "abc"]) == ["100.5", "250.75", "'abc'"]

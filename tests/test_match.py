@@ -44,36 +44,25 @@ def plans_of(spark, rows, table):
     return got, {r["column"]: r for r in got.plans.collect()}
 
 
-def test_generic_columns_are_no_sinks(spark):
-    got, plans = plans_of(
-        spark,
-        [("Customer", "Customer_ID", "INT", "pk id nn"), ("Customer", "Customer_Name", "VARCHAR(100)", "nn"), ("Customer", "Mobile_Number", "VARCHAR(20)", ""),
-         ("Customer", "Email_ID", "VARCHAR(100)", ""), ("Customer", "Address", "VARCHAR(255)", ""), ("Customer", "Date_Added", "DATETIME", "def"),
-         ("Customer", "Comments", "VARCHAR(500)", ""), ("Customer", "Column1", "VARCHAR(50)", ""), ("Customer", "Column2", "VARCHAR(50)", "")],
-        {"Customer_Name": ["Alice Ray", "Bob Lee"], "Mobile_Number": ["555-123-4567", "555-987-6543"], "Email_ID": ["a@x.com", "b@y.org"], "Unrelated_Extra_Notes": ["likes tea", "none so far"]},
-    )
-    for c in ("Customer_Name", "Mobile_Number", "Email_ID"):
-        assert (plans[c]["action"], plans[c]["source"], plans[c]["confidence"]) == ("IMPORT", c, 100)
-    want = {"Customer_ID": "DATABASE_GENERATED", "Date_Added": "DEFAULT", "Address": "NULL", "Comments": "NULL", "Column1": "NULL", "Column2": "NULL"}
-    assert {c: plans[c]["action"] for c in want} == want
-    assert [r["source"] for r in got.unused.collect()] == ["Unrelated_Extra_Notes"]
-    view = {r["source"]: r["action"] for r in got.view.collect()}
-    assert view["Unrelated_Extra_Notes"] == "NOT_USED" and view["Email_ID"] == "IMPORT"
-    stats = got.statistics.first()
-    assert (stats["total_excel_columns"], stats["mapped_excel_columns"], stats["sql_columns_imported"], stats["mapping_source"]) == (4, 3, 3, "STANDARD")
-
-
-def test_required_column_without_source(spark):
-    _, plans = plans_of(
-        spark,
-        [("Inventory", "Item_Code", "VARCHAR(50)", "pk nn"), ("Inventory", "Item_Description", "VARCHAR(200)", "nn"),
-         ("Inventory", "Unit_Cost", "DECIMAL(10,2)", "nn"), ("Inventory", "Reorder_Level", "INT", "")],
-        {"Item_Code": ["ITM-01"], "Item_Description": ["Widget A"]},
-    )
-    assert {c: p["action"] for c, p in plans.items()} == {
-        "Item_Code": "IMPORT", "Item_Description": "IMPORT", "Unit_Cost": "VALIDATION_ERROR", "Reorder_Level": "NULL",
-    }
-    assert plans["Unit_Cost"]["confidence"] == 0 and plans["Unit_Cost"]["method"] == "NONE"
+def test_unspecific_names_attract_nothing(spark):
+    """A loose source column stays unused beside unspecific targets, which are filled by their declarations."""
+    declared = [("Berth", "Berth_No", "BIGINT", "pk id nn"), ("Berth", "Column7", "VARCHAR(9)", ""), ("Berth", "Quay_Name", "NVARCHAR(60)", "nn"),
+                ("Berth", "Remarks", "VARCHAR(300)", ""), ("Berth", "Booked_On", "DATE", "def"), ("Berth", "Depth_M", "DECIMAL(5,1)", "")]
+    got, plans = plans_of(spark, declared, {"Depth_M": ["7.5", "11.0"], "Captains_Gossip": ["storm ahead", "none"], "Quay_Name": ["North Mole", "Old Pier"]})
+    rows = sorted((c, p["action"], p["source"]) for c, p in plans.items())
+    assert rows == [("Berth_No", "DATABASE_GENERATED", None), ("Booked_On", "DEFAULT", None), ("Column7", "NULL", None), ("Depth_M", "IMPORT", "Depth_M"),
+                    ("Quay_Name", "IMPORT", "Quay_Name"), ("Remarks", "NULL", None)]
+    assert {p["confidence"] for p in plans.values() if p["action"] == "IMPORT"} == {100}
+    assert {r["source"]: r["action"] for r in got.view.collect()} == {"Captains_Gossip": "NOT_USED", "Depth_M": "IMPORT", "Quay_Name": "IMPORT"}
+    assert [r["source"] for r in got.unused.collect()] == ["Captains_Gossip"]
+    assert got.statistics.select("total_excel_columns", "mapped_excel_columns", "sql_columns_imported", "mapping_source").first() == (3, 2, 2, "STANDARD")
+
+
+def test_nothing_fills_a_required_column(spark):
+    _, plans = plans_of(spark, [("Crane", "Jib_Length", "FLOAT", "nn"), ("Crane", "Serial", "VARCHAR(12)", "pk nn"), ("Crane", "Yard", "TEXT", "")], {"Serial": ["K-9", "K-12"]})
+    missing = plans.pop("Jib_Length")
+    assert (missing["action"], missing["confidence"], missing["method"]) == ("VALIDATION_ERROR", 0, "NONE")
+    assert {c: p["action"] for c, p in plans.items()} == {"Serial": "IMPORT", "Yard": "NULL"}
 
 
 # Written-out scores: (table, declared name, source name, found type) -> score, or None below the keep score.

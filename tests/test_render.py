@@ -62,27 +62,29 @@ def test_actions_decide_their_columns(spark, spelling):
     assert "Loan_No -> DATABASE_GENERATED" in text_of(got) and "[Loan_No]" not in text_of(got)
 
 
-def test_identity_insert_only_with_values(spark):
-    t = Table("Customer", (Column("Customer_ID", "INT", False, True), Column("Customer_Name", "VARCHAR(100)", False)), ("Customer_ID",))
-    rows = staged(spark, [("1", "Alice"), ("2", "Bob")], "cust_id", "cust_name")
-    with_id = text_of(generate(rows, [t], {"Customer": {"cust_id": "Customer_ID", "cust_name": "Customer_Name"}}))
-    assert "SET IDENTITY_INSERT [dbo].[Customer] ON;" in with_id and "SET IDENTITY_INSERT [dbo].[Customer] OFF;" in with_id
-    assert "IDENTITY_INSERT" not in text_of(generate(rows, [t], {"Customer": {"cust_name": "Customer_Name"}}))
-    assert "IDENTITY_INSERT" not in text_of(generate(rows, [t], {"Customer": {"cust_id": "Customer_ID", "cust_name": "Customer_Name"}}, dialect="postgres"))
-
-
-def test_dependency_order_escaping_and_report(spark):
-    branch = Table("Branch", (Column("Branch_ID", "INT", False), Column("Branch_Name", "VARCHAR(100)", False)), ("Branch_ID",))
-    cust = Table("Customer", (Column("Customer_ID", "BIGINT", False), Column("Branch_ID", "INT", False), Column("Customer_Name", "VARCHAR(100)", False)), ("Customer_ID",),
-                 (ForeignKey("Branch_ID", "Branch", "Branch_ID"),))
-    empty = Table("EmptyTable", (Column("ID", "INT", False), Column("Data")), ("ID",))
-    rows = staged(spark, [("1", "Main", "10", "1", "John's Diner"), ("2", "East", "11", "2", "Cafe"), (None, None, "12", "9", "Lost")], "b", "bn", "c", "cb", "cn")
-    maps = {"Branch": {"b": "Branch_ID", "bn": "Branch_Name"}, "Customer": {"c": "Customer_ID", "cb": "Branch_ID", "cn": "Customer_Name"}}
-    got = text_of(generate(rows, [cust, empty, branch], maps, dialect="mysql", include_report=True, unmapped=["extra"]))
-    assert got.index("INSERT INTO `Branch`") < got.index("INSERT INTO `Customer`") and "EmptyTable`" not in got
-    assert "'John''s Diner'" in got and "START TRANSACTION;" in got
-    assert "-- [Table: Customer] Rejected Rows: 1" in got and "FOREIGN KEY ERROR: Row 3 - Foreign key violation: Column 'Branch_ID' value '9'" in got
-    assert "-- Excel Column: extra" in got and "--   cn -> Customer_Name [MATCHED]" in got
+@pytest.mark.parametrize(("dialect", "number", "switched"), [("tsql", True, True), ("tsql", False, False), ("postgres", True, False)])
+def test_the_identity_switch_needs_values_and_its_dialect(spark, dialect, number, switched):
+    depot = Table("Depot", (Column("Gate", "NVARCHAR(8)"), Column("Seq", "BIGINT", False, True)), ("Seq",))
+    mapped = {"g": "Gate"} | ({"s": "Seq"} if number else {})
+    got = text_of(generate(staged(spark, [("A", "70"), ("B", "71")], "g", "s"), [depot], {"Depot": mapped}, dialect=dialect))
+    for state in ("ON", "OFF"):
+        assert (f"SET IDENTITY_INSERT [dbo].[Depot] {state};" in got) == switched
+    assert ("IDENTITY_INSERT" in got) == switched
+
+
+def test_a_script_with_parents_quotes_and_a_report(spark):
+    """Declared child first, one table without rows, one orphan, a quote in a text, a left-over header."""
+    lot = Table("Lot", (Column("Lot_Code", "CHAR(3)", False), Column("Keeper")), ("Lot_Code",))
+    crate = Table("Crate", (Column("Tag", "INT", False), Column("Lot_Code", "CHAR(3)", False)), ("Tag",), (ForeignKey("Lot_Code", "Lot", "Lot_Code"),))
+    spare = Table("Spare", (Column("Part", "INT", False),), ("Part",))
+    rows = staged(spark, [("501", "L1", "L1", "O'Hara"), ("502", "L9", None, None)], "tag", "of", "lot", "keeper")
+    maps = {"Crate": {"tag": "Tag", "of": "Lot_Code"}, "Lot": {"lot": "Lot_Code", "keeper": "Keeper"}}
+    got = text_of(generate(rows, [crate, spare, lot], maps, dialect="mysql", include_report=True, unmapped=["weight"]))
+    order = [got.index(x) for x in ("START TRANSACTION;", "INSERT INTO `Lot`", "'O''Hara'", "INSERT INTO `Crate`")]
+    assert order == sorted(order) and "`Spare`" not in got
+    for line in ("-- [Table: Crate] Rejected Rows: 1", "FOREIGN KEY ERROR: Row 2 - Foreign key violation: Column 'Lot_Code' value 'L9'", "-- Excel Column: weight",
+                 "--   keeper -> Keeper [MATCHED]"):
+        assert line in got
 
 
 def test_selection_errors():
