@@ -68,9 +68,9 @@ def table_name(sheet: Column) -> Column:
 
 
 def blocks(segmented: DataFrame) -> DataFrame:
-    """One row per block: rows, order within its sheet, table name."""
+    """One row per block: rows (those that a gap implies included), order within its sheet, table name."""
     found = segmented.groupBy(*SHEET, "block_start").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max(F.size("cells")).alias("width")
+        (F.max("row_in_block") + 1).alias("n_rows"), F.max(F.size("cells")).alias("width")
     )
     numbered = stage(number(found, SHEET, "block_start", "block_no"), "blocks")
     per_sheet = numbered.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("n_blocks"))

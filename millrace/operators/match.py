@@ -302,9 +302,9 @@ def score(pairs: DataFrame) -> DataFrame:
     base = base.select(*keep, "fixed", "bonus", "shared", "jac", "t_norm", "s_norm")
     # One measurement per distinct pair of names over all scopes.
     base = stage(base, "hopeful")
-    measured = base.where(unsettled).select("t_norm", "s_norm").distinct()
+    measured = base.where(unsettled).groupBy("t_norm", "s_norm").agg(F.count(F.lit(1)).alias("pairs"))
     measured = stage_facts(measured.withColumn("seq", sequence_ratio(tn, sn)), "ratios")
-    base = lookup(base, measured.renamed("t_norm", "m_t").renamed("s_norm", "m_s"), [(tn, "m_t"), (sn, "m_s")], ["seq"])
+    base = lookup(base, measured.renamed("t_norm", "m_t").renamed("s_norm", "m_s"), [(tn, "m_t"), (sn, "m_s")], ["seq"], "pairs", F.xxhash64(*[c for c in keep if c != "sample_values"]))
     seq = F.col("seq")
     best = F.greatest(seq, seq * 0.5 + F.col("jac") * 0.5)
     best = F.when(F.col("shared"), F.greatest(best, F.lit(SHARED_WORD_FLOOR))).otherwise(best)

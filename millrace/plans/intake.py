@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.operators import catalog as C
 from millrace.operators import grid as G
 from millrace.operators import match as M
+from millrace.operators.lookup import lookup
 from millrace.operators.profile import profile
 from millrace.operators.render import BATCH_ROWS, script
 from millrace.operators.validate import Validation, validate
@@ -35,7 +36,9 @@ def column_values(found: G.Structured) -> DataFrame:
     order = found.columns.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("col_pos", "name"))), lambda c: c["name"]).alias("names")
     )
-    cells = found.rows.join(order, keys).select(*keys, "row_idx", F.explode(F.arrays_zip("names", "values")).alias("c"))
+    order = order.join(found.tables.select(*keys, "row_count"), keys)
+    named = lookup(found.rows, order, [(F.col(k), k) for k in keys], ["names"], "row_count", F.col("row_idx"))
+    cells = named.where("names IS NOT NULL").select(*keys, "row_idx", F.explode(F.arrays_zip("names", "values")).alias("c"))
     return cells.select(*keys, "row_idx", F.col("c.names").alias("column"), F.col("c.values").alias("value"))
 
 

@@ -13,20 +13,26 @@ from millrace.sources.grids import inspect
 
 
 def current(ledger: DataFrame) -> DataFrame:
-    """One line per import: the ledger only grows, and a closing line stands for the opening one."""
+    """One line per import: the ledger only grows, and an import's last line says how it stands.
+
+    The last line is the one with the highest ``seq``; without that column, or between equals, one that
+    closes the import. Lines meet in a map-side combined maximum.
+    """
     closed = F.coalesce(F.col("status") != "PENDING", F.lit(False))
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(0).cast("long")) if "seq" in ledger.columns else F.lit(0).cast("long")
     line = F.struct(*[F.col(f"`{c}`") for c in ledger.columns if c != "import_id"])
-    return ledger.groupBy("import_id").agg(F.max_by(line, closed).alias("line")).select("import_id", "line.*")
+    last = ledger.groupBy("import_id").agg(F.max_by(line, F.struct(seq, closed)).alias("line"))
+    return last.select("import_id", "line.*").select(*[f"`{c}`" for c in ledger.columns])
 
 
 def history(ledger: DataFrame) -> DataFrame:
-    """L1: newest first."""
-    return ledger.orderBy(F.col("upload_date").desc())
+    """L1: every import once, as it stands, newest first."""
+    return current(ledger).orderBy(F.col("upload_date").desc())
 
 
 def find_import(ledger: DataFrame, import_id: object) -> DataFrame:
-    """L2: at most one row; the predicate reaches the scan."""
-    return ledger.where(F.col("import_id") == F.lit(import_id)).limit(1)
+    """L2: at most one row, the import as it stands; the predicate reaches the scan."""
+    return current(ledger.where(F.col("import_id") == F.lit(import_id)))
 
 
 def errors(records: DataFrame, import_id: object | None = None) -> DataFrame:

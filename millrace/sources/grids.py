@@ -94,19 +94,17 @@ def csv_records(lines: DataFrame) -> DataFrame:
     inside = (F.shiftright(F.coalesce(F.col("last"), F.lit(0)), 1) % 2 + since) % 2 == 1
     behind = F.when(inside, F.col("in")).otherwise(F.col("out"))
     states = stage(states.select("source", "row_no", "line", inside.alias("inside"), behind.alias("behind")), "quotes")
+    # A file whose last line ends inside quotes is refused before any lines are gathered.
+    open_at = F.when(~F.col("inside"), F.col("row_no"))
+    ends = states.groupBy("source").agg(F.max_by("behind", "row_no").alias("unclosed"), F.max(F.when(F.col("behind"), open_at)).alias("opens"))
+    lost = ends.where("unclosed").orderBy("source").first()
+    if lost:
+        raise ValueError(f"a quoted field that begins in line {lost['opens'] + 1} of {lost['source']} is never closed")
     plain = states.where("NOT inside AND NOT behind").select("source", "row_no", F.col("line").alias("record"))
     broken = states.where("inside OR behind")
-    open_at = F.when(~F.col("inside"), F.col("row_no"))
     broken = running(broken, ["source"], "row_no", [Running("first", "max", open_at)])
-    joined = broken.groupBy("source", "first").agg(
-        F.array_sort(F.collect_list(F.struct("row_no", "line", "behind"))).alias("parts"))
-    joined = joined.select("source", F.col("first").alias("row_no"), F.array_join("parts.line", "\n").alias("record"),
-                           F.element_at("parts.behind", -1).alias("unclosed"))
-    joined = stage(joined, "records")
-    lost = joined.where("unclosed").select("source", "row_no").first()
-    if lost:
-        raise ValueError(f"a quoted field that begins in line {lost['row_no'] + 1} of {lost['source']} is never closed")
-    return plain.unionByName(joined.drop("unclosed"))
+    joined = broken.groupBy("source", "first").agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("parts"))
+    return plain.unionByName(joined.select("source", F.col("first").alias("row_no"), F.array_join("parts.line", "\n").alias("record")))
 
 
 def csv_grid(spark: SparkSession, path: str, encoding: str = "UTF-8", glob: str = "*") -> DataFrame:
@@ -159,7 +157,8 @@ def json_grid(spark: SparkSession, path: str, lines: bool = False, glob: str = "
 def cell_grid(cells: DataFrame) -> DataFrame:
     """S3: a cell table ``source, sheet, row_idx, col_pos, value`` as grids.
 
-    Rows without cells come back as empty rows, so that they separate blocks.
+    Rows without cells come back as empty rows, so that they separate blocks: the first and the last row of each gap, however
+    long it is. Everything behind a grid reads positions, so what lies between them is implied (``with_blank_rows``).
     """
     sheet = ["source", "sheet"]
     widths = cells.groupBy(*sheet).agg((F.max("col_pos") + 1).alias("width"), F.count(F.lit(1)).alias("n"))
@@ -174,12 +173,22 @@ def cell_grid(cells: DataFrame) -> DataFrame:
     previous = running(filled, sheet, "row_idx", [Running("before", "max", F.col("row_idx"), strict=True)])
     gap_from = F.coalesce(F.col("before"), F.lit(-1)) + 1
     gaps = previous.where(gap_from < F.col("row_idx")).select(
-        *sheet, F.explode(F.sequence(gap_from, F.col("row_idx") - 1)).alias("row_idx"),
+        *sheet, F.explode(F.array_distinct(F.array(gap_from, F.col("row_idx") - 1))).alias("row_idx"),
         F.transform("cells", lambda c: F.lit(None).cast("string")).alias("cells"),
     )
     return filled.unionByName(gaps)
 
 
+def with_blank_rows(grid: DataFrame) -> DataFrame:
+    """A grid with every row that its gaps imply; as many rows as the last position says."""
+    sheet = ["source", "sheet"]
+    placed = running(grid, sheet, "row_idx", [Running("before", "max", F.col("row_idx"), strict=True)])
+    inner = F.sequence(F.col("before") + 1, F.col("row_idx") - 1)
+    blank = placed.where(F.col("row_idx") > F.col("before") + 1).select(
+        *sheet, F.explode(inner).alias("row_idx"), F.transform("cells", lambda c: F.lit(None).cast("string")).alias("cells"))
+    return grid.unionByName(blank)
+
+
 def _ending(extensions: list[str]) -> str:
     """A file pattern for these endings, spelled as they are."""
     return "*{" + ",".join(re.sub(r"([\\*?{}\[\],^])", r"\\\1", e) for e in extensions) + "}"
@@ -207,7 +216,7 @@ def read_grids(spark: SparkSession, folder: str, json_lines: bool = False) -> Da
 def inspect(grid: DataFrame) -> DataFrame:
     """S5 per sheet: data rows (the first row is the header), columns, emptiness."""
     found = grid.groupBy("source", "sheet").agg(
-        F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("rows"), F.max(F.size("cells")).alias("columns")
+        F.max("row_idx").alias("rows"), F.max(F.size("cells")).alias("columns")
     )
     return found.withColumn("is_empty", F.col("rows") == 0)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,9 +93,62 @@ def add_to_table(
     return existing.unionByName(fresh.select(*aligned), allowMissingColumns=True)
 
 
+#: One line per load of a stored table: its number, the last id, the rows added, and the table's columns after it.
+_LOAD = "__load"
+LOADS = "load int, last_id long, added long, columns string, surrogate boolean"
+
+
+def _loads(spark: SparkSession, path: str):
+    """The last committed load of a stored table, or None."""
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/loads")
+    if not log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+        return None
+    line = F.struct("load", "last_id", "columns", "surrogate")
+    return spark.read.schema(LOADS).parquet(f"{path}/loads").agg(F.max_by(line, "load").alias("line")).first()["line"]
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table as of its last committed load; columns that came later are null in earlier rows."""
+    last = _loads(spark, path)
+    if last is None:
+        raise ValueError(f"no table at {path}")
+    columns = T.StructType.fromJson(json.loads(last["columns"]))
+    rows = spark.read.schema(T.StructType([*columns, T.StructField(_LOAD, T.IntegerType())])).parquet(f"{path}/rows")
+    return rows.where(F.col(_LOAD) <= last["load"]).drop(_LOAD)
+
+
+def grow_table(spark: SparkSession, path: str, rows: DataFrame, categories: Mapping[str, str], primary_key: tuple[str, ...] = ()) -> DataFrame:
+    """S12 as a stored table: ``rows`` (with ``row_idx``) are appended, and the table grows by the columns it lacks.
+
+    Known columns keep their types. Without a primary key a new table has a gap-free ``id`` in row order. The last
+    id and the columns stand in a log beside the rows, so a further load reads no stored row. A load is
+    written to a folder of its own and counts once its line is in the log; one that broke off is written anew.
+    """
+    last = _loads(spark, path)
+    known = T.StructType([]) if last is None else T.StructType.fromJson(json.loads(last["columns"]))
+    surrogate = not primary_key if last is None else last["surrogate"]
+    types = {f.name.lower(): f.dataType for f in known}
+    fresh = typed(rows, categories)
+    # A column is the same one whatever the case of its letters, and keeps its first spelling.
+    spelled = {f.name.lower(): f.name for f in known}
+    fresh = fresh.select(*[F.col(f"`{c}`").try_cast(types.get(c.lower(), fresh.schema[c].dataType)).alias(spelled.get(c.lower(), c)) for c in fresh.columns])
+    base, load = (0, 1) if last is None else (last["last_id"], last["load"] + 1)
+    if surrogate:
+        if "id" in {c.lower() for c in rows.columns}:
+            raise ValueError("rows bring an id of their own: name it as the primary key")
+        fresh = number(fresh, [], "row_idx", "__rn").select((F.lit(base) + F.col("__rn")).cast("long").alias("id"), "*").drop("__rn")
+    fresh = fresh.drop("row_idx")
+    seen = Observation()
+    fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/rows/{_LOAD}={load}")
+    columns = T.StructType([*known, *[T.StructField(f.name, f.dataType) for f in fresh.schema if f.name.lower() not in types]])
+    line = [(load, base + seen.get["n"], seen.get["n"], json.dumps(columns.jsonValue()), surrogate)]
+    spark.createDataFrame(line, LOADS).coalesce(1).write.mode("append").parquet(f"{path}/loads")
+    return read_table(spark, path)
+
+
 HISTORY = (
     "import_id string, file_name string, upload_date timestamp, total_records long, successful_records long, "
-    "failed_records long, duplicate_records long, status string, error_message string"
+    "failed_records long, duplicate_records long, status string, error_message string, seq long"
 )
 
 
@@ -104,13 +158,16 @@ def append_import(spark: SparkSession, path: str, import_id: str, file_name: str
     zero = F.lit(0).cast("long")
     row.select(
         "import_id", "file_name", F.current_timestamp().alias("upload_date"), zero.alias("total_records"), zero.alias("successful_records"),
-        zero.alias("failed_records"), zero.alias("duplicate_records"), F.lit("PENDING").alias("status"), F.lit(None).cast("string").alias("error_message"),
+        zero.alias("failed_records"), zero.alias("duplicate_records"), F.lit("PENDING").alias("status"), F.lit(None).cast("string").alias("error_message"), zero.alias("seq"),
     ).write.mode("append").parquet(path)
 
 
 def close_import(spark: SparkSession, path: str, import_id: str, counters: DataFrame | None, error: str | None = None) -> None:
     """The import's last line in the ledger, with its counters, or FAILED with the reason."""
-    opened = spark.read.schema(HISTORY).parquet(path).where((F.col("import_id") == F.lit(import_id)) & (F.col("status") == "PENDING"))
+    lines = spark.read.schema(HISTORY).parquet(path).where(F.col("import_id") == F.lit(import_id))
+    # One import's lines: the opening one gives name and date, the number of the next line follows the last.
+    opened = lines.agg(F.min_by(F.struct("file_name", "upload_date"), F.coalesce("seq", F.lit(0))).alias("first"), F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
+    opened = opened.where("first IS NOT NULL").select(F.lit(import_id).alias("import_id"), "first.*", "last")
     names = ("total_records", "successful_records", "failed_records", "duplicate_records")
     if counters is None:
         counts = [F.lit(0).cast("long").alias(n) for n in names]
@@ -119,5 +176,5 @@ def close_import(spark: SparkSession, path: str, import_id: str, counters: DataF
         counts = [F.lit(seen[n] or 0).cast("long").alias(n) for n in names]
     opened.select(
         "import_id", "file_name", "upload_date", *counts, F.lit("COMPLETED" if error is None else "FAILED").alias("status"),
-        F.lit(error).cast("string").alias("error_message"),
+        F.lit(error).cast("string").alias("error_message"), (F.col("last") + 1).cast("long").alias("seq"),
     ).write.mode("append").parquet(path)

@@ -101,7 +101,24 @@ def cell_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3: the sheets as a cell table and back; blank rows between cells reappear."""
     sheets = event_sheets(spark, sf_dir)
     cells = sheets.select("source", "sheet", "row_idx", F.posexplode("cells").alias("col_pos", "value")).where(F.col("value").isNotNull())
-    return S.cell_grid(cells).select("sheet", "row_idx", F.array_join("cells", "|", "~").alias("text"))
+    return S.with_blank_rows(S.cell_grid(cells)).select("sheet", "row_idx", F.array_join("cells", "|", "~").alias("text"))
+
+
+@query(
+    "s03_sparse_cells",
+    f"""WITH {GRID_SQL}, far AS (SELECT sheet, row_idx + row_idx // 5 * 100000000 AS r FROM grid WHERE NOT e),
+far_runs AS (SELECT *, r - row_number() OVER (PARTITION BY sheet ORDER BY r) AS g FROM far),
+found AS (SELECT sheet, min(r) AS block_start, count(*) AS n_rows FROM far_runs GROUP BY sheet, g HAVING count(*) >= 2
+  UNION ALL SELECT sheet, 0, max(r) + 1 FROM far_runs GROUP BY sheet HAVING sheet NOT IN (SELECT sheet FROM far_runs GROUP BY sheet, g HAVING count(*) >= 2))
+SELECT sheet, block_start, n_rows, replace(lower(sheet), ' ', '_') || CASE WHEN count(*) OVER (PARTITION BY sheet) > 1
+  THEN '_' || row_number() OVER (PARTITION BY sheet ORDER BY block_start) ELSE '' END AS table_name FROM found""",
+)
+def sparse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of rows a hundred million positions apart; the gaps between them stay implied."""
+    row = F.col("row_idx") + F.floor(F.col("row_idx") / 5) * 100_000_000
+    sheets = event_sheets(spark, sf_dir).select("source", "sheet", row.alias("row_idx"), F.posexplode("cells").alias("col_pos", "value"))
+    found = G.blocks(G.segment(S.cell_grid(sheets.where(F.col("value").isNotNull()))))
+    return found.select("sheet", "block_start", "n_rows", "table_name")
 
 
 @query("s05_inspection", f"""WITH {GRID_SQL} SELECT sheet, count(*) - 1 AS "rows", 4 AS "columns", count(*) = 1 AS is_empty FROM grid GROUP BY 1""")
@@ -164,6 +181,24 @@ def growing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.add_to_table(first, cust.drop("bal"), {"key": "integer"})
 
 
+@query(
+    "s12_stored_table",
+    """WITH c AS (SELECT row_number() OVER () AS i, count(*) OVER () AS n, * FROM customer)
+SELECT i AS id, c_custkey::BIGINT AS key, c_acctbal AS bal, CAST(NULL AS VARCHAR) AS seg, CAST(NULL AS BOOLEAN) AS good FROM c
+UNION ALL SELECT i + n, c_custkey, NULL, c_mktsegment, NULL FROM c UNION ALL SELECT i + 2 * n, NULL, NULL, NULL, c_acctbal > 0 FROM c""",
+)
+def stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three loads of a stored table, each with another column; ids go on, and a known column keeps its type."""
+    cust = positioned(spark, sf_dir, "customer")
+    text = {"key": F.col("c_custkey").cast("string"), "bal": F.col("c_acctbal").cast("string"), "seg": F.col("c_mktsegment"),
+            "KEY": F.concat(F.lit("no "), F.col("c_name")), "good": F.when(F.col("c_acctbal") > 0, "true").otherwise("false")}
+    pick = lambda *names: cust.select("row_idx", *[text[n].alias(n) for n in names])
+    path = scratch_path(spark, "grown")
+    store.grow_table(spark, path, pick("key", "bal"), {"key": "integer", "bal": "float"})
+    store.grow_table(spark, path, pick("key", "seg"), {"key": "integer"})
+    return store.grow_table(spark, path, pick("KEY", "good"), {"KEY": "string", "good": "boolean"})
+
+
 @query(
     "g15_physical_types",
     """SELECT * FROM (VALUES ('o_orderkey', 'integer'), ('o_custkey', 'integer'), ('o_orderstatus', 'string'), ('o_totalprice', 'float'), ('o_orderdate', 'date'), ('o_orderpriority', 'string'))

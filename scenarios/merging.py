@@ -107,6 +107,40 @@ def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.history(history(spark, sf_dir))
 
 
+LOG_SQL = """
+log AS (SELECT o_orderkey AS import_id, 'file_' || o_custkey || '.csv' AS file_name, o_orderdate AS upload_date, o_custkey AS n, CASE
+  WHEN o_orderkey % 15 = 5 THEN 'COMPLETED' WHEN o_orderkey % 5 = 0 THEN 'FAILED' WHEN o_orderkey % 3 = 0 THEN 'PENDING' ELSE 'COMPLETED' END AS status FROM orders),
+line AS (SELECT import_id, file_name, upload_date, status, CASE WHEN status = 'COMPLETED' THEN n ELSE 0 END AS total_records, CASE WHEN status = 'FAILED' THEN 'no rows' END AS error_message FROM log)"""
+
+
+def ledger_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger as it is written: every import opened, some closed, some failed and closed again by a further attempt; the last lines first."""
+    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    failed, again = k % 5 == 0, k % 15 == 5
+
+    def lines(rows: DataFrame, seq: int, status: str) -> DataFrame:
+        total = F.col("o_custkey") if status == "COMPLETED" else F.lit(0)
+        return rows.select(k.alias("import_id"), F.concat(F.lit("file_"), F.col("o_custkey").cast("string"), F.lit(".csv")).alias("file_name"),
+                           F.col("o_orderdate").alias("upload_date"), F.lit(status).alias("status"), total.cast("long").alias("total_records"),
+                           F.lit("no rows" if status == "FAILED" else None).cast("string").alias("error_message"), F.lit(seq).cast("long").alias("seq"))
+
+    parts = lines(orders.where(again), 2, "COMPLETED").unionByName(lines(orders.where(failed), 1, "FAILED"))
+    return parts.unionByName(lines(orders.where(~failed & (k % 3 != 0)), 1, "COMPLETED")).unionByName(lines(orders, 0, "PENDING"))
+
+
+@query("l01_current_lines", f"""WITH {LOG_SQL} SELECT * FROM line""")
+def current_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: opened, closed and failed imports, one row each."""
+    return L.history(ledger_log(spark, sf_dir)).drop("seq")
+
+
+@query("l02_find_closed", f"""WITH {LOG_SQL} SELECT * FROM line WHERE import_id = (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 15 = 5)""")
+def find_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: an import that failed first and was closed by a further attempt."""
+    newest = table(spark, sf_dir, "orders").where("o_orderkey % 15 = 5").agg(F.max("o_orderkey")).first()[0]
+    return L.find_import(ledger_log(spark, sf_dir), newest).drop("seq")
+
+
 @query("l02_find_import", """SELECT o_orderkey AS import_id, 'file_' || o_custkey || '.csv' AS file_name, o_orderdate AS upload_date, o_orderstatus AS status
 FROM orders WHERE o_orderkey = (SELECT max(l_orderkey) FROM lineitem)""")
 def find(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,5 +220,5 @@ def import_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = load(staged, [FLOW], matching.plans, heads.select("source"), book, "i1", given, candidates=matching.candidates)
     shown = done.script.agg(F.sum(F.size(F.split("text", r"\n    -3,\n")) - 1).alias("script_rows"),
                             F.max(F.regexp_extract("text", r"^-- Excel Column: (.*)$", 1)).alias("unused"))
-    line = L.current(L.find_import(L.current(spark.read.parquet(book)), "i1"))
+    line = L.find_import(spark.read.parquet(book), "i1")
     return line.join(shown).select("import_id", "file_name", "status", "total_records", "successful_records", "failed_records", "duplicate_records", F.col("script_rows").cast("long").alias("script_rows"), "unused")

@@ -133,6 +133,52 @@ def test_upload_profiles_and_ledger(spark):
     ledger = spark.read.parquet(book)
     assert [r["file_name"] for r in L.history(ledger).collect()] == ["two.csv", "in.csv"]
     assert L.find_import(ledger, "i1").first()["status"] == "PENDING"
+    store.close_import(spark, book, "i1", None, "first attempt")
+    store.close_import(spark, book, "i1", spark.createDataFrame([(9, 8, 1, 0)], "total_records long, successful_records long, failed_records long, duplicate_records long"))
+    store.close_import(spark, book, "i2", None, "no rows")
+    ledger = spark.read.parquet(book)
+    assert [(r["import_id"], r["status"], r["error_message"], r["seq"]) for r in L.history(ledger).collect()] == [("i2", "FAILED", "no rows", 1), ("i1", "COMPLETED", None, 2)]
+    assert L.find_import(ledger, "i1").first()["total_records"] == 9 and ledger.count() == 5 and L.find_import(ledger, "i3").isEmpty()
+
+
+def test_a_stray_cell_far_away(spark):
+    """A gap of a thousand million rows is two rows of the grid; positions tell the rest."""
+    far = 10**9
+    cells = [("f", "S", r, c, f"{r} {c}") for r in (3, 4) for c in (0, 1)] + [("f", "S", far, 0, "stray"), ("f", "T", far, 1, "alone")]
+    grid = S.cell_grid(spark.createDataFrame(cells, "source string, sheet string, row_idx long, col_pos int, value string"))
+    assert sorted((r["sheet"], r["row_idx"]) for r in grid.collect()) == [*[("S", k) for k in (0, 2, 3, 4, 5, far - 1, far)], *[("T", k) for k in (0, far - 1, far)]]
+    found = G.blocks(G.segment(grid))
+    assert sorted((r["sheet"], r["block_start"], r["n_rows"]) for r in found.collect()) == [("S", 3, 2), ("T", 0, far + 1)]
+    assert {r["sheet"]: (r["rows"], r["is_empty"]) for r in S.inspect(grid).collect()} == {"S": (far, False), "T": (far, False)}
+
+
+def test_stored_table_grows_without_reading_its_rows(spark, tmp_path):
+    import shutil
+
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame([(i, *x) for i, x in enumerate(r)], "row_idx long, n string, s string")
+    store.grow_table(spark, path, rows(("1", "a"), ("x", "b")), {"n": "integer"})
+    shutil.rmtree(f"{path}/rows/__load=1")
+    got = store.grow_table(spark, path, rows(("7", "c")).withColumnRenamed("s", "more"), {"n": "string"})
+    assert got.columns == ["id", "n", "s", "more"] and [tuple(r) for r in got.collect()] == [(3, 7, None, "c")]
+    # A load that broke off before its line in the log doesn't count, and the next one takes its place.
+    got.limit(0).select("n").write.parquet(f"{path}/rows/__load=3")
+    spark.createDataFrame([(99,)], "n long").write.mode("append").parquet(f"{path}/rows/__load=3")
+    assert store.read_table(spark, path).count() == 1
+    assert [r["id"] for r in store.grow_table(spark, path, rows(("8", "d")), {}).orderBy("id").collect()] == [3, 4]
+    with pytest.raises(ValueError, match="primary key"):
+        store.grow_table(spark, path, rows(("1", "a")).withColumnRenamed("n", "ID"), {})
+    with pytest.raises(ValueError, match="no table"):
+        store.read_table(spark, str(tmp_path / "none"))
+    keyed = store.grow_table(spark, str(tmp_path / "k"), rows(("1", "a")).withColumnRenamed("n", "ID"), {"ID": "integer"}, ("ID",))
+    assert keyed.columns == ["ID", "s"] and keyed.first()["ID"] == 1
+
+
+def test_an_unclosed_quote_is_named_before_lines_are_gathered(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n"two\nlines",1\n3,"open\n' + "filler\n" * 50)
+    (tmp_path / "b.csv").write_text('x\n"closed"\n')
+    with pytest.raises(ValueError, match=r"begins in line 4 of .*a\.csv is never closed"):
+        S.csv_grid(spark, str(tmp_path))
 
 
 def test_cell_table_brings_blank_rows_back(spark):
