@@ -151,8 +151,8 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int, least: float) -> Da
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity; only texts that take part are read on."""
     used = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = used.join(sets.select("id", "row"), "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), "text").join(wanted, ["id", "row"])
+    wanted = used.join(sets.select("id", "doc_id", "row"), "id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").join(wanted, ["doc_id", "row"])
     texts = stage(texts.groupBy("id").agg(F.first("text").alias("text")), "texts")
     met = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a")
     met = met.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b").select("a", "b", "t_a", "t_b")
@@ -173,7 +173,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
 
 def _full_sets(ids: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """``id, set`` of the wanted texts, the set as ascending 64-bit hashes."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), "text").join(ids.join(sets.select("id", "row"), "id"), ["id", "row"])
+    wanted = ids.join(sets.select("id", "doc_id", "row"), "id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").join(wanted, ["doc_id", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +230,12 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``: the document's part of ``near_texts``."""
+    return near_texts(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_texts(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept, text_digest, first`` for every row of ``docs``.
 
     A text's set holds its distinct runs of ``width`` lower-cased words; a shorter text is one
     run, a text without words has no set and no link. Two texts are linked where their sets'
@@ -243,6 +249,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     3. In buckets that still hold several components, members of different components are
        compared by their full sets, so no link is lost to the choice of step 2.
 
+    An identifier with several texts has all their links, so they share its ``component_id``. Texts are judged one by
+    one by ``first``: of the texts that links alone connect, it marks the one of the smallest identifier (then digest).
+
     Null identifiers are linked with nothing and kept, with a null component. Repeated rows
     give repeated results. An empty table gives no rows. Only ``doc_id`` and ``text`` are read.
     """
@@ -250,38 +259,55 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
     least = percent / 100 - MARGIN
     sets = full.groupBy("n", "hi", "lo").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("regs").alias("regs"))
-    sets = stage(sets.select(F.col("first.doc_id").alias("id"), F.col("first.row").alias("row"), "n", "hi", "lo", "regs"), "sets")
-    # Different texts under one identifier stay one node: their links are the identifier's.
-    nodes = sets.groupBy("id").agg(F.min(F.struct("row", "n", "regs")).alias("s")).select("id", "s.*")
+    # A set is a node with a number of its own: identifiers may clash.
+    sets = sets.select(F.monotonically_increasing_id().alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), "n", "hi", "lo", "regs")
+    sets = stage(sets, "sets")
 
     bands = _bands(sets)
     heads = bands.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stage(bands.join(heads, "bucket"), "buckets")
     star = shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    likely = stage(_likely(star, nodes, percent, least), "likely")
+    likely = stage(_likely(star, sets, percent, least), "likely")
     best = likely.groupBy("b").agg(F.max(F.struct("j", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
-    links = stage(_verified(best, nodes, docs, width, percent), "links")
+    links = stage(_verified(best, sets, docs, width, percent), "links")
     found = components(links)
 
     own = found.select(F.col("id").alias("a"), F.col("component").alias("c_a")), found.select(F.col("id").alias("b"), F.col("component").alias("c_b"))
     rest = likely.join(own[0], "a", "left").join(own[1], "b", "left")
     rest = rest.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = stage(links.union(_verified(stage(rest, "rest"), nodes, docs, width, percent)), "links")
+    links = stage(links.union(_verified(stage(rest, "rest"), sets, docs, width, percent)), "links")
     found = components(links)
 
     # Pairs with a bucket's first member are settled; what is left are its other members among themselves.
     placed = shared.where("size > 2 AND id <> head").join(found, "id", "left")
-    placed = placed.join(nodes.select("id", "n"), "id").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    placed = placed.join(sets.select("id", "n"), "id").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     placed = stage(placed, "placed")
     several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"),
                                            F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("x <> y")
     # Buckets of the same members are compared once.
     several = several.groupBy("members", "size", "x", "y", "shingles").agg(F.min("bucket").alias("bucket")).select("bucket", "size", "shingles")
     met = stage(placed.join(several, "bucket"), "several")
-    full_sets = stage(_full_sets(met.select("id").distinct(), nodes, docs, width), "full-sets")
+    full_sets = stage(_full_sets(met.select("id").distinct(), sets, docs, width), "full-sets")
     links = stage(links.union(_across(met.join(full_sets, "id"), percent)), "links")
     found = components(links)
 
-    named = sets.select("n", "hi", "lo", "id").join(found, "id", "left").select("n", "hi", "lo", F.coalesce("component", "id").alias("c"))
-    out = rows.join(named, ["n", "hi", "lo"], "left").withColumn("component_id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("c")), "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    placed = sets.join(found, "id", "left").select("id", "doc_id", "row", "n", "hi", "lo", F.coalesce("component", "id").alias("c"))
+    placed = placed.withColumn("d", F.col("c"))
+    own = F.struct("n", "hi", "lo")
+    clash = full.groupBy("doc_id").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x <> y")
+    clash = stage(clash.select("doc_id"), "clashes")
+    if not clash.isEmpty():
+        held = full.join(clash, "doc_id").select("doc_id", "n", "hi", "lo").distinct().join(sets.select("n", "hi", "lo", "id"), ["n", "hi", "lo"])
+        held = stage(held.select("doc_id", "id"), "held")
+        more = held.join(held.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
+        wide = components(links.union(more)).withColumnRenamed("component", "w")
+        placed = placed.join(wide, "id", "left").withColumn("d", F.coalesce("w", "id")).drop("w")
+    placed = stage(placed, "placed")
+    texts = placed.groupBy("c").agg(F.min(F.struct("doc_id", "row")).alias("head"))
+    documents = placed.groupBy("d").agg(F.min("doc_id").alias("least"))
+    named = placed.join(texts, "c").join(documents, "d").select("n", "hi", "lo", "head", "least")
+    known = F.col("doc_id").isNotNull()
+    out = rows.join(named, ["n", "hi", "lo"], "left").withColumn("component_id", F.coalesce(F.when(known, F.col("least")), "doc_id"))
+    first = F.col("head").isNull() | ~known | (F.struct("doc_id", "row") == F.col("head"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+                      F.col("row").alias("text_digest"), first.alias("first"))

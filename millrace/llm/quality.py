@@ -78,7 +78,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """``doc_id, x``: the statistics of every row's whole text."""
+    """``doc_id, row, x``: the statistics of every row's whole text, and a digest of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,9 +86,9 @@ def features(docs: DataFrame) -> DataFrame:
                 x = statistics(part.column("text"))
                 flat = pa.array(x.ravel())
                 offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "row", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, x array<double>")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def fold(doc_id, parts: int):
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, shrink: float = 0.05) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``.
+    """``doc_id, held_out, score, predicted, text_digest`` for every row of ``docs``.
 
     Learns ``labels.quality`` from all labelled rows whose fold isn't 0; a document with
     contradicting labels counts under each. Null and empty texts have the statistics of no
@@ -164,7 +164,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
         for b in batches:
             x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             score = model.score(x) if model else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(score)], ["doc_id", "row", "score"])
 
-    scored = known.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = known.mapInArrow(run, "doc_id long, row long, score double")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("row").alias("text_digest"))

@@ -31,6 +31,8 @@ def plain(rows, width):
             both = len(sets[i] & sets[j])
             if both and rows[i][0] is not None and rows[j][0] is not None and 100 * both >= 80 * len(sets[i] | sets[j]):
                 label[root(i)] = root(j)
+            elif sets[i] and sets[j] and rows[i][0] is not None and rows[i][0] == rows[j][0]:
+                label[root(i)] = root(j)  # an identifier's texts are one document
     groups = {}
     for i, (d, _) in enumerate(rows):
         groups.setdefault(root(i), []).append(d)
@@ -66,6 +68,27 @@ def test_components_against_all_pairs(spark, width):
     assert got == plain(rows, width)
 
 
+def test_one_identifier_with_several_texts(spark):
+    """All links of an identifier's texts count, and each text is judged by its own links."""
+    rng = np.random.default_rng(12)
+    prose = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows, want = [], {}
+    for i in range(20):
+        base = prose(80)
+        near = [*base[:79], f"end{i}"]
+        other = " ".join(prose(60))
+        rows += [(i, " ".join(base)), (500 + i, " ".join(near)), (500 + i, other)]
+        want |= {(i, " ".join(base)): True, (500 + i, " ".join(near)): False, (500 + i, other): True}
+    twin = " ".join(prose(50))
+    rows += [(900, twin), (900, twin), (901, twin), (None, twin), (902, ""), (902, twin)]
+    want |= {(900, twin): True, (901, twin): False, (None, twin): True, (902, ""): True, (902, twin): False}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, neardup.near_duplicates(df, 5).collect()), key=str) == plain(rows, 5)
+    digest = {(r.doc_id, r.h): r.text for r in df.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
+    got = {(r.doc_id, digest[r.doc_id, r.text_digest]): r.first for r in neardup.near_texts(df, 5).collect()}
+    assert got == want
+
+
 def test_tiles_and_late_candidates(spark, monkeypatch):
     """With tiny tiles and bands that put almost everything into one bucket, the last step has to find the links."""
     monkeypatch.setattr(neardup, "TILE", 3)

@@ -109,6 +109,31 @@ def test_run_gives_the_same_rows(spark, staged, corpus):
     assert sorted(map(str, got)) == sorted(map(str, staged["mixing"][1]))
 
 
+def test_clashing_identifiers_lose_no_clean_text(spark, tmp_path):
+    """Every identifier has a clean text and a second one that a stage rejects: each stage drops just that one."""
+    rng = np.random.default_rng(3)
+    clean = {i: prose(rng, 90) for i in range(120)}
+    items = [(0, prose(rng, 30))]
+    junk = {i: " ".join(w + "***" for w in prose(rng, 80).upper().split()) for i in range(40)}
+    near = {i: clean[i - 40] + " tail" for i in range(40, 80)}
+    leak = {i: f"{prose(rng, 48)} {items[0][1]} {prose(rng, 48)}" for i in range(80, 120)}
+    rows = [(i, t, "en", "a", len(t)) for part in (clean, junk, near, leak) for i, t in part.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = [(1000 + i, int(i % 2), 0) for i in range(120)]
+    marked = [(1000 + i, prose(rng, 90) if i % 2 else " ".join(w + "***" for w in prose(rng, 80).upper().split()), "en", "b", 0) for i in range(120)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = docs.union(spark.createDataFrame(marked, docs.schema))
+    texts = lambda df: {(r.doc_id, r.text) for r in df.where("doc_id < 1000").collect()}
+    left = corpus_pipeline.keep_quality(spark, docs, str(tmp_path))
+    want = set(clean.items()) | set(near.items()) | set(leak.items())
+    assert texts(left) == want
+    left = corpus_pipeline.drop_near_duplicates(spark, left, str(tmp_path))
+    want -= set(near.items())
+    assert texts(left) == want
+    assert texts(corpus_pipeline.drop_contaminated(spark, left, str(tmp_path))) == set(clean.items())
+
+
 def test_registration():
     import __spark_entry__ as entry
 
