@@ -17,8 +17,11 @@ WIDTH = 5
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose identifier is in ``gone``; null identifiers stay."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows whose identifier and text are in ``gone`` (``doc_id, text_digest``)."""
+    digest = fresh(docs, "digest")
+    rows, gone = docs.withColumn(digest, F.xxhash64("text")), gone.select("doc_id", "text_digest").distinct()
+    same = rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows[digest] == gone["text_digest"])
+    return rows.join(gone, same, "left_anti").select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +31,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest identifier."""
-    found = neardup.near_duplicates(docs, width=WIDTH)
-    kept = _without(docs, found.where(~F.col("kept")))
-    # Repeated rows of one document are a group as well.
-    many = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    if many.isEmpty():
+    """One text of each group of near copies: the one with the smallest identifier. Texts are judged one by one, so
+    an identifier that stands on several loses only those that are copies."""
+    kept = _without(docs, neardup.near_texts(docs, width=WIDTH).where("NOT first"))
+    # Rows that repeat identifier and text are a group as well.
+    known, digest = F.col("doc_id").isNotNull(), fresh(docs, "digest")
+    rows = kept.withColumn(digest, F.xxhash64("text"))
+    if rows.where(known).groupBy("doc_id", digest).count().where("count > 1").isEmpty():
         return kept
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(kept.where(F.col("doc_id").isNull()))
+    return rows.where(known).dropDuplicates(["doc_id", digest]).union(rows.where(~known)).select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +49,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, neither verbatim nor reworded."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "text_digest").distinct()
-    digest = fresh(docs, "digest")
-    rows = docs.withColumn(digest, F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows[digest] == found["text_digest"])
-    return rows.join(found, same, "left_anti").select(docs.columns)
+    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
