@@ -32,13 +32,21 @@ _FRAME_NAME = re.compile(
     r"menu\w*|nav\w*|breadcrumbs?|pagination|pager|toc|sidebar\w*|side|aside|widget\w*|footer\w*|foot|header|masthead|topbar|toolbar|"
     r"share\w*|sharing|social\w*|follow|related\w*|recommend\w*|newsletter|subscribe\w*|signup|login|search\w*|form|"
     r"comments?|comment-\w+|commentlist|respond|reply|replies|discussion|disqus\w*|copyright|legal|skip|hidden|tags|metadata|byline)(?=$|[\s_-])", re.I)
+#: Names that say outright what the contract leaves out: menus, headers, footers, sidebars, notices, adverts, forms, comments. A class or
+#: an id counts as a whole, with usual additions; names that only hold such a word (``_FRAME_NAME``) are left to the tree.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_OUTRIGHT = re.compile(
+    r"(?:(?:site|page|main|top|global|post|entry|article|user|reader|left|right)[_-]?)?"
+    r"(?:ads?|adsense|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice\w*|popup|modal|menu\w*|nav\w*|breadcrumbs?|pagination|sidebar\w*|"
+    r"footer\w*|header|masthead|topbar|toolbar|share\w*|sharing|social\w*|newsletter|subscribe\w*|signup|login|comments?|commentlist|disqus\w*|copyright|form)"
+    r"(?:[_-]?(?:container|wrapper|wrap|box|block|bar|list|section|area|links?|buttons?|banner|notice|top|bottom|left|right|inner|form|menu|nav|widget|item|body|text|author|meta|\d+))*", re.I)
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|body|entry\w*|post|post-body|post-content|story\w*|text)(?=$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _NAME = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _FRAME_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
-FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "frame", "outside", "inside", "heading")
+FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "frame", "named", "outside", "inside", "heading")
 
 
 @dataclass
@@ -48,6 +56,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     frame: bool = False
+    named: bool = False
     inside: bool = False
     heading: bool = False
 
@@ -63,7 +72,7 @@ def blocks(page: str | None) -> list[Block]:
     """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, frame, inside, silent
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, frame, named, inside, silent
     current: Block | None = None
     links = 0
 
@@ -75,11 +84,11 @@ def blocks(page: str | None) -> list[Block]:
 
     def say(raw: str) -> None:
         nonlocal current
-        if not raw or (stack and stack[-1][3]):
+        if not raw or (stack and stack[-1][4]):
             return
         if current is None:
-            frame, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            current = Block(frame=frame, inside=inside, heading=any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in stack[-3:]))
+            frame, named, inside = stack[-1][1:4] if stack else (False, False, False)
+            current = Block(frame=frame, named=named, inside=inside, heading=any(t[0] in _HEADINGS for t in stack[-3:]))
         text = html.unescape(raw) if "&" in raw else raw
         current.parts.append(text)
         if links:
@@ -126,14 +135,19 @@ def blocks(page: str | None) -> list[Block]:
             pop_implied(IMPLIED_END.get(tag, ("p",)))
         if tag in VOID_TAGS or m[3].rstrip().endswith("/") and tag not in BLOCK_TAGS and tag != "a":
             continue
-        frame, inside, silent = stack[-1][1:] if stack else (False, False, False)
-        names = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])}
-        named = f"{names.get('class', '')} {names.get('id', '')}"
-        main = tag in ("article", "main") or names.get("role", "").lower() in ("main", "article")
-        frame = frame or (tag in FRAME_TAGS and not (tag == "header" and inside)) or names.get("role", "").lower() in _FRAME_ROLE
-        own = _FRAME_NAME.search(named) if not main and tag not in ("html", "body") else None
-        frame = frame or (own is not None and not (inside and own[0].strip(" _-").lower() == "header"))
-        inside = inside or main or bool(_MAIN_NAME.search(named) and tag not in ("html", "body"))
+        frame, named, inside, silent = stack[-1][1:] if stack else (False, False, False, False)
+        # Only a block element says what its text is for; a link's class or a heading's id doesn't.
+        if tag in BLOCK_TAGS and tag not in _HEADINGS:
+            names = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(m[3])}
+            own = [*names.get("class", "").split(), *names.get("id", "").split()] if tag not in ("html", "body") else []
+            role = names.get("role", "").lower()
+            main = tag in ("article", "main") or role in ("main", "article")
+            if not main:
+                if inside:
+                    own = [n for n in own if not n.lower().endswith("header")]
+                frame = frame or (tag in FRAME_TAGS and not (tag == "header" and inside)) or role in _FRAME_ROLE or any(map(_OUTRIGHT.fullmatch, own))
+                named = named or any(map(_FRAME_NAME.search, own))
+            inside = inside or main or any(map(_MAIN_NAME.search, own))
         silent = silent or tag in SILENT_TAGS or any(k.lower() == "hidden" for k in _NAME.findall(m[3]))
         if tag in RAW_TAGS:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
@@ -141,7 +155,7 @@ def blocks(page: str | None) -> list[Block]:
             if tag in BLOCK_TAGS:
                 flush()
             continue
-        stack.append((tag, frame, inside, silent))
+        stack.append((tag, frame, named, inside, silent))
         links += tag == "a"
     flush()
     return out
@@ -155,7 +169,7 @@ def describe(found: list[Block]) -> np.ndarray:
     density = np.minimum(linked / np.maximum(words, 1), 1)
     side = lambda x, k: np.concatenate([[0.0], x[:-1]]) if k < 0 else np.concatenate([x[1:], [0.0]])
     marked = any(b.inside for b in found)
-    flags = np.array([(b.frame, marked and not b.inside, b.inside, b.heading) for b in found], float).reshape(n, 4)
+    flags = np.array([(b.frame, b.named and not b.frame, marked and not b.inside, b.inside, b.heading) for b in found], float).reshape(n, 5)
     if not n:
         return np.zeros((0, len(FEATURES)))
     return np.column_stack([words, density, side(words, -1), side(density, -1), side(words, 1), side(density, 1), flags])
@@ -191,6 +205,39 @@ LABELLED = (
     '<body><div class="nav-top"><a>-A</a></div><div>+Dear readers, this letter comes late because the press was broken for a week.</div><div>+It is mended now.</div><div class="foot">-Page four</div>',
     '<body><article><h1>+Wool</h1><p>+A good fleece weighs three kilos.</p><dl><dt>+Staple</dt><dd>+The length of the fibre.</dd></dl></article><div>-Sheep, goats and more every month in your letter box.</div>'
     '<div class="banner">-Wool sale!</div>',
+    # Names that only hold a word of the frame: sections of the story, and small parts around it.
+    '<body><article><h1>+Wells</h1><p>+A well is dug by hand until water stands in it, and it is lined with stone from the bottom up.</p><section id="discussion"><h2 id="related-work">+Earlier wells</h2>'
+    '<p>+The oldest well of the district is said to be nine hundred years old, though nobody has found a stone that proves it.</p><p>+It never failed.</p><p>+Three others were filled in when the pipe came from the hills, and their places are forgotten.</p></section>'
+    '<section class="search-methods"><p>+We walked every lane with the old map in hand and asked at each door whether anybody remembered a well.</p><p>+Many did, and the list grew to forty names before the end of the week.</p></section></article>'
+    '<div class="reply-to">-Answer</div><div class="tag-cloud">-Water, stone</div>',
+    '<body><article><h1>+Bread</h1><p>+Good bread needs flour, water, salt and most of all the time of a whole night.</p><p>+Bake it hot and let it cool on a rack before you cut the first slice.</p>'
+    '<div class="related-posts">-<a>On flour</a></div><div class="follow-us">-Follow the baker</div><div class="legal-line">-No liability</div><div class="tags-line">-Bread, ovens</div></article>',
+    '<body><article><div class="side-story"><p>+A second story ran beside the first one for years, and in the end it was the better of the two by far.</p><p>+It was told by the miller, who had seen the flood from his own roof and never spoke of it before.</p></div>'
+    '<p>+So it ends.</p><div class="toc-line">-Contents</div><div class="skip-line">-Up</div></article>',
+    # Short lines of a marked story stay, whatever stands beside them.
+    "<body><nav><a>-Home</a></nav><article><h1>+Tin</h1><p>+One.</p><p>+Two words.</p><p>+Here are three.</p><p>+Now four stand here.</p><ul><li>+Ore</li><li>+Slag</li><li>+Ash</li></ul>"
+    "<p>+Tin was dug on this hill long before anybody wrote down who owned it, and the pits are still there.</p><p>+Six.</p><p>+Seven lines.</p></article><footer>-Hill works</footer>",
+    "<body><header>-Dale News</header><main><p>+Rain.</p><h2>+Wind</h2><p>+Hail.</p><table><tr><td>+May<td>+9<tr><td>+June<td>+4</table><p>+The year was wet, and the hay was late in every field of the lower dale.</p>"
+    '<p>+Snow.</p><ol><li>+First</li><li>+Second one</li></ol><p>+<a>+Fog</a></p></main><div class="ad">-Buy boots now at the shop by the bridge, and get a second pair of laces for nothing.</div>'
+    "<aside>-Also</aside>",
+    '<body><div class="ad">-Salt.</div><article><h1>+Ice</h1><p>+Thaw.</p></article><footer>-End</footer>',
+    '<body><nav><ul><li><a>-One</a><li><a>-Two</a></ul></nav><div class="ad">-Coal and wood, delivered free of charge to any house in the town.</div><article><h1>+Coal</h1><p>+Dust.</p><p>+Smoke.</p><p>+Soot.</p></article><footer>-Fin</footer>',
+    # Stories that end the page.
+    "<article><p>+Only one line.</p></article>", "<article><h1>+Moss</h1><p>+Moss grows on the north side of most walls in this town, whatever the weather does.</p></article>",
+    "<main><p>+Fern and heather cover the whole slope above the church, down to the stream.</p><ul><li>+Fern</li><li>+Heather</li></ul></main>", "<article><p>+Gorse.</p><p>+<a>+Broom</a></p></article>",
+    "<article><table><tr><td>+Rye<td>+7</table></article>", "<nav>-Up</nav><article><p>+Peat burns slowly, and its smoke can be smelled a mile away on still days.</p></article>",
+    # Parts of the frame on pages without a marked story, however long they are.
+    "<body><nav><a>-Towns</a> <a>of the coast and of the lower river, with all harbours</a></nav><p>+The harbour was built by monks, who needed stone from the other side of the bay.</p><p>+It silted up.</p>"
+    "<p>+Today a dredger comes twice a year, and three boats still land their catch on the old quay.</p><footer>-All rights to these pages are with the harbour office, which may be reached in the morning.</footer>",
+    '<body><div class="ad">-Sail with us to the islands this summer and pay for one child only, with meals on board.</div><p>+The lighthouse has a keeper again, after twenty years in which nobody lived on the rock.</p>'
+    '<p>+She likes it.</p><p>+Her lamp is lit by a switch on land, but she cleans the glass by hand every Friday.</p><div id="comments"><p>-I was there last year and the keeper let us climb up to the lamp, it was great.</p><p>-Nice.</p></div>',
+    "<body><p><a>-Ports and harbours of the north coast</a> <a>Ferries and their times</a> <a>Weather for the next nine days</a></p><p>+No ferry ran on Sunday, since the wind had torn the roof off the ticket office.</p><p>+Calm.</p>"
+    "<p>+By Tuesday a tent stood in its place, and the first boat left with forty people on board.</p><div><a>-Read on: what the ferry company says about the roof</a></div><div><a>-All reports on the weather of this and the last winter</a></div>",
+    # No mark and no name at all: short lines among short lines surround the story.
+    "<body><div>-Hill Post</div><div>-Monday edition</div><div>-Two pence</div><p>+The old bridge was closed on Sunday after a crack had been found in its second arch by a passing fisherman.</p><p>+It held.</p>"
+    "<p>+Engineers will look at every stone before the winter floods, and until then the ferry runs twice in an hour.</p><div>-Page four</div><div>-Set by hand</div><div>-Hill Press</div>",
+    "<body><div>-Letters</div><div>-Third column</div><p>+Sir, I read with some surprise that the town has no money for a new pump, though it found enough for a clock.</p><p>+Who decides?</p>"
+    "<p>+I should like an answer in your pages before the next meeting of the council, if that can be had.</p><div>-Price as marked</div><div>-Sold at inns</div>",
 )
 
 
@@ -229,7 +276,7 @@ class Tree:
             at[go] = np.where(low, self.left[node], self.right[node])
 
 
-def train(table: pd.DataFrame, depth: int = 6) -> Tree:
+def train(table: pd.DataFrame, depth: int = 12) -> Tree:
     """A binary decision tree over the labelled table, by Gini impurity, until leaves are pure."""
     x, y = table[list(FEATURES)].to_numpy(float), table["label"].to_numpy(float)
     nodes: list[list[float]] = []

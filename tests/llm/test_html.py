@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from millrace.llm import html
@@ -32,6 +34,37 @@ def test_tree_fits_its_table():
     assert (TREE.predict(table[list(html.FEATURES)].to_numpy(float)) == (table["label"] > 0)).all()
 
 
+def test_tree_uses_words_and_both_neighbours():
+    """The method's features decide: own word count, and a feature of the block before and of the one behind."""
+    used = {html.FEATURES[f] for f in TREE.feature if f >= 0}
+    assert "words" in used, used
+    assert used & {"before_words", "before_links"} and used & {"after_words", "after_links"}, used
+    table = html.labelled_table()
+    assert table.loc[table["named"] > 0, "label"].nunique() == 2
+
+
+LONG = "The water came back to the valley after eleven years, and people walked out of three villages to see it."
+
+
+@pytest.mark.parametrize("page", [
+    f'<article><p>{LONG}</p><p><a class="nav-link">Paris</a> is the capital of the old country and its largest town by far.</p><p>{LONG}</p></article>',
+    f'<article><h1>Wells</h1><section id="discussion"><p>{LONG}</p><p>{LONG}</p></section></article>',
+    f'<article><section id="search-methods"><p>{LONG}</p><p>{LONG}</p></section><p>{LONG}</p></article>',
+    f'<article><p>{LONG}</p><h2 id="related-work">Related work</h2><p>{LONG}</p></article>',
+    f'<article><p>{LONG}</p><div class="side-effects"><p>{LONG}</p></div><h3 class="menu-title">Side effects</h3><p>{LONG}</p></article>',
+])
+def test_names_inside_the_story_drop_nothing(page):
+    plain = [" ".join(re.sub("<[^>]*>", " ", p).split()) for p in re.split("</p>|</h[123]>", page)]
+    assert html.main_text(page, TREE) == "\n\n".join(filter(None, plain))
+
+
+@pytest.mark.parametrize("part", ['<div class="ad">', '<div class="top-banner">', '<section id="comments">', '<div class="user-comments">', '<ul class="nav-menu"><li>', '<div class="site-footer">',
+                                  '<div id="cookie-notice">', '<aside>', '<nav>', '<form>', '<div role="navigation">', '<div class="sidebar-left">', '<div class="newsletter-form">'])
+def test_named_parts_go_however_long(part):
+    page = f"<article><p>{LONG}</p>{part}{LONG} {LONG}</{re.match('<([a-z]+)', part)[1]}><p>{LONG}</p></article>"
+    assert html.main_text(page, TREE) == f"{LONG}\n\n{LONG}"
+
+
 def test_tree_generalises_to_left_out_pages(monkeypatch):
     right = total = 0
     pages = html.LABELLED
