@@ -22,8 +22,9 @@ WINDOW, STRIDE = 64, 32
 RANK, EXTRA = 256, 16
 #: Terms that stand in more than this share of passages carry no weight, unless an item has few rarer ones.
 MAX_SHARE, LEAST_TERMS = 0.005, 12
-#: Rows of a partial sum that travel as one record.
-CHUNK = 256
+#: Rows of a partial sum that travel as one record, and the groups of tasks whose records are added first: at a million
+#: tasks and 272 columns neither of the two steps holds more than 150 MB of records in one group.
+CHUNK, GROUPS = 64, 1024
 SCHEMA = "doc_id long, text_digest long, item_id long, cosine double, lcs_share double, answer_share double, start_word int, stop_word int"
 
 #: Fixed value: what is stripped from both ends of a word.
@@ -161,8 +162,8 @@ def _gather(of: np.ndarray, term: np.ndarray, value: np.ndarray, y: np.ndarray,
 def _total(coded: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
     """The sum over all tasks of an array of ``shape``, to which ``add(sum, codes, lengths)`` adds a batch.
 
-    A task sends one record per ``CHUNK`` rows of its sum; records of a chunk are added in the
-    order of tasks, so that reruns agree. The array's size is set by the benchmark block alone.
+    A task sends one record per ``CHUNK`` rows of its sum; records of a chunk are added in two steps, first within
+    groups of tasks, each in the order of tasks, so that reruns agree. The array's size is set by the benchmark block alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,19 +174,24 @@ def _total(coded: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray,
                 add(total, *_texts(part))
         if some:
             task = TaskContext.get().partitionId()
-            blobs = [total[i:i + CHUNK].astype(np.float32).tobytes() for i in range(0, len(total), CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array([task] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "task", "v"])
+            blobs = [total[i:i + CHUNK].tobytes() for i in range(0, len(total), CHUNK)]
+            cols = [range(len(blobs)), [task % GROUPS] * len(blobs), [task] * len(blobs), blobs]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["chunk", "part", "task", "v"])
 
     def fold(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("task").to_numpy(), kind="stable")
-        blobs = table.column("v").to_pylist()
-        total = np.zeros(len(blobs[0]) // 4, np.float64)
+        blobs = table.column("v")
+        total = np.zeros(len(blobs[0].as_py()) // 8, np.float64)
         for i in order:
-            total += np.frombuffer(blobs[i], np.float32)
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
-
-    parts = coded.select("codes").mapInArrow(run, "chunk int, task int, v binary")
-    rows = parts.groupBy("chunk").applyInArrow(fold, "chunk int, v binary").collect()
+            total += np.frombuffer(blobs[int(i)].as_buffer(), np.float64)
+        part = table.column("part").slice(0, 1)
+        # In the second step a group of tasks stands for its tasks.
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "part": part, "task": part, "v": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "chunk int, part int, task int, v binary"
+    parts = coded.select("codes").mapInArrow(run, schema).groupBy("chunk", "part").applyInArrow(fold, schema)
+    rows = parts.groupBy("chunk").applyInArrow(fold, schema).collect()
     flat = b"".join(r["v"] for r in sorted(rows, key=lambda r: r["chunk"]))
     return np.frombuffer(flat, np.float64).reshape(shape) if flat else np.zeros(shape)
 
