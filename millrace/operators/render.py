@@ -194,8 +194,8 @@ def script(
     frame, parts = _lines(head, 0, 0, 0), []
     for pos, name in enumerate(result.valid_tables):
         check = result.checks[name.lower()]
-        # Read by the identity test, the count and the statements.
-        valid, table = stage(check.valid, f"valid-{check.table.key}"), check.table
+        # Written once by the validation; read by the identity test, the count and the statements.
+        valid, table = check.valid, check.table
         columns = inserted_columns(valid, table, fill)
         if not columns:
             continue

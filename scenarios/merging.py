@@ -13,6 +13,7 @@ from millrace.session import scratch_path, stage
 from millrace.target import Column, Table
 from scenarios.base import positioned, query, table
 from scenarios.catalogs import BY
+from scenarios.grids import GRID_SQL
 from scenarios.matching import ANSWERS_SQL, SCORED_SQL, final_plans, line_sources
 from scenarios.validation import SHEET_SQL, sales, sales_sheet
 
@@ -178,7 +179,14 @@ def ledger_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.counters(sales(spark, sf_dir), "sales")
 
 
-@query("l05_preview")
+@query(
+    "l05_preview",
+    f"""WITH {GRID_SQL}, r AS (SELECT sheet, table_name, row_idx, count(v) AS f FROM cells GROUP BY 1, 2, 3),
+seen AS (SELECT sheet, count(*) - 1 AS sheet_rows, 4 AS sheet_columns FROM grid GROUP BY 1)
+SELECT r.sheet, table_name, count(*) AS row_count, (SELECT count(*) FROM cols c WHERE c.sheet = r.sheet AND c.table_name = r.table_name) AS column_count,
+  any_value(sheet_rows) AS sheet_rows, any_value(sheet_columns) AS sheet_columns, least(count(*), 20) AS samples
+FROM r JOIN seen USING (sheet) WHERE f > 0 GROUP BY 1, 2""",
+)
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.operators import grid as G
     from scenarios.grids import event_sheets

@@ -155,9 +155,37 @@ def text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("column", "n_values", "min_length", "max_length", "n_distinct")
 
 
-@query("p12_profile_orders")
+ORDER_VALUES_SQL = "o AS (SELECT row_number() OVER () AS row_idx, * FROM orders), vals AS (" + " UNION ALL ".join(
+    f"""SELECT row_idx, 0 AS import_id, '{c}' AS "column", CAST({c} AS VARCHAR) AS value FROM o"""
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")) + ")"
+
+
+@query(
+    "p12_profile_orders",
+    f"""WITH {ORDER_VALUES_SQL}, {CLEAN_SQL}, {PROFILE_SQL}
+SELECT folded.* EXCLUDE (import_id), CASE WHEN n_values > 0 THEN {round2_sql('n_distinct / n_values')} ELSE 0.0 END AS uniqueness_ratio,
+  CASE WHEN is_boolean THEN 'boolean' WHEN is_datetime THEN 'datetime' WHEN is_date THEN 'date' WHEN is_email_like THEN 'email-like'
+    WHEN is_phone_like THEN 'phone-like' WHEN is_numeric_string THEN 'numeric-string' WHEN is_integer THEN 'integer'
+    WHEN is_decimal THEN 'decimal' ELSE 'string' END AS inferred_type, coalesce(samples, '') AS samples
+FROM folded LEFT JOIN samples USING (import_id, "column")""",
+)
 def profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = positioned(spark, sf_dir, "orders")
     cols = [c for c in orders.columns if c != "row_idx"]
-    return profile(unpivot(orders, cols))
+    found = profile(unpivot(orders, cols))
+    return found.withColumn("samples", F.array_join("sample_values", "|")).drop("sample_values")
+
+
+@query(
+    "p13_long_samples",
+    """WITH d AS (SELECT row_number() OVER () AS row_idx, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS v, lang FROM documents),
+firsts AS (SELECT lang, v, min(row_idx) AS first_row FROM d WHERE v <> '' AND lower(v) NOT IN ('null', 'nan') GROUP BY 1, 2),
+tops AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY first_row) AS rk FROM firsts)
+SELECT lang, string_agg(md5(v), '|' ORDER BY rk) AS samples FROM tops WHERE rk <= 4 GROUP BY 1""",
+)
+def long_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as values of one column per language; only the samples' texts are fetched."""
+    docs = positioned(spark, sf_dir, "documents", ["lang", "text"])
+    found = profile(unpivot(docs, ["text"], ["lang"]), ["lang"])
+    return found.select("lang", F.array_join(F.transform("sample_values", lambda v: F.md5(v.cast("binary"))), "|").alias("samples"))
 
