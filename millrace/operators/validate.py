@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +56,8 @@ class TableCheck:
     conflicts: Facts | None
     orphans: dict[int, Facts]
     self_facts: dict[int, tuple[Facts, int | None]] = field(default_factory=dict)
-    accepted: Facts | None = None  # the valid tuples, written once the rules are settled
+    judged: DataFrame | None = None  # the tuples with all facts, written once the rules are settled
+    accepted: Facts | None = None  # the valid ones among them (self references are settled by row, so there they are written apart)
 
     @property
     def mapped(self) -> list[str]:
@@ -123,6 +124,18 @@ class TableCheck:
         """Accepted distinct tuples with the row they were first seen in."""
         return self._valid() if self.accepted is None else self.accepted.df
 
+    def settle(self) -> None:
+        """Write the verdicts: one table of tuples with their facts serves the valid ones, their number and the counters."""
+        if self.self_facts:
+            self.accepted = stage_facts(self._valid(), f"valid-{self.table.key}")
+            return
+        seen = Observation()
+        found = self._with_facts(self.tuples)
+        found = found.observe(seen, F.count_if(~self._failed()).alias("n"))
+        self.judged = stage(found, f"judged-{self.table.key}")
+        valid = self.judged.where(~self._failed()).select(ROW, *self.mapped)
+        self.accepted = Facts(valid, seen.get["n"], 1 << 62)  # of unknown width: never sent to every task
+
     def _valid(self) -> DataFrame:
         if self.self_facts:
             rows = self._with_facts(self.source).where(~self._failed())
@@ -231,7 +244,10 @@ class TableCheck:
         conflict = F.col("variants").isNotNull()
         nulls = _count_true([t for _, t in self._null_failures()])
         fks = _count_true([t for *_, t in self._fk_failures()])
-        base = self.flagged.withColumn("copies", F.lit(1).cast("long")) if self.self_facts else self._with_facts(self.tuples)
+        if self.self_facts:
+            base = self.flagged.withColumn("copies", F.lit(1).cast("long"))
+        else:
+            base = self._with_facts(self.tuples) if self.judged is None else self.judged
         n_conflicts = 0 if self.conflicts is None else self.conflicts.rows
         aggs = [
             F.coalesce(F.sum("copies"), F.lit(0)).alias("source_rows"),
@@ -438,7 +454,7 @@ def validate(
             check.self_facts = accept_in_order(clean.select(*links), own)
 
         checks[table.key] = check
-        check.accepted = stage_facts(check.valid, f"valid-{table.key}")
+        check.settle()
         if not check.accepted.rows:  # V12
             invalid[table.name] = "No valid rows remaining after validation."
         else:

@@ -163,6 +163,21 @@ def date_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", date_literal(raw).alias("date_text"), boolean_literal(flag).alias("flag_text"))
 
 
+@query(
+    "o07_date_layouts",
+    """WITH m AS (SELECT event_id, event_id % 8 AS k, ts, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%H:%M:%S') AS s, strftime(ts, '%H:%M') || ':00' AS m FROM events),
+c AS (SELECT event_id, CASE WHEN k = 5 AND day(ts) <= 12 THEN strftime(ts, '%Y-%d-%m') ELSE d END AS d, CASE WHEN k IN (0, 3) THEN m WHEN k IN (1, 4, 7) THEN s ELSE '00:00:00' END AS clock FROM m)
+SELECT event_id, '''' || d || CASE WHEN clock = '00:00:00' THEN '' ELSE ' ' || clock END || '''' AS date_text FROM c""",
+)
+def date_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes alone, an offset, month and day names, halves of the day, day or month first, dots."""
+    layouts = ("yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "d MMMM yyyy", "MMM d, yyyy h:mm a", "EEEE, d MMM yyyy HH:mm:ss", "dd-MM-yyyy", "yyyy.MM.dd", "MM/dd/yyyy hh:mm:ss a")
+    raw = F
+    for k, layout in enumerate(layouts):
+        raw = raw.when(F.col("event_id") % 8 == k, F.date_format("ts", layout))
+    return table(spark, sf_dir, "events").select("event_id", date_literal(raw).alias("date_text"))
+
+
 @query("t01_positions", """SELECT row_number() OVER () AS row_idx, l_orderkey, l_linenumber, l_partkey FROM lineitem""")
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positioned(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"])
