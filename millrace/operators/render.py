@@ -12,14 +12,14 @@ from functools import reduce
 
 from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.literals import filled_literal, literal, quote_identifier
 from millrace.functions.text import is_empty
+from millrace.operators.lookup import lookup
 from millrace.operators.prefix import number, number_by_order
 from millrace.operators.validate import ROW, Validation
-from millrace.session import stage
+from millrace.session import stage, stage_facts
 from millrace.target import Column, Fill, Table
 
 BATCH_ROWS = 1000
@@ -261,6 +261,17 @@ def rejection_report(result: Validation) -> DataFrame:
     )
 
 
+def ambiguous_lines(candidates: DataFrame) -> DataFrame:
+    """``item, text``: the candidates by source column and falling score, a source's first line led by its name."""
+    listed = candidates.select("source", "table", "column", "score", (-F.col("score")).alias("down"))
+    listed = number_by_order(listed, ["source", "down", "table", "column"], "item")
+    heads = stage_facts(listed.groupBy("source").agg(F.min("item").alias("first"), F.count(F.lit(1)).alias("n")), "heads")
+    listed = lookup(listed, heads.renamed("source", "s"), [(F.col("source"), "s")], ["first"], "n", F.col("item"))
+    title = F.when(F.col("item") == F.col("first"), F.concat(F.lit("--   Excel Column: "), F.col("source"), F.lit("\n"))).otherwise(F.lit(""))
+    text = F.concat(title, F.lit("--     Candidate: "), F.col("table"), F.lit("."), F.col("column"), F.lit(" (Confidence: "), F.col("score").cast("string"), F.lit(")"))
+    return listed.select(F.col("item").cast("long").alias("item"), text.alias("text"))
+
+
 def _report(
     result: Validation, fill: Fill, unmapped: Sequence[str], candidates: DataFrame | None
 ) -> tuple[list[Line], list[DataFrame]]:
@@ -309,16 +320,6 @@ def _report(
     frame += _lines(tail, 5, 0, 0)
     if candidates is not None:
         frame += _lines(["-- AMBIGUOUS MAPPINGS REQUIRING CONFIRMATION:"], 6, 0, 0)
-        listed = candidates.select("source", "table", "column", "score", (-F.col("score")).alias("down"))
-        listed = number_by_order(listed, ["source", "down", "table", "column"], "item")
-        rank = F.row_number().over(W.partitionBy("source").orderBy("item"))
-        title = F.when(rank == 1, F.concat(F.lit("--   Excel Column: "), F.col("source"), F.lit("\n")))
-        text = F.concat(
-            F.coalesce(title, F.lit("")),
-            F.lit("--     Candidate: "), F.col("table"), F.lit("."), F.col("column"),
-            F.lit(" (Confidence: "), F.col("score").cast("string"), F.lit(")"),
-        )
         place = [F.lit(v).cast("long").alias(n) for v, n in ((6, "section"), (0, "table_pos"), (1, "part"))]
-        listed = listed.select(*place, F.col("item").cast("long").alias("item"), text.alias("text"))
-        parts.append(listed)
+        parts.append(ambiguous_lines(candidates).select(*place, "item", "text"))
     return frame, parts

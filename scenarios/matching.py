@@ -264,6 +264,20 @@ def auto_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_plans(spark, sf_dir).select("import_id", "column", "source", "action", "confidence", top.alias("top"))
 
 
+@query(
+    "o16_ambiguous_lines",
+    f"""WITH {SCORED_SQL}, listed AS (SELECT *, 'T' || import_id AS t FROM cand),
+placed AS (SELECT *, row_number() OVER (ORDER BY source, score DESC, t, "column") AS item, row_number() OVER (PARTITION BY source ORDER BY score DESC, t, "column") AS nth FROM listed)
+SELECT item, CASE WHEN nth = 1 THEN '--   Excel Column: ' || source || chr(10) ELSE '' END || '--     Candidate: ' || t || '.' || "column" || ' (Confidence: ' || score || ')' AS text FROM placed""",
+)
+def ambiguous_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a candidate; one list over all imports."""
+    from millrace.operators.render import ambiguous_lines as lines
+
+    _, found = line_candidates(spark, sf_dir)
+    return lines(found.select("source", F.concat(F.lit("T"), F.col("import_id").cast("string")).alias("table"), "column", "score"))
+
+
 @query("m14_review_queue", f"""WITH {SCORED_SQL} SELECT import_id, "column", top AS candidates FROM planned WHERE action = 'PENDING_LLM'""")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.array_join(F.transform("candidates", lambda c: c["source"]), ",")
