@@ -22,6 +22,9 @@ from scenarios.profiling import CLEAN_SQL, PROFILE_SQL, VALUES_SQL, part_values
 # Fixed values of the scenario: headers of the first five columns of a table.
 HEADERS = {0: "record id", 1: "column 1", 2: "Email", 3: "created date", 4: "Active Flag"}
 
+#: Fixed values of the scenario: value patterns given to headers in turn.
+PART_TYPES = ("email-like", "phone-like", "datetime", "boolean", "string")
+
 HEADERS_SQL = f"""
 heads AS (
   SELECT p_partkey, p_partkey // 40 AS import_id,
@@ -156,6 +159,26 @@ def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.select("p_partkey", "source", M.jaccard(F.col("t_words"), F.col("s_words")).alias("jaccard"))
 
 
+@query(
+    "m09_score_parts",
+    f"""WITH {PARTS_SQL}, {HEADERS_SQL}, {NAMES_SQL},
+j AS (SELECT t.p_partkey, s.source, tw, sw, {_case('src_pos % 5', dict(enumerate(PART_TYPES)))} END AS kind FROM t JOIN s USING (import_id)),
+p AS (SELECT p_partkey, source, len(list_filter(tw, lambda x: len(list_filter(sw, lambda y: x = y OR (length(x) >= 4 AND length(y) >= 4 AND (contains(x, y) OR contains(y, x))))) > 0)) > 0 AS shared,
+  CASE WHEN kind = 'email-like' AND len(list_filter(tw, lambda w: contains(w, 'mail'))) > 0 THEN 0.20
+    WHEN kind = 'phone-like' AND list_has_any(tw, {list(M.PHONE_WORDS)}) THEN 0.20 WHEN kind = 'datetime' AND list_has_any(tw, {list(M.DATE_WORDS)}) THEN 0.15
+    WHEN kind = 'boolean' AND list_has_any(tw, {list(M.FLAG_WORDS)}) THEN 0.15 ELSE 0.0 END::DOUBLE AS bonus FROM j)
+SELECT * FROM p WHERE shared OR bonus > 0""",
+)
+def score_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What words and value patterns add to the sequence ratio, over every pair of an import."""
+    kind = F.element_at(F.array(*map(F.lit, PART_TYPES)), (F.col("src_pos") % 5 + 1).cast("int"))
+    tgt = M.prepare_targets(columns(spark, sf_dir)).select("import_id", "p_partkey", "t_words")
+    heads = headers(spark, sf_dir).groupBy("import_id", F.col("header").alias("source")).agg(F.min("p_partkey").alias("src_pos"))
+    src = heads.select("import_id", "source", kind.alias("inferred_type"), F.array_distinct(name_tokens(F.col("source"))).alias("s_words"))
+    found = tgt.join(src, "import_id").select("p_partkey", "source", M.shares_word(F.col("t_words"), F.col("s_words")).alias("shared"), M.pattern_bonus().alias("bonus"))
+    return found.where("shared OR bonus > 0")
+
+
 @query("m08_candidates")
 def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3-M12 end to end with the sequence ratio; no SQL counterpart of that ratio exists."""
