@@ -7,13 +7,15 @@ Names compare in lower case throughout.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.kinds import category
 from millrace.operators.lookup import lookup
-from millrace.operators.prefix import number_by_order
+from millrace.operators.prefix import number
 from millrace.session import stage
 
 
@@ -125,15 +127,23 @@ def plain_table(c: Column) -> Column:
     return F.lower(F.btrim(F.element_at(F.split(c, r"\."), -1), F.lit("[]`\"")))
 
 
+#: Bits of a table's place in its schema inside the sort key of a level.
+_PLACE_BITS = 24
+
+
 def load_order(tables: DataFrame, fks: DataFrame, by: Sequence[str]) -> DataFrame:
     """``by, table, level, position``; parents first, cyclic remainder last.
 
     ``tables`` holds ``by, table, table_pos``. A table follows its last-placed
     parent, ties keep schema order. Round n places level n; each round touches only
-    edges out of the tables just placed. The sort key is the path of last-placed
-    parents as an array of positions, so no round needs a global numbering.
+    edges out of the tables just placed. A level is numbered by one long per table, its last parent's
+    number in the level before and its own place in the schema, so nothing grows with the depth, and no
+    window sees more than a bounded range of places.
     """
-    nodes = tables.select(*by, F.lower("table").alias("k"), "table", "table_pos")
+    by = list(by)
+    nodes = tables.select(*by, F.lower("table").alias("k"), "table", F.col("table_pos").cast("long").alias("table_pos"))
+    # Places without gaps: their bits are bounded by the number of tables, whatever positions are given.
+    nodes = number(nodes.withColumn("table_pos", F.col("table_pos") - F.lit(nodes.agg(F.min("table_pos")).first()[0] or 0)), by, "table_pos", "place")
     edges = fks.select(*by, F.lower("child_table").alias("child"), plain_table(F.col("parent_table")).alias("parent"))
     known = nodes.select(*by, F.col("k").alias("parent"))
     edges = edges.where(F.col("child") != F.col("parent")).distinct().join(known, [*by, "parent"], "left_semi")
@@ -141,36 +151,34 @@ def load_order(tables: DataFrame, fks: DataFrame, by: Sequence[str]) -> DataFram
     needs = edges.groupBy(*by, F.col("child").alias("k")).agg(F.count(F.lit(1)).alias("open"))
     state = stage(nodes.join(needs, [*by, "k"], "left").fillna({"open": 0}), "order-state")
 
-    own = F.array(F.col("table_pos").cast("long"))
-    placed = state.where(F.col("open") == 0).select(*by, "k", "table", "table_pos", F.lit(0).alias("level"), own.alias("path"))
-    pending = state.where(F.col("open") > 0)
-    parts, level = [placed], 0
+    def numbered(rows: DataFrame, level: int) -> DataFrame:
+        key = F.shiftleft(F.col("last"), _PLACE_BITS) + F.col("place")
+        found = number(rows.withColumn("key", key), by, "key", "rank")
+        return stage(found.select(*by, "k", "table", F.lit(level).alias("level"), "rank"), "order-level")
+
+    level, pending = 0, state.where(F.col("open") > 0).withColumn("last", F.lit(0).cast("long"))
+    parts = [numbered(state.where(F.col("open") == 0).withColumn("last", F.lit(0).cast("long")), 0)]
     while not pending.isEmpty():
-        level += 1
         hits = (
-            edges.join(placed.select(*by, F.col("k").alias("parent"), "path"), [*by, "parent"])
+            edges.join(parts[-1].select(*by, F.col("k").alias("parent"), "rank"), [*by, "parent"])
             .groupBy(*by, F.col("child").alias("k"))
-            .agg(F.count(F.lit(1)).alias("closed"), F.max("path").alias("last"))
+            .agg(F.count(F.lit(1)).alias("closed"), F.max("rank").alias("hit"))
         )
-        step = stage(
-            pending.join(hits, [*by, "k"], "left").withColumn("open", F.col("open") - F.coalesce("closed", F.lit(0))).drop("closed"),
-            "order-step",
-        )
-        placed = step.where(F.col("open") == 0).select(
-            *by, "k", "table", "table_pos", F.lit(level).alias("level"), F.concat("last", own).alias("path")
-        )
-        if placed.isEmpty():
+        step = pending.join(hits, [*by, "k"], "left").withColumns({"open": F.col("open") - F.coalesce("closed", F.lit(0)), "last": F.coalesce("hit", "last")})
+        step = stage(step.drop("closed", "hit"), "order-step")
+        ready = step.where(F.col("open") == 0)
+        level += 1
+        if ready.isEmpty():
             break
-        parts.append(placed)
-        pending = step.where(F.col("open") > 0).drop("last")
+        parts.append(numbered(ready, level))
+        pending = step.where(F.col("open") > 0)
     # What is left sits on or behind a cycle and keeps schema order.
-    parts.append(pending.select(*by, "k", "table", "table_pos", F.lit(level + 1).alias("level"), own.alias("path")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    ranked = number_by_order(every, [*by, "level", "path"], "rank")
-    starts = ranked.groupBy(*by).agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("n"))
-    placed_in = lookup(ranked, starts, [(F.col(b), b) for b in by], ["start"], "n", F.col("rank")) if by else (
-        ranked.withColumn("start", F.lit(1))
-    )
-    return placed_in.select(*by, "table", "level", (F.col("rank") - F.col("start") + 1).alias("position"))
+    parts.append(numbered(pending.withColumn("last", F.lit(0).cast("long")), level))
+    every = reduce(DataFrame.unionByName, parts)
+    # A row per catalog and level: the window sees a catalog's depth.
+    sizes = every.groupBy(*by, "level").agg(F.count(F.lit(1)).alias("n"))
+    spec = W.partitionBy(*by).orderBy("level").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.withColumn("start", F.coalesce(F.sum("n").over(spec), F.lit(0)))
+    on = [*[(F.col(b), b) for b in by], (F.col("level"), "level")]
+    placed = lookup(every, sizes, on, ["start"], "n", F.col("rank"))
+    return placed.select(*by, "table", "level", (F.col("rank") + F.col("start")).alias("position"))
