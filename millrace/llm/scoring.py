@@ -17,7 +17,7 @@ from millrace.session import stage
 
 #: Bytes of text in a block: the unit whose distinct words and pairs are counted together.
 BLOCK_BYTES = 12 << 20
-#: Training tokens per shard of the counts, which sets how many keys a task counts at once.
+#: Most tokens per shard of the counts, which sets how many keys a task counts at once.
 SHARD_TOKENS = 1_000_000
 #: Buckets of the context's frequency: unseen, 1, 2-3, 4-7, ...
 BUCKETS = 48
@@ -108,14 +108,16 @@ def _distinct(body: dict) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], np.
     return {"w": (keys, codes), "p": (pairs, place)}, n, held
 
 
-def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Borders of the shards, equal ranges of hash values, within ascending keys."""
-    step = (1 << 64) // shards
-    return np.concatenate([[0], np.searchsorted(keys, np.array([step * k for k in range(1, shards)], np.uint64)), [len(keys)]])
+def _cuts(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shards, equal ranges of hash values named by their first ``bits`` bits, that hold some of the ascending
+    keys, and the borders of each in them. The work follows the number of keys, whatever the number of shards."""
+    shard = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[:len(shard)])
+    return shard[first], np.append(first, len(keys))
 
 
-def counts(bodies: DataFrame, shards: int) -> DataFrame:
-    """For every block, kind and shard the training counts of the block's keys, in their order.
+def counts(bodies: DataFrame, bits: int) -> DataFrame:
+    """For every block, kind and shard (of ``2 ** bits``) the training counts of the block's keys, in their order.
 
     A block asks once for each distinct key and brings its own count along, so a frequent word
     is as many rows as there are blocks, and one exchange counts and answers. ``types`` and
@@ -129,10 +131,10 @@ def counts(bodies: DataFrame, shards: int) -> DataFrame:
                 learns = np.repeat(~held, n)
                 for kind, (keys, place) in both.items():
                     own = np.bincount(place[learns], minlength=len(keys))
-                    at = _cuts(keys, shards)
-                    full = [s for s in range(shards) if at[s] < at[s + 1]]
-                    cols = [[kind] * len(full), full, [body["block"]] * len(full), [body["deleted"]] * len(full),
-                            [pack(keys[at[s]:at[s + 1]], True) for s in full], [pack(own[at[s]:at[s + 1]]) for s in full]]
+                    full, at = _cuts(keys, bits)
+                    parts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+                    cols = [[kind] * len(full), full.tolist(), [body["block"]] * len(full), [body["deleted"]] * len(full),
+                            [pack(keys[i:j], True) for i, j in parts], [pack(own[i:j]) for i, j in parts]]
                     kinds = [pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
                                                      ["kind", "shard", "block", "deleted", "keys", "own"])
@@ -250,8 +252,9 @@ def score(docs: DataFrame) -> DataFrame:
     """
     bodies = stage(blocks(docs), "blocks")
     size = bodies.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    shards = max(64, size // SHARD_TOKENS)
-    answered = stage(counts(bodies, shards), "counts")
+    # 64 shards at least, and so many that each has ``SHARD_TOKENS`` tokens at most.
+    bits = max(6, int(size // SHARD_TOKENS).bit_length())
+    answered = stage(counts(bodies, bits), "counts")
     sums = {r["kind"]: r for r in answered.groupBy("kind").agg(F.sum("types").alias("types"), F.sum("tokens").alias("n"), F.sum("tokens_apart").alias("apart")).collect()}
     n, types, apart = (sums["w"]["n"], sums["w"]["types"], sums["w"]["apart"]) if sums else (0, 0, 0)
     weights = learn_weights(bodies, answered, n - apart, types)

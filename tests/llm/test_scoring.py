@@ -111,3 +111,17 @@ def test_packing_round_trip():
 
 def test_empty_table(spark):
     assert scoring.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_shards_cost_a_block_no_more_than_its_keys():
+    """As many shards as a corpus of a million million tokens asks for: a block still yields a row per key at most, in one pass."""
+    import time
+
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 64, 200_000, np.uint64))
+    for bits in (6, 17, 31):
+        start = time.perf_counter()
+        shard, at = scoring._cuts(keys, bits)
+        assert time.perf_counter() - start < 0.5
+        assert len(shard) == len(at) - 1 <= min(len(keys), 1 << bits) and (np.diff(shard) > 0).all() and at[-1] == len(keys)
+        assert (np.repeat(shard, np.diff(at)) == (keys >> np.uint64(64 - bits)).astype(np.int64)).all()
+    assert [len(x) for x in scoring._cuts(keys[:0], 6)] == [0, 1]
