@@ -17,8 +17,8 @@ from millrace.operators.render import BATCH_ROWS, script
 from millrace.operators.validate import Validation, validate
 from millrace.plans.ledger import counters
 from millrace.plans.merge import duplicate_targets, matches_of, merge, normalise_actions, unmapped_sources
-from millrace.session import stage
-from millrace.sources.store import append_import, close_import, write_cache
+from millrace.session import stage, staging
+from millrace.sources.store import append_import, close_import, write_cache, write_script
 from millrace.target import Fill, Table, fill
 
 
@@ -183,6 +183,18 @@ def load(
     return Generated(result, lines, filled)
 
 
+def run_import(staged: DataFrame, tables: Sequence[Table], plans: DataFrame, headers: DataFrame, ledger: str, import_id: str, script_path: str, **options: object) -> dict[str, int]:
+    """``load`` with its script written to ``script_path``; returns the totals (V13) and leaves no staged table behind.
+
+    Everything that the steps staged goes when the script is written, or when the load fails; what was staged before
+    stays. ``options`` are those of ``load``.
+    """
+    with staging(staged.sparkSession):
+        done = load(staged, tables, plans, headers, ledger, import_id, **options)
+        write_script(done.script, script_path)
+        return done.validation.stats.first().asDict()
+
+
 def targets_of(columns: DataFrame, keys: DataFrame, fks: DataFrame, by: Sequence[str]) -> DataFrame:
     """C1, C2, C5 together: declared columns ready for matching."""
     return C.column_roles(C.mark_primary_keys(C.with_category(columns), keys, by), fks, by)

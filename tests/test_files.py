@@ -11,6 +11,7 @@ from millrace.plans.intake import source_profiles, upload
 from millrace.session import scratch_path
 from millrace.sources import grids as S
 from millrace.sources import store
+from millrace.target import Column, Table
 
 
 def grid_of(spark, rows, sheet="My Sheet"):
@@ -186,3 +187,25 @@ def test_cell_table_brings_blank_rows_back(spark):
     got = {r["row_idx"]: r["cells"] for r in S.cell_grid(cells).collect()}
     blank = [None] * 3
     assert got == {0: blank, 1: ["a", None, "c"], 2: blank, 3: blank, 4: [None, "b", None]}
+
+
+def test_an_import_leaves_its_script_and_nothing_staged(spark, tmp_path, monkeypatch):
+    from millrace import session
+    from millrace.plans.intake import run_import
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path / "shared"))
+    book, out = str(tmp_path / "book"), str(tmp_path / "script")
+    store.append_import(spark, book, "i1", "boats.csv")
+    boat = Table("Boat", (Column("Hull", "int", False), Column("Name")), ("Hull",))
+    rows = spark.createDataFrame([(1, "7", "Gull"), (2, "8", "Tern"), (3, None, "Lost")], "row_idx long, hull string, name string")
+    plans = spark.createDataFrame([("Boat", "Hull", "hull", "IMPORT", 0), ("Boat", "Name", "name", "IMPORT", 1)], "table string, column string, source string, action string, target_pos int")
+    heads = spark.createDataFrame([("hull",), ("name",)], "source string")
+    stats = run_import(rows, [boat], plans, heads, book, "i1", out)
+    assert (stats["total_valid_rows"], stats["total_rejected_rows"]) == (2, 1)
+    text = "\n".join(r["value"] for r in spark.read.text(out).collect())
+    assert "INSERT INTO [dbo].[Boat]" in text and "'Gull'" in text
+    assert L.find_import(spark.read.parquet(book), "i1").first()["status"] == "COMPLETED"
+    with pytest.raises(ValueError, match="at least one"):
+        run_import(rows, [boat], plans, heads, book, "i1", out, selected=[" "])
+    assert L.find_import(spark.read.parquet(book), "i1").first()["status"] == "FAILED"
+    assert not [p for p in (tmp_path / "shared").iterdir()]
