@@ -138,7 +138,7 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 texts = pc.fill_null(part.column("text"), "")
                 w = words(texts)
                 if not len(w.codes):
