@@ -87,6 +87,19 @@ def test_a_script_with_parents_quotes_and_a_report(spark):
         assert line in got
 
 
+def test_order_is_sampled_by_place_alone(spark):
+    """Sort borders come from sampled keys that meet at the driver: no statement text may be among them."""
+    from pyspark.sql import functions as F
+
+    place = ("section", "table_pos", "part", "item")
+    rows = spark.range(600).select(*[(F.xxhash64("id", F.lit(c)) % 4 + 4).alias(c) for c in place], F.col("id").cast("string").alias("text"))
+    plan = R.ordered(rows)._jdf.queryExecution().executedPlan().toString()
+    borders = [line for line in plan.split("\n") if "rangepartitioning" in line]
+    assert borders and not any("text#" in line for line in borders)
+    got = [tuple(r) for r in R.ordered(rows.repartition(7)).collect()]
+    assert got == sorted(got) and len(got) == 600
+
+
 def test_selection_errors():
     with pytest.raises(ValueError, match="at least one"):
         choose_tables([CUSTOMER], [" "])
