@@ -107,14 +107,15 @@ def _dup_lines(texts: pa.Array) -> np.ndarray:
     return np.bincount(of, minlength=rows) - np.bincount(distinct >> 32, minlength=rows)
 
 
-def judge(docs: DataFrame, least_words: int = 5, max_covered: float = 0.6, max_longest: float = 0.5,
+def judge(docs: DataFrame, least_words: int = 5, max_covered: float = 0.2, max_longest: float = 0.1,
           long_repeat: int = 10) -> DataFrame:
     """One row per row of ``docs``: base measures, repetition measures, and ``kept``.
 
     ``covered_words`` lie in a repeat of ``least_words`` or more, in ``n_spans`` separate
     spans; ``longest_repeat`` counts words. A text that passes the base rules is dropped where
     more than ``max_covered`` of its words are covered, or where its longest repeat has
-    ``long_repeat`` words and more than ``max_longest`` of the text.
+    ``long_repeat`` words and more than ``max_longest`` of the text. Words in repeats of three or more
+    count in the base rules, whose limit is half of the text: limits from there on would drop nothing more.
 
     Null and empty texts have no words and fail the base rules. Whole texts are measured; a
     task works on some megabytes of texts at once, or on one longer text. Repeated rows are

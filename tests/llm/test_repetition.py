@@ -70,3 +70,13 @@ def test_repeated_blocks_fail_and_prose_stays(spark):
 
 def test_empty_table(spark):
     assert repetition.judge(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_verdict_drops_texts_that_pass_the_base_rules(spark):
+    prose = [f"w{k}" for k in range(140)]
+    part = [f"q{k}" for k in range(30)]
+    # A passage that returns; overlapping repeats of one word; a single short line that returns.
+    texts = {1: part + prose + part, 2: prose + ["la"] * 20, 3: part[:8] + prose + part[:8]}
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in repetition.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (False, False), 2: (False, False), 3: (False, True)}
