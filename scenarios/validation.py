@@ -66,7 +66,9 @@ def sales_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = table(spark, sf_dir, "orders").drop("o_orderpriority")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    wide = li.join(orders, li.l_orderkey == orders.o_orderkey).join(cust, orders.o_custkey == cust.c_custkey)
+    # Orders meet their customers first: they are fewer than the line items, which then move once.
+    placed = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    wide = li.join(placed, li.l_orderkey == placed.o_orderkey)
     return wide.select(
         "row_idx",
         *[F.col(c).cast("string").alias(c) for c in ("l_orderkey", "l_partkey", "l_quantity")],

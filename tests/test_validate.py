@@ -110,3 +110,27 @@ def test_load_order_by_parents_then_schema():
     for names, ups, want in cases:
         tables = [Table(n, (), (), (ForeignKey("up", ups[n], "key"),) if n in ups else ()) for n in names.split()]
         assert " ".join(t.name for t in load_order(tables)) == want
+
+
+def test_reports_come_from_the_verdicts(spark):
+    """Rows of tuples seen once need no join; with repeated tuples the reports are those of the join of all rows."""
+    import random
+    from dataclasses import replace
+
+    up = Table("Up", (Column("k", "int", False), Column("v", nullable=False)), ("k",))
+    down = Table("Down", (Column("d", "int", False), Column("u", "int"), Column("n", nullable=False)), ("d",), (ForeignKey("u", "Up", "k"),))
+    maps = {"Up": {"k": "k", "v": "v"}, "Down": {"d": "d", "u": "k", "n": "n"}}
+    rng = random.Random(11)
+    some = [(i, rng.choice(["1", "2", " 2", "3", None]), rng.choice(["a", "b", " "]), str(rng.randrange(60)), rng.choice(["x", None, ""])) for i in range(1, 201)]
+    some += [(200 + i, *row[1:]) for i, row in enumerate(some[:40], 1)]
+    once = [(i, str(i // 2), f"v{i}" if i % 5 else None, str(i // 3), str(i) if i % 4 else None) for i in range(1, 61)]
+    layout = "row_idx long, k string, v string, d string, n string"
+    for rows, joins in ((some, True), (once, False)):
+        result = validate(spark.createDataFrame(rows, layout), [up, down], fill(maps))
+        for check in result.checks.values():
+            plain = replace(check, repeats=None)
+            for member in ("rejected", "pk_errors", "fk_errors", "null_errors"):
+                got, want = getattr(check, member), getattr(plain, member)
+                assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+                assert joins or "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        assert all(c.rejected.count() and c.pk_errors.count() for c in result.checks.values())
