@@ -161,9 +161,9 @@ UNION ALL SELECT 'sales', row_idx, 'Sheet 1', l_orderkey, 'Foreign key violation
 UNION ALL SELECT 'sales', row_idx, 'Sheet 1', l_orderkey, 'Required column ''Cust_Name'' is empty in row ' || row_idx FROM sheet WHERE c_name IS NULL""",
 )
 def ledger_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = sales(spark, sf_dir)
-    records = L.staging_records(stage(sales_sheet(spark, sf_dir), "sheet"), result, "sales", "Sheet 1")
-    found = L.errors(records, "sales")
+    sheet = stage(sales_sheet(spark, sf_dir), "sheet")  # the validation and the records read the one sheet
+    result = sales(spark, sf_dir, sheet)
+    found = L.errors(L.staging_records(sheet, result, "sales", "Sheet 1"), "sales")
     return found.select("import_id", "row_index", "sheet_name", F.get_json_object("raw_data", "$.l_orderkey").alias("raw_order"), "errors")
 
 

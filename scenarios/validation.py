@@ -113,8 +113,9 @@ li_flag AS (
   FROM li_key LEFT JOIN li_bad USING (k1, k2))"""
 
 
-def sales(spark: SparkSession, sf_dir: str) -> Validation:
-    return validate(stage(sales_sheet(spark, sf_dir), "sheet"), [LINEITEM, ORDERS, CUSTOMER, SHIPMENT], fill(MAPPINGS))
+def sales(spark: SparkSession, sf_dir: str, sheet: DataFrame | None = None) -> Validation:
+    sheet = stage(sales_sheet(spark, sf_dir), "sheet") if sheet is None else sheet
+    return validate(sheet, [LINEITEM, ORDERS, CUSTOMER, SHIPMENT], fill(MAPPINGS))
 
 
 def sales_fill() -> Fill:
