@@ -55,6 +55,8 @@ def lookup(
     if size <= broadcast_rows and right.bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(side), match, "left").drop(*spare)
 
+    # Told to meet in a shuffle: by the size of its compressed files Spark would broadcast a side that has been found too wide.
+    side = side.hint("merge")
     if weight is None:
         return rows.join(side, match, "left").drop(*spare)
 
@@ -78,7 +80,7 @@ def lookup(
     cold = side.withColumn("__zero", F.lit(0))
     renamed = cold.select(
         *[f"__r_{k}" for k in keys], "__zero", *[F.col(f).alias(f"__c_{f}") for f in facts]
-    )
+    ).hint("merge")
     joined = rows.join(renamed, [*match, F.col("__salt") == F.col("__zero")], "left")
     picked = {
         f: F.when(F.col("__hot").isNotNull(), F.col(f"__hot.{f}")).otherwise(F.col(f"__c_{f}")) for f in facts

@@ -253,6 +253,8 @@ def ordered(lines: DataFrame) -> DataFrame:
 
 def rejection_report(result: Validation) -> DataFrame:
     """Invalid tables, then key, reference and null failures, one line each."""
+    for check in result.checks.values():
+        check.write_failing()
     kinds = (
         ("INVALID TABLE", result.invalid_tables.select("table", F.lit(None).cast("long").alias("row_index"), "reason")),
         ("PRIMARY KEY CONFLICT", result.pk_errors.select("table", "row_index", "reason")),
@@ -297,6 +299,7 @@ def _report(
         def lines_of(df: DataFrame, part: int, text: Expr, item: Expr, place=place) -> DataFrame:
             return df.select(*place, F.lit(part).cast("long").alias("part"), item.cast("long").alias("item"), text.alias("text"))
 
+        check.write_failing()
         rejected = stage(check.counts.where(F.col("rejected_rows") > 0), "rejected")
         row = F.col("row_index")
         title = F.concat(F.lit(f"-- [Table: {name}] Rejected Rows: "), F.col("rejected_rows").cast("string"))

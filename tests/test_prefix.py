@@ -62,3 +62,12 @@ def test_staged_tables_go_with_their_block(spark, tmp_path):
         path = stage(spark.range(3), "brief").inputFiles()[0].removeprefix("file://")
         assert os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_lookup_beyond_broadcast_meets_in_a_shuffle(spark):
+    """Small files say little about a side that has been found too wide: Spark must not broadcast it after all."""
+    left = spark.range(100).withColumn("k", F.col("id") % 50)
+    right = spark.range(50).select(F.col("id").alias("k"), F.lit("x").alias("f"), F.lit(0).alias("w"))  # no key is hot
+    for weight in (None, "w"):
+        got = lookup(left, right, [(F.col("k"), "k")], ["f"], weight, F.col("id"), broadcast_rows=0)
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString() and got.where("f = 'x'").count() == 100

@@ -106,3 +106,12 @@ def test_selection_errors():
     with pytest.raises(ValueError, match="'Nope' was not found"):
         choose_tables([CUSTOMER], ["Nope"])
     assert choose_tables([CUSTOMER], ["customer "]) == [CUSTOMER]
+
+
+def test_reports_read_failing_rows_once_written(spark):
+    rows = staged(spark, [("1", "a"), ("1", "a"), ("2", " "), ("2", " "), ("3", "b"), ("3", "c")], "k", "n")
+    club = Table("Club", (Column("No", "int", False), Column("Town", "varchar(9)", False)), ("No",))
+    result = validate(rows, [club], fill({"Club": {"k": "No", "n": "Town"}}))
+    report = R.rejection_report(result)
+    assert "Join" not in report._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["kind"], r["row_index"]) for r in report.collect()) == [("NOT NULL ERROR", 3), ("NOT NULL ERROR", 4), ("PRIMARY KEY CONFLICT", 6)]
