@@ -12,13 +12,20 @@ WHITESPACE = (
 )
 
 
+def _printed(c: Column) -> Column:
+    """Whether a text begins with a visible ASCII character; strings compare by bytes."""
+    text = c.cast("string")
+    return (text >= "!") & (text < "\x7f")
+
+
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Trimming compares a text's ends with each white space character, so text whose ends are visible ASCII skips it."""
+    return F.when(_printed(c) & _printed(F.substring(c, -1, 1)), c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def is_empty(c: Column) -> Column:
     """V1 for text: null or blank."""
-    return c.isNull() | (strip(c) == "")
+    return c.isNull() | (~_printed(c) & (F.btrim(c, F.lit(WHITESPACE)) == ""))
 
 
 def is_empty_number(c: Column) -> Column:

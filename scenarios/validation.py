@@ -66,9 +66,16 @@ def sales_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = table(spark, sf_dir, "orders").drop("o_orderpriority")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    # Orders meet their customers first: they are fewer than the line items, which then move once.
-    placed = orders.join(cust, orders.o_custkey == cust.c_custkey)
-    wide = li.join(placed, li.l_orderkey == placed.o_orderkey)
+    # Orders meet their customers first: they are fewer than the line items, which then move once. Their text is made there too.
+    placed = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
+        F.col("o_orderkey").alias("placed_key"),
+        *[F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")],
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"),
+        F.col("c_custkey").cast("string").alias("c_custkey"),
+        F.when(F.col("c_custkey") % 13 == 0, F.lit(None)).otherwise(F.col("c_name")).alias("c_name"),
+        "c_mktsegment",
+    )
+    wide = li.join(placed, li.l_orderkey == placed.placed_key)
     return wide.select(
         "row_idx",
         *[F.col(c).cast("string").alias(c) for c in ("l_orderkey", "l_partkey", "l_quantity")],
@@ -76,11 +83,7 @@ def sales_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("row_idx") % 1009 == 0, F.concat(F.col("l_linenumber").cast("string"), F.lit(" ")))
         .otherwise(F.col("l_linenumber").cast("string")).alias("l_linenumber"),
         F.when(F.col("row_idx") % 11 == 0, F.lit(" ")).otherwise(F.col("l_returnflag")).alias("l_returnflag"),
-        *[F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")],
-        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"),
-        F.col("c_custkey").cast("string").alias("c_custkey"),
-        F.when(F.col("c_custkey") % 13 == 0, F.lit(None)).otherwise(F.col("c_name")).alias("c_name"),
-        "c_mktsegment",
+        *placed.columns[1:],
     )
 
 

@@ -99,3 +99,14 @@ def test_identifiers(one):
     assert X.quote_identifier("a]b") == "[a]]b]"
     assert X.quote_identifier("[Order]", "mysql") == "`Order`"
     assert one(lambda c: X.identifier(c, "postgres"), ["x", 'a"b']) == ['"x"', '"a""b"']
+
+
+def test_strip_and_emptiness_at_both_ends(one):
+    values = ["a", " a", "a ", " a ", "", " \t", "　", "a b", "!", "~", "\x7f", "é", "é ", " é", "a ", None]
+    assert one(strip, values) == [None if v is None else v.strip() for v in values]
+    assert one(is_empty, values) == [v is None or not v.strip() for v in values]
+
+
+def test_strip_of_plain_text_skips_the_trim(spark):
+    plan = spark.range(1).select(strip(F.lit("a").cast("string")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN" in plan

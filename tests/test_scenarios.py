@@ -8,6 +8,7 @@ import re
 import pytest
 
 from scenarios import all_oracles, all_queries
+from scenarios.validation import sales_sheet
 from tools.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,10 @@ def test_registry_is_consistent():
 def test_no_single_task_stage_over_rows(spark, name):
     plan = all_queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
+def test_order_text_is_made_once_an_order(spark):
+    """The sheet's order text is made before the line items multiply it."""
+    plan = sales_sheet(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "date_format" in plan and "date_format" not in plan[:plan.index("Join")]
