@@ -349,12 +349,13 @@ _CHOICE = ("source", "score", "reason", "inferred_type", "sample_values")
 
 def plans(targets: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
     """One plan per declared column; ``top`` holds its best three candidates."""
-    top = ranked(found, by, REVIEW_CANDIDATES)
+    # One struct key, null-safe, so that ranks, lists and the join with the columns share one exchange of the candidates.
+    key = lambda name: F.struct(*by, "table", F.col(name).alias("column")).alias("__key")
+    rank = F.row_number().over(W.partitionBy("__key").orderBy(F.col("score").desc(), "src_pos"))
+    top = found.where(F.col("column").isNotNull()).select(key("column"), "src_pos", *_CHOICE).withColumn("rank", rank).where(F.col("rank") <= REVIEW_CANDIDATES)
     boxed = F.array_sort(F.collect_list(F.struct("rank", *_CHOICE)))
-    tops = top.groupBy(*by, "table", "column").agg(boxed.alias("top"))
-    right = tops.select(*[F.col(c).alias(f"__{c}") for c in (*by, "table", "column")], "top")
-    cond = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*by, "table")] + [F.col("name") == F.col("__column")]
-    p = targets.join(right, cond, "left").drop(*[f"__{c}" for c in (*by, "table", "column")])
+    tops = top.groupBy("__key").agg(boxed.alias("top"))
+    p = targets.withColumn("__key", key("name")).join(tops, "__key", "left").drop("__key")
     best, second = F.get("top", F.lit(0)), F.get("top", F.lit(1))
     clear = second.isNull() | (best["score"] - second["score"] >= ACCEPT_GAP)
     state = (

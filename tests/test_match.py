@@ -149,3 +149,17 @@ def test_decisions_and_conflicts(spark):
     assert (final["c"]["action"], final["a"]["action"], final["a"]["method"], final["a"]["source"]) == ("IMPORT", "NULL", "CONFLICT", None)
     report = M.conflict_report(settled, BY).collect()
     assert [r["message"] for r in report] == ["Excel column 's1' was matched to multiple SQL columns ([T].[a], [T].[c])."]
+
+
+def test_plans_exchange_their_candidates_once(spark):
+    """Ranks, lists and the join with the columns meet in one exchange; a scope may be null."""
+    kinds = "scope string, table string, name string, target_pos int, sql_type string, role string, is_identity boolean, has_default boolean, nullable boolean"
+    columns = spark.createDataFrame([(s, "T", c, i, "int", "Normal", False, False, True) for s in ("a", None) for i, c in enumerate("xy")], kinds)
+    found = spark.createDataFrame([(s, "T", "x", f"h{i}", i, 0.5 + i / 10, "r", "string", [f"h{i}"]) for s in ("a", None) for i in range(5)],
+                                  "scope string, table string, column string, source string, src_pos int, score double, reason string, inferred_type string, sample_values array<string>")
+    planned = M.plans(columns, found, ["scope"])
+    got = {(r["scope"], r["column"]): (r["action"], r["source"], [c["source"] for c in r["top"] or []]) for r in planned.collect()}
+    want = {(s, "x"): ("PENDING_LLM", None, ["h4", "h3", "h2"]) for s in ("a", None)} | {(s, "y"): ("NULL", None, []) for s in ("a", None)}
+    assert got == want
+    plan = planned._jdf.queryExecution().sparkPlan().toString()
+    assert "coalesce" not in plan[plan.index("Join"):].split("\n")[0]
