@@ -19,13 +19,14 @@ def _printed(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Trimming compares a text's ends with each white space character, so text whose ends are visible ASCII skips it."""
-    return F.when(_printed(c) & _printed(F.substring(c, -1, 1)), c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
+    """Trimming compares a text's ends with each white space character, so text whose ends are visible ASCII without its spaces skips it."""
+    plain = F.trim(c.cast("string"))
+    return F.when(_printed(plain) & _printed(F.substring(plain, -1, 1)), plain).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def is_empty(c: Column) -> Column:
     """V1 for text: null or blank."""
-    return c.isNull() | (~_printed(c) & (F.btrim(c, F.lit(WHITESPACE)) == ""))
+    return c.isNull() | (~_printed(c) & ~_printed(F.substring(c, -1, 1)) & (F.btrim(c, F.lit(WHITESPACE)) == ""))
 
 
 def is_empty_number(c: Column) -> Column:

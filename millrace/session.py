@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -54,8 +54,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def stage(df: DataFrame, label: str = "stage", folders: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back; each value of ``folders`` gets its own.
 
     Cuts the lineage, survives lost executors, keeps column pruning for the
     readers, and makes ``count()`` a footer-only read, so sizes can be checked
@@ -64,7 +64,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     _STAGED.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(folders) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 

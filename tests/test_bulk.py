@@ -109,3 +109,20 @@ def test_no_rows_and_no_tables(spark, both):
     empty = bulk.validate_tables(none, rules, keys, fks, BY)
     assert empty.rejected.isEmpty() and {r["source_rows"] for r in empty.counts.collect()} == {0} and empty.invalid.count() == 7
     assert bulk.validate_tables(none, rules.limit(0), keys, fks, BY).counts.collect() == []
+
+
+def test_tuples_stay_narrow(both):
+    """Names and reference texts are met by rejected tuples alone; a tuple seen once is reported without its slice."""
+    got = both[0]
+    assert set(got.tuples.columns) == {"cat", "shape", "row_idx", "copies", "values", "mark", "n_empty"}
+    assert set(got.lost.columns) == {"cat", "shape", "row_idx", "copies", "n_empty", "n", "value"}
+    assert got.specs.select("cat", "shape").distinct().count() == got.specs.count() == 6
+
+
+def test_written_out_places_equal_array_functions(spark, monkeypatch):
+    rows = [(1, 1, [" a", "\u00a0", None], [1, 2], [1, 2, 3]), (1, 2, ["b ", "c", ""], [2, 1], [3]), (1, 3, ["x", None, " "], [], None), (1, 3, ["x", "\ty\u2003", "z"], [2], [2])]
+    df = spark.createDataFrame(rows, "cat long, shape long, values array<string>, required array<int>, pk array<int>")
+    asked = lambda: df.select(bulk._mark(3).isNull(), bulk._n_empty(2)).collect()
+    plain = asked()
+    monkeypatch.setattr(bulk, "UNROLLED", 0)
+    assert plain == asked() and [tuple(r) for r in plain] == [(True, 1), (True, 0), (True, 0), (False, 0)]
