@@ -43,6 +43,8 @@ FLAG_WORDS = ("is", "has", "active", "flag", "enabled")
 
 # Letters from rare to common; only the order of block keys depends on it.
 LETTER_ORDER = "zqxjkvbpgwyfmcuhldrsnioate"
+# Letters and digits that have bits, letters first.
+_BITS = "abcdefghijklmnopqrstuvwxyz0123456789"
 # Type facts the compatibility rule needs.
 _TARGET_TYPES = ("data_type", "is_pk", "is_identity", "length")
 _SOURCE_TYPES = ("inferred_type", "is_integer", "is_numeric", "is_boolean", "min_length")
@@ -101,6 +103,23 @@ def letters(norm: Column) -> Column:
     return F.transform(F.array_sort(numbered), lambda s: F.concat(F.lit("c:"), s["c"], s["again"].cast("string")))
 
 
+def letter_bits(letter_set: Column) -> Column:
+    """A bit for each of the first two occurrences of a letter and the first of a digit, as one long."""
+
+    def bit(e: Column) -> Column:
+        again, at = F.substring(e, F.lit(4), F.lit(3)), F.instr(F.lit(_BITS), F.substring(e, 3, 1))
+        place = F.when(again == "0", at).when((again == "-1") & at.between(1, 26), at + 36).otherwise(0)
+        return F.when(place > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (place - 1).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+    return F.aggregate(letter_set, F.lit(0).cast("long"), lambda held, e: held.bitwiseOR(bit(e)))
+
+
+def most_common_letters() -> Column:
+    """No fewer than the letters both names have: what has a bit is counted, the rest of the shorter one is granted."""
+    t, s = F.col("t_bits"), F.col("s_bits")
+    return F.bit_count(t.bitwiseAND(s)) + F.least(F.length("t_norm") - F.bit_count(t), F.length("s_norm") - F.bit_count(s))
+
+
 def rare_letters(letter_set: Column, least_ratio: Column) -> Column:
     """The prefix that any partner reaching ``least_ratio`` must meet."""
     n = F.size(letter_set)
@@ -150,7 +169,7 @@ def prepare_targets(targets: DataFrame) -> DataFrame:
     unprefixed = F.when(norm.startswith(tbl), F.substring(norm, F.length(tbl) + 1, F.length(norm)))
     cut_first = F.substring(norm, F.lit(2), F.length(norm))
     cut_last = F.substring(norm, F.lit(1), F.greatest(F.length(norm) - 1, F.lit(0)))
-    t = t.withColumn("t_letters", letters(norm))
+    t = t.withColumn("t_letters", letters(norm)).withColumn("t_bits", letter_bits(F.col("t_letters")))
     open_keys = F.concat(
         name_keys(norm, F.concat(tbl, norm), unprefixed), word_keys(F.col("t_words")),
         rare_letters(F.col("t_letters"), _least_ratio(strong, weak)),
@@ -167,7 +186,7 @@ def prepare_sources(sources: DataFrame) -> DataFrame:
     })
     kind = F.col("inferred_type")
     ratio = _least_ratio(kind.isin("email-like", "phone-like"), kind.isin("date", "datetime", "boolean"))
-    s = s.withColumn("s_letters", letters(F.col("s_norm")))
+    s = s.withColumn("s_letters", letters(F.col("s_norm"))).withColumn("s_bits", letter_bits(F.col("s_letters")))
     keys = F.concat(name_keys(F.col("s_norm")), word_keys(F.col("s_words")), rare_letters(F.col("s_letters"), ratio))
     return s.withColumn("s_keys", _hashed(keys))
 
@@ -189,7 +208,9 @@ def pair(targets: DataFrame, sources: DataFrame, by: Sequence[str], block_pairs:
     # A scope whose two sides are short meets as it is: fewer rows than its keys would bring together.
     sides = named.groupBy(*by).agg(F.count(F.lit(1)).alias("nt")).join(headed.groupBy(*by).agg(F.count(F.lit(1)).alias("ns")), list(by))
     short = stage(sides.where(F.col("nt") * F.col("ns") <= min(block_pairs, SCOPE_PAIRS)).select(*by), "short-scopes")
-    small = named.join(short, list(by)).join(headed.drop("s_keys"), list(by)).drop("t_keys").where(incompatibility().isNull())
+    # Short columns make many pairs: tasks follow the cores, not the bytes read.
+    tasks = 4 * named.sparkSession.sparkContext.defaultParallelism
+    small = named.join(short, list(by)).repartition(tasks, *by).join(headed.drop("s_keys"), list(by)).drop("t_keys").where(incompatibility().isNull())
     large = sides.where(F.col("nt") * F.col("ns") > min(block_pairs, SCOPE_PAIRS)).select(*by)
     if large.isEmpty():
         return _wanted(small, by)
@@ -197,8 +218,8 @@ def pair(targets: DataFrame, sources: DataFrame, by: Sequence[str], block_pairs:
 
 
 def _wanted(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    return pairs.select(*by, "table", "name", "target_pos", "placeholder", "t_norm", "t_words", "tbl_norm", "tbl_words", "t_letters",
-                        "source", "src_pos", "inferred_type", "s_norm", "s_words", "s_letters")
+    return pairs.select(*by, "table", "name", "target_pos", "placeholder", "t_norm", "t_words", "tbl_norm", "tbl_words", "t_bits",
+                        "source", "src_pos", "inferred_type", "s_norm", "s_words", "s_bits")
 
 
 def _by_keys(named: DataFrame, headed: DataFrame, by: Sequence[str], block_pairs: int) -> DataFrame:
@@ -231,8 +252,8 @@ def _by_keys(named: DataFrame, headed: DataFrame, by: Sequence[str], block_pairs
     met = t.join(s, on).where(incompatibility().isNull())
     met = met.where(F.col("key") == F.array_min(F.array_intersect("t_keys", "s_keys")))
     pairs = met.select(*by, "table", "name", "source")
-    t_facts = named.select(*by, "table", "name", "target_pos", "placeholder", "t_norm", "t_words", "tbl_norm", "tbl_words", "t_letters")
-    s_facts = headed.select(*by, "source", "src_pos", "inferred_type", "s_norm", "s_words", "s_letters")
+    t_facts = named.select(*by, "table", "name", "target_pos", "placeholder", "t_norm", "t_words", "tbl_norm", "tbl_words", "t_bits")
+    s_facts = headed.select(*by, "source", "src_pos", "inferred_type", "s_norm", "s_words", "s_bits")
     return pairs.join(t_facts, [*by, "table", "name"]).join(s_facts, [*by, "source"])
 
 
@@ -292,11 +313,11 @@ def score(pairs: DataFrame) -> DataFrame:
         fixed = fixed.when(test, F.struct(F.lit(value).alias("score"), F.lit(reason).alias("reason")))
     base = pairs.withColumn("fixed", fixed)
     base = base.withColumns({"bonus": pattern_bonus(), "shared": shares_word(tw, sw), "jac": jaccard(tw, sw)})
-    overlap = 2.0 * F.size(F.array_intersect("t_letters", "s_letters")) / (F.length(tn) + F.length(sn))
+    overlap = 2.0 * most_common_letters() / (F.length(tn) + F.length(sn))
     hopeful = F.col("shared") | (overlap + F.col("bonus") >= 0.29)
     base = base.where(F.when(F.col("fixed").isNotNull(), F.col("fixed.score") >= KEEP_SCORE).otherwise(hopeful))
 
-    spent = {"fixed", "bonus", "shared", "jac", "t_norm", "t_words", "tbl_norm", "tbl_words", "t_letters", "s_norm", "s_words", "s_letters", "placeholder"}
+    spent = {"fixed", "bonus", "shared", "jac", "t_norm", "t_words", "tbl_norm", "tbl_words", "t_bits", "s_norm", "s_words", "s_bits", "placeholder"}
     keep = [c for c in base.columns if c not in spent]
     unsettled = F.col("fixed").isNull()
     base = base.select(*keep, "fixed", "bonus", "shared", "jac", "t_norm", "s_norm")

@@ -163,3 +163,15 @@ def test_plans_exchange_their_candidates_once(spark):
     assert got == want
     plan = planned._jdf.queryExecution().sparkPlan().toString()
     assert "coalesce" not in plan[plan.index("Join"):].split("\n")[0]
+
+
+def test_letter_bits_never_undercount(spark):
+    """The letters granted to a pair reach those its letter sets share, and travel as one number."""
+    names = ["", "a", "aaa", "customer_name", "Kunde Nr 11", "straße", "名前", "e-mail 2 22 222", "zzzzyyyxx", "0123456789", "Mississippi", "a%b$a"]
+    cols = spark.createDataFrame([("t", n) for n in names], "table string, name string")
+    heads = spark.createDataFrame([(n, "string") for n in names], "source string, inferred_type string")
+    t, s = M.prepare_targets(cols).drop("placeholder"), M.prepare_sources(heads)
+    met = t.crossJoin(s).select(M.most_common_letters().alias("most"), F.size(F.array_intersect("t_letters", "s_letters")).alias("both"), F.least(F.length("t_norm"), F.length("s_norm")).alias("all"))
+    rows = met.collect()
+    assert len(rows) == len(names) ** 2 and all(r["both"] <= r["most"] <= r["all"] for r in rows)
+    assert not any(c.endswith("_letters") for c in M._wanted(t.crossJoin(s).withColumns({"target_pos": F.lit(1), "placeholder": F.lit(False), "src_pos": F.lit(1)}), []).columns)
