@@ -18,9 +18,12 @@ def _printed(c: Column) -> Column:
     return (text >= "!") & (text < "\x7f")
 
 
-def strip(c: Column) -> Column:
-    """Trimming compares a text's ends with each white space character, so text whose ends are visible ASCII without its spaces skips it."""
-    plain = F.trim(c.cast("string"))
+def strip(c: Column, plain: Column | None = None) -> Column:
+    """Trimming compares a text's ends with each white space character, so text whose ends are visible ASCII without its spaces skips it.
+
+    ``plain`` is the text without its spaces, where that is at hand.
+    """
+    plain = F.trim(c.cast("string")) if plain is None else plain
     return F.when(_printed(plain) & _printed(F.substring(plain, -1, 1)), plain).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 

@@ -5,7 +5,8 @@ source of each filled column (``plans.merge.merge``) and the user's actions (``p
 becomes one row of positions into its own value array, and tables with the same positions share one shape. A tuple carries a
 catalog number and a shape number only: names and reference texts meet rejected tuples alone. References and the values they
 may refer to go on as narrow rows, each exchanged once by value, and the tables of one load-order level answer all references
-to them together, so the jobs follow the depth of the references alone.
+to them together, so the jobs follow the depth of the references alone. Slices meet as one hash of their key first: one whose key is
+met once is a distinct tuple as it stands, so only the others are compared by all their values.
 """
 
 from __future__ import annotations
@@ -127,9 +128,10 @@ def table_specs(rules: DataFrame, keys: DataFrame, fks: DataFrame, by: Sequence[
 class Bulk:
     """Verdicts over all tables, which ``cat`` (a catalog's number) and ``shape`` name.
 
-    ``slices`` has ``cat, shape, row_idx, values``; ``tuples`` has a distinct one's first row, ``copies`` and ``n_empty`` (required
-    columns without a value); ``clashing`` those of conflicting keys with ``key``; ``lost`` has ``n, value`` of each reference
-    (place in ``specs.fks``) that no accepted parent holds, ``n_empty`` null where the tuple's key conflicts.
+    ``once`` has the slices that are tuples by themselves, as no other has their key's hash, and lack nothing; ``slices`` has all others,
+    of which ``several`` are the distinct ones. A tuple has its first row, ``copies`` and ``n_empty`` (required columns without a value); ``clashing``
+    has those of conflicting keys with ``key``; ``lost`` has ``n, value`` of each reference (place in ``specs.fks``) that no
+    accepted parent holds, ``n_empty`` null where the tuple's key conflicts.
     """
 
     by: list[str]
@@ -137,14 +139,19 @@ class Bulk:
     specs: DataFrame
     missing: DataFrame
     shapes: Facts
-    tuples: DataFrame
+    once: DataFrame
+    several: DataFrame
     clashing: Facts
     lost: DataFrame
 
+    @property
+    def tuples(self) -> DataFrame:
+        return self.once.unionByName(self.several)
+
     @property
     def accepted(self) -> DataFrame:
         """Accepted distinct tuples with the row they were first seen in."""
-        good = lookup(self.tuples.where("n_empty = 0"), self.clashing, _on(_TUPLE), ["key"], "copies", F.col("row_idx")).where("key IS NULL")
+        good = _keyed(self.once, self.several, self.clashing).where("n_empty = 0 AND key IS NULL")
         good = good.join(self.lost.select(*_TUPLE).hint("merge"), _TUPLE, "left_anti")
         return self._named(good, ["table", "names"]).select(*self.by, "table", "row_idx", "names", "values")
 
@@ -188,7 +195,7 @@ class Bulk:
         none = lambda kind: F.lit(None).cast(kind)
         places, lost = "array<int>", "struct<n:int,value:string>"
         conflict = self.clashing.df.select(*_TUPLE, "copies", "key", none(places).alias("places"), none(lost).alias("lost"))
-        blank = lookup(self.tuples.where("n_empty > 0"), self.clashing, _on(_TUPLE), ["key"], "copies", F.col("row_idx")).where("key IS NULL")
+        blank = lookup(self.several.where("n_empty > 0"), self.clashing, _on(_TUPLE), ["key"], "copies", F.col("row_idx")).where("key IS NULL")
         blank = _met(blank, self.shapes, ["shape"], ["required"])
         blank = blank.select(*_TUPLE, "copies", "key", F.filter("required", lambda i: is_empty(_value(i))).alias("places"), none(lost).alias("lost"))
         orphan = self.lost.where("n_empty IS NOT NULL").select(*_TUPLE, "copies", none("array<string>").alias("key"), none(places).alias("places"), F.struct("n", "value").alias("lost"))
@@ -209,7 +216,7 @@ class Bulk:
         why = stage(why, "rejected")
         # A tuple seen once is its first row; only the rows of repeated ones are looked up.
         rows = why.where("copies = 1").select(*self.by, *verdict, "row_idx")
-        again = why.where("copies > 1").join(self.tuples.where("copies > 1").select(*_TUPLE, "values"), _TUPLE)
+        again = why.where("copies > 1").join(self.several.where("copies > 1").select(*_TUPLE, "values"), _TUPLE)
         again = stage_facts(again.select("cat", "shape", "values", "copies", *self.by, *verdict), "repeated")
         if again.rows:
             found = lookup(self.slices, again, _on([*_TABLE, "values"]), [*self.by, *verdict], "copies", F.col("row_idx")).where("table IS NOT NULL")
@@ -224,6 +231,8 @@ class Bulk:
 
 #: Up to so many places of the widest table are written out as plain expressions, which Spark compiles; array functions are interpreted.
 UNROLLED = 16
+#: Hashes are the narrowest rows, so more of them than of other facts are broadcast, within the same bytes.
+BROADCAST_MARKS = 1_000_000
 _TABLE = ["cat", "shape"]
 _TUPLE = ["row_idx", "cat", "shape"]
 _COLUMN = ["cat", "owner", "part"]
@@ -237,22 +246,60 @@ def _value(i: Column) -> Column:
     return F.get(F.col("values"), i - 1)
 
 
-def _mark(width: int) -> Column:
-    """A hash of a tuple's whole key; null where the key has an empty part or the table no filled key."""
+def _stripped(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``strip`` of columns, each trimmed once: Spark computes a column that is referred to, a repeated expression at each place."""
+    trimmed = {c: f"_t_{c}" for c in columns}
+    rows = rows.withColumns({t: F.trim(F.col(c)) for c, t in trimmed.items()})
+    return rows.withColumns({c: strip(F.col(c), F.col(t)) for c, t in trimmed.items()}).drop(*trimmed.values())
+
+
+def _mark(width: int, kept: Sequence[Column] | None = None) -> Column:
+    """A hash of a tuple's whole key; null where the key has an empty part or the table no filled key. ``kept`` has its stripped parts."""
     if width > UNROLLED:
         blank = F.exists("pk", lambda i: is_empty(_value(i)))
         return F.when(~blank, F.xxhash64(*_TABLE, F.transform("pk", lambda i: strip(_value(i)))))
     places = [F.get("pk", F.lit(i)) for i in range(width)]
-    blank = reduce(lambda x, y: x | y, [p.isNotNull() & is_empty(_value(p)) for p in places], F.lit(False))
-    return F.when(F.col("pk").isNotNull() & ~blank, F.xxhash64(*_TABLE, *[strip(_value(p)) for p in places]))
+    texts = kept or [strip(_value(p)) for p in places]
+    blank = reduce(lambda x, y: x | y, [p.isNotNull() & (t.isNull() | (t == "")) for p, t in zip(places, texts, strict=True)], F.lit(False))
+    return F.when(F.col("pk").isNotNull() & ~blank, F.xxhash64(*_TABLE, *texts))
 
 
-def _n_empty(width: int) -> Column:
-    """Required columns without a value."""
+def _n_empty(width: int, kept: Sequence[Column] | None = None) -> Column:
+    """Required columns without a value; ``kept`` has their values."""
     if width > UNROLLED:
         return F.size(F.filter("required", lambda i: is_empty(_value(i))))
     places = [F.get("required", F.lit(i)) for i in range(width)]
-    return reduce(lambda x, y: x + y, [F.when(p.isNotNull() & is_empty(_value(p)), 1).otherwise(0) for p in places], F.lit(0))
+    texts = kept or [_value(p) for p in places]
+    return reduce(lambda x, y: x + y, [F.when(p.isNotNull() & is_empty(t), 1).otherwise(0) for p, t in zip(places, texts, strict=True)], F.lit(0))
+
+
+def _marked(slices: DataFrame, pk: int, required: int) -> DataFrame:
+    """Slices with ``mark`` and ``n_empty``; ``pk`` and ``required`` are the longest lists of places."""
+    parts = [f"_pk{i}" for i in range(pk)] if pk <= UNROLLED else []
+    needs = [f"_required{i}" for i in range(required)] if required <= UNROLLED else []
+    slices = slices.withColumns({c: _value(F.get(of, F.lit(i))) for of, cols in (("pk", parts), ("required", needs)) for i, c in enumerate(cols)})
+    slices = _stripped(slices, parts)
+    return slices.withColumns({"mark": _mark(pk, [F.col(c) for c in parts]), "n_empty": _n_empty(required, [F.col(c) for c in needs])}).drop(*parts, *needs)
+
+
+def _keyed(once: DataFrame, several: DataFrame, clashing: Facts) -> DataFrame:
+    """Tuples with the ``key`` of those whose keys conflict, which are none of ``once``."""
+    told = lookup(several, clashing, _on(_TUPLE), ["key"], "copies", F.col("row_idx"))
+    return once.withColumn("key", F.lit(None).cast("array<string>")).unionByName(told)
+
+
+def _apart(slices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Slices that are tuples by themselves, as their key's hash is met once, without empty required columns; and the others.
+
+    Where too many hashes are met again to be broadcast, all slices are among the others.
+    """
+    again = slices.where("mark IS NOT NULL").groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = stage_facts(again, "again")
+    if again.rows > BROADCAST_MARKS or again.bytes > BROADCAST_BYTES:
+        return slices.where("false").withColumn("copies", F.lit(1).cast("long")), slices
+    told = lookup(slices, again, _on(["mark"]), ["n"], broadcast_rows=BROADCAST_MARKS)
+    alone = F.col("mark").isNotNull() & F.col("n").isNull() & (F.col("n_empty") == 0)
+    return told.where(alone).drop("n").withColumn("copies", F.lit(1).cast("long")), stage(told.where(~alone).drop("n"), "others")
 
 
 def _met(left: DataFrame, known: Facts, keys: list[str], facts: list[str]) -> DataFrame:
@@ -304,27 +351,28 @@ def validate_tables(rows: DataFrame, rules: DataFrame, keys: DataFrame, fks: Dat
     values = F.transform("sources", lambda s: F.try_element_at("cells", s))
     if 0 < widest["sources"] <= UNROLLED:
         values = F.slice(F.array(*[F.try_element_at("cells", F.get("sources", F.lit(i))) for i in range(widest["sources"])]), F.lit(1), F.size("sources"))
-    slices = _met(met, shapes, ["shape"], ["sources"]).select(*_TABLE, "row_idx", values.alias("values"))
-    tuples = slices.groupBy(*_TABLE, "values").agg(F.min("row_idx").alias("row_idx"), F.count(F.lit(1)).alias("copies"))
-    tuples = _met(tuples, shapes, ["shape"], ["required", "pk"])
+    slices = _met(met, shapes, ["shape"], ["sources", "required", "pk"]).withColumn("values", values)
+    slices = stage(_marked(slices, widest["pk"], widest["required"]).select(*_TABLE, "row_idx", "values", "mark", "n_empty"), "slices")
+    once, slices = _apart(slices)
+    several = slices.groupBy(*_TABLE, "values").agg(
+        F.min("row_idx").alias("row_idx"), F.count(F.lit(1)).alias("copies"), F.first("mark").alias("mark"), F.first("n_empty").alias("n_empty"))
+    several = stage(several, "several")
     told = lambda rows: rows.withColumn("key", F.transform("pk", lambda i: strip(_value(i))))
-    tuples = tuples.withColumn("mark", _mark(widest["pk"])).withColumn("n_empty", _n_empty(widest["required"]))
-    tuples = stage(tuples.select(*_TABLE, "row_idx", "copies", "values", "mark", "n_empty"), "tuples")
 
     # Keys meet as one hash; those met more than once are compared as they are.
-    met = tuples.where("mark IS NOT NULL").groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    doubtful = lookup(tuples, met, _on(["mark"]), ["n"], "n", F.col("row_idx")).where("n IS NOT NULL")
+    met = several.where("mark IS NOT NULL").groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    doubtful = lookup(several, met, _on(["mark"]), ["n"], "n", F.col("row_idx")).where("n IS NOT NULL")
     doubtful = stage(told(_met(doubtful, shapes, ["shape"], ["pk"])).select(*_TUPLE, "copies", "n_empty", "key"), "doubtful")
     keyed = doubtful.groupBy(*_TABLE, "key").agg(F.count(F.lit(1)).alias("variants"), F.sum("copies").alias("copies")).where("variants > 1")
     clashing = lookup(doubtful, keyed, _on([*_TABLE, "key"]), ["variants"], "copies", F.col("row_idx")).where("variants IS NOT NULL")
     clashing = stage_facts(clashing.drop("variants"), "clashing")
 
     # Each reference and each value that may be referred to: one narrow row, in a folder of the parent's level.
-    flagged = lookup(tuples, clashing, _on(_TUPLE), ["key"], "copies", F.col("row_idx"))
+    flagged = _keyed(once, several, clashing)
     flagged = flagged.withColumn("n_empty", F.when(F.col("key").isNull(), F.col("n_empty")))
     links = _met(flagged, shapes, ["shape"], ["links"]).select(*_TUPLE, "copies", "n_empty", "values", F.explode("links").alias("to"))
     links = links.where("to.n IS NOT NULL OR n_empty = 0").select(*_TUPLE, "copies", "n_empty", "to.n", "to.owner", "to.part", "to.lv", _value(F.col("to.at")).alias("value"))
-    links = links.where(~is_empty(F.col("value"))).withColumns({"value": strip(F.col("value")), "asks": F.col("n").isNotNull()})
+    links = _stripped(links.where(~is_empty(F.col("value"))), ["value"]).withColumn("asks", F.col("n").isNotNull())
     links = stage(links, "links", ["asks", "lv"])
     links = links.withColumn("meant", F.xxhash64(*_COLUMN, "value"))
     asking, offered = links.where("asks"), links.where("NOT asks")
@@ -345,4 +393,4 @@ def validate_tables(rows: DataFrame, rules: DataFrame, keys: DataFrame, fks: Dat
         known = held.groupBy(*_COLUMN).agg(F.lit(True).alias("known"))
         gone = lookup(gone, known, _on(_COLUMN), ["known"]).where("known")
         lost = lost.unionByName(stage(gone.select(*told), "lost"))
-    return Bulk(by, slices, specs, missing_required(rules, by), shapes, tuples, clashing, lost)
+    return Bulk(by, slices, specs, missing_required(rules, by), shapes, once, several, clashing, lost)

@@ -126,3 +126,19 @@ def test_written_out_places_equal_array_functions(spark, monkeypatch):
     plain = asked()
     monkeypatch.setattr(bulk, "UNROLLED", 0)
     assert plain == asked() and [tuple(r) for r in plain] == [(True, 1), (True, 0), (True, 0), (False, 0)]
+
+
+def test_slices_with_a_key_of_their_own_are_tuples_as_they_stand(spark, monkeypatch):
+    rows = [(1, 1, 1, ["a", "x"], 10, 0), (1, 1, 2, ["b", "x"], 20, 0), (1, 1, 3, ["b", "y"], 20, 0), (1, 1, 4, ["c", ""], 30, 1), (1, 1, 5, ["", "z"], None, 0)]
+    df = spark.createDataFrame(rows, "cat long, shape long, row_idx long, values array<string>, mark long, n_empty int")
+    once, others = bulk._apart(df)
+    assert [tuple(r) for r in once.select("row_idx", "copies").collect()] == [(1, 1)] and sorted(r["row_idx"] for r in others.collect()) == [2, 3, 4, 5]
+    monkeypatch.setattr(bulk, "BROADCAST_MARKS", 0)
+    wide = bulk._apart(df)
+    assert wide[0].isEmpty() and wide[0].schema.names == once.schema.names and wide[1].count() == 5
+
+
+def test_only_slices_that_meet_or_lack_something_are_grouped(both):
+    got = both[0]
+    assert got.once.where("mark IS NULL OR n_empty > 0 OR copies > 1").isEmpty() and not got.once.isEmpty()
+    assert got.several.join(got.once, "mark", "left_semi").isEmpty() and got.slices.count() + got.once.count() == got.tuples.agg({"copies": "sum"}).first()[0]
