@@ -23,6 +23,11 @@ HOT_SHARE = 2_000
 SALTS = 256
 
 
+def is_wide(right: Facts, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``lookup`` of these facts moves the left rows."""
+    return right.rows > rows or right.bytes > BROADCAST_BYTES
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame | Facts,
@@ -52,7 +57,7 @@ def lookup(
     side = fixed.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *facts)
     match = [F.col(lk[k]) == F.col(f"__r_{k}") for k in keys]
     spare = [*lk.values(), *[f"__r_{k}" for k in keys]]
-    if size <= broadcast_rows and right.bytes <= BROADCAST_BYTES:
+    if not is_wide(right, broadcast_rows):
         return rows.join(F.broadcast(side), match, "left").drop(*spare)
 
     # Told to meet in a shuffle: by the size of its compressed files Spark would broadcast a side that has been found too wide.

@@ -84,6 +84,25 @@ def number(df: DataFrame, by: Sequence[str], position: str, out: str, depth: int
     return running(df, by, position, [Running(out, "sum", F.lit(1).cast("long"))], depth)
 
 
+def batched(df: DataFrame, position: str, size: int) -> DataFrame:
+    """Add the gap-free rank ``__rn`` of ``position`` (unique), its 0-based ``__batch`` of ``size`` ranks, the ``__bucket`` of its window, and ``__whole``.
+
+    A ``__whole`` batch is full and has all its rows in one bucket, so grouping by ``__bucket`` and ``__batch`` gathers it where
+    the window left it. The others hold at most two batches of any bucket.
+    """
+    rows = df.withColumn("__bucket", F.shiftright(F.col(position), BITS))
+    totals = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    totals = running(totals, [], "__bucket", [Running("__before", "sum", F.col("__n"), strict=True)], depth=1)
+    totals = totals.select(F.col("__bucket").alias("__r"), "__n", F.coalesce("__before", F.lit(0)).alias("__before"))
+    placed = rows.join(totals, F.col("__bucket") == F.col("__r"), "left").drop("__r")
+    local = F.count(F.lit(1)).over(_window("__bucket", position, False, False))
+    placed = placed.withColumn("__rn", F.col("__before") + local)
+    placed = placed.withColumn("__batch", F.floor((F.col("__rn") - 1) / F.lit(size)).cast("long"))
+    first, last = F.col("__batch") * size + 1, (F.col("__batch") + 1) * size
+    placed = placed.withColumn("__whole", (first > F.col("__before")) & (last <= F.col("__before") + F.col("__n")))
+    return placed.drop("__n", "__before")
+
+
 def number_by_order(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """Gap-free 1-based numbering along any total order.
 

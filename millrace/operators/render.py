@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from millrace.functions.literals import filled_literal, literal, quote_identifier
 from millrace.functions.text import is_empty
 from millrace.operators.lookup import lookup
-from millrace.operators.prefix import number, number_by_order
+from millrace.operators.prefix import batched, number_by_order
 from millrace.operators.validate import ROW, Validation
-from millrace.session import stage, stage_facts
+from millrace.session import stage, stage_facts, stage_parts
 from millrace.target import Column, Fill, Table
 
 BATCH_ROWS = 1000
@@ -97,17 +97,15 @@ def statements(
     """``batch, n_rows, text``, one multi-row INSERT per batch."""
     columns = inserted_columns(valid, table, fill) if columns is None else columns
     cells = [F.concat(F.lit("    "), value_expr(valid, table, fill, c, numeric)) for c in columns]
-    rows = valid.select(ROW, F.concat(F.lit("(\n"), F.concat_ws(",\n", *cells), F.lit("\n)")).alias("tuple"))
-    batched = number(rows, [], ROW, "rn").withColumn(
-        "batch", F.floor((F.col("rn") - 1) / F.lit(batch_size)).cast("long")
-    )
     names = ",\n".join(f"    {quote_identifier(c.name, dialect)}" for c in columns)
     head = f"INSERT INTO {table_name(table, dialect)}\n(\n{names}\n)\nVALUES\n"
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rn", "tuple"))), lambda s: s["tuple"])
-    return batched.groupBy("batch").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.concat(F.lit(head), F.array_join(ordered, ",\n"), F.lit(";")).alias("text"),
-    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("__rn", "tuple"))), lambda s: s["tuple"])
+    told = [F.count(F.lit(1)).alias("n_rows"), F.concat(F.lit(head), F.array_join(ordered, ",\n"), F.lit(";")).alias("text")]
+    # Values are moved to their numbers once and become text there; only batches at the borders of buckets meet as text.
+    rows = batched(valid, ROW, batch_size)
+    rows = rows.select("__bucket", F.col("__batch").alias("batch"), "__whole", "__rn", F.concat(F.lit("(\n"), F.concat_ws(",\n", *cells), F.lit("\n)")).alias("tuple"))
+    inside = rows.where("__whole").groupBy("__bucket", "batch").agg(*told).drop("__bucket")
+    return inside.unionByName(rows.where("NOT __whole").groupBy("batch").agg(*told))
 
 
 def fill_rule(table: Table, fill: Fill, c: Column, inserted: bool) -> tuple[str, str | None]:
@@ -228,10 +226,9 @@ def script(
         total = valid.agg(F.concat(F.lit("-- Valid Rows to Insert: "), F.count(F.lit(1)).cast("string")).alias("text"))
         inserts = statements(valid, table, fill, dialect, batch_size, columns, numeric)
         spaced = F.concat(F.when(F.col("batch") > 0, F.lit("\n")).otherwise(F.lit("")), F.col("text"))
-        parts += [
-            total.select(*place, F.lit(1).cast("long").alias("part"), F.lit(0).cast("long").alias("item"), "text"),
-            inserts.select(*place, F.lit(3).cast("long").alias("part"), F.col("batch").alias("item"), spaced.alias("text")),
-        ]
+        total = total.select(*place, F.lit(1).cast("long").alias("part"), F.lit(0).cast("long").alias("item"), "text")
+        inserts = inserts.select(*place, F.lit(3).cast("long").alias("part"), F.col("batch").alias("item"), spaced.alias("text"))
+        parts.append(total.unionByName(inserts))
     if use_transaction:
         frame += _lines([COMMIT, ""], 2, 0, 0)
     if include_report:
@@ -240,7 +237,7 @@ def script(
         parts += report_parts
     parts.append(_frame(spark, frame))
     # Ordering samples its input first, so the lines are staged rather than made twice.
-    return stage(reduce(DataFrame.unionByName, parts), "script")
+    return stage_parts(parts, "script")
 
 
 def ordered(lines: DataFrame) -> DataFrame:
@@ -303,13 +300,14 @@ def _report(
         rejected = stage(check.counts.where(F.col("rejected_rows") > 0), "rejected")
         row = F.col("row_index")
         title = F.concat(F.lit(f"-- [Table: {name}] Rejected Rows: "), F.col("rejected_rows").cast("string"))
-        parts += [
+        told = (
             lines_of(rejected, 0, title, F.lit(0)),
             lines_of(check.pk_errors, 1, F.concat(F.lit("--   PRIMARY KEY CONFLICT: "), F.col("reason")), row),
             lines_of(check.fk_errors, 2, F.concat(F.lit("--   FOREIGN KEY ERROR: Row "), row.cast("string"), F.lit(" - "), F.col("reason")), row),
             lines_of(check.null_errors, 3, F.concat(F.lit("--   NOT NULL ERROR: "), F.col("reason")), row),
             lines_of(rejected, 4, F.lit("--"), F.lit(0)),
-        ]
+        )
+        parts.append(reduce(DataFrame.unionByName, told))
     tail = ["", RULE, "-- UNMAPPED EXCEL COLUMNS", RULE]
     for header in unmapped:
         tail += [

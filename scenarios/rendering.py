@@ -9,7 +9,7 @@ from millrace.functions.literals import boolean_literal, date_literal, float_lit
 from millrace.operators import render as R
 from millrace.operators.prefix import number, number_by_order
 from millrace.operators.validate import validate
-from millrace.session import stage
+from millrace.session import stage, staging
 from millrace.target import Action, Column, Table, fill
 from scenarios.base import positioned, query, table
 from scenarios.validation import SHEET_SQL, sales, sales_fill
@@ -72,8 +72,10 @@ def insert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o12_script")
 def script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole sales script with its report."""
-    return R.ordered(R.script(sales(spark, sf_dir), sales_fill(), include_report=True, unmapped=["l_tax"]))
+    """The whole sales script with its report. What the steps staged goes when its lines are written."""
+    with staging(spark) as kept:
+        lines = kept(R.script(sales(spark, sf_dir), sales_fill(), include_report=True, unmapped=["l_tax"]))
+    return R.ordered(lines)
 
 
 @query(

@@ -117,7 +117,7 @@ li_flag AS (
 
 
 def sales(spark: SparkSession, sf_dir: str, sheet: DataFrame | None = None) -> Validation:
-    sheet = stage(sales_sheet(spark, sf_dir), "sheet") if sheet is None else sheet
+    sheet = stage(sales_sheet(spark, sf_dir), "sheet", compact=True) if sheet is None else sheet
     return validate(sheet, [LINEITEM, ORDERS, CUSTOMER, SHIPMENT], fill(MAPPINGS))
 
 
