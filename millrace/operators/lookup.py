@@ -21,6 +21,8 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 #: A key with more than one in so many left rows is hot; there are fewer such keys than this.
 HOT_SHARE = 2_000
 SALTS = 256
+#: Where a lookup is written, left rows move in so many turns, each with its own keys.
+SLICES = 2
 
 
 def is_wide(right: Facts, rows: int = BROADCAST_ROWS) -> bool:
@@ -28,6 +30,16 @@ def is_wide(right: Facts, rows: int = BROADCAST_ROWS) -> bool:
     return right.rows > rows or right.bytes > BROADCAST_BYTES
 
 
+def slices(left: DataFrame, right: Facts, on: Sequence[tuple[Column, str]]) -> list[tuple[DataFrame, Facts]]:
+    """Both sides of a wide lookup by the hash of the key; what the right side is known to measure stays."""
+
+    def turn(keys: Sequence[Column], i: int) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(SLICES)) == F.lit(i)
+
+    exprs, names = [e for e, _ in on], [F.col(name) for _, name in on]
+    return [(left.where(turn(exprs, i)), Facts(right.df.where(turn(names, i)), right.rows, right.bytes)) for i in range(SLICES)]
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame | Facts,

@@ -124,13 +124,13 @@ def discard(staged: DataFrame) -> None:
 
 @dataclass
 class Steps:
-    """Stages one step of a job after another; a step goes as soon as the next one is written."""
+    """Stages one step of a job after another, each in parts; a step goes as soon as the next one is written."""
 
     label: str
     last: DataFrame | None = None
 
-    def __call__(self, df: DataFrame) -> DataFrame:
-        written = stage(df, self.label, compact=True)
+    def __call__(self, parts: Sequence[DataFrame]) -> DataFrame:
+        written = stage_parts(parts, self.label)
         self.done()
         self.last = written
         return written

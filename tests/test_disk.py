@@ -20,8 +20,11 @@ SF = "/root/testdata/sf0.001"
 
 
 def held(spark):
-    found = os.listdir(shared_dir(spark)) if os.path.isdir(shared_dir(spark)) else []
-    return {name.rsplit("-", 1)[0]: name for name in found}
+    return set(os.listdir(shared_dir(spark)) if os.path.isdir(shared_dir(spark)) else [])
+
+
+def labels_since(spark, before):
+    return [name.rsplit("-", 1)[0] for name in held(spark) - before]
 
 
 def shuffle_files(spark):
@@ -40,26 +43,26 @@ def test_compact_tables_leave_no_shuffle_files(spark):
 
 
 def test_steps_and_staging_delete_what_is_read_no_more(spark):
+    before = held(spark)
     with staging(spark) as kept:
         steps, at = Steps("step"), spark.range(10)
         for _ in range(3):
-            at = steps(at.withColumn("id", F.col("id") + 1))
+            at = steps([at.where(F.col("id") % 2 == k).withColumn("id", F.col("id") + 1) for k in (0, 1)])
         last = kept(stage(at, "last"))
         steps.done()
-        names = held(spark)
-        assert "step" not in names and "last" in names
+        assert labels_since(spark, before) == ["last"]
         stage(at.sparkSession.range(3), "other")
-    assert "other" not in held(spark) and sorted(r["id"] for r in last.collect()) == list(range(3, 13))
+    assert labels_since(spark, before) == ["last"] and sorted(r["id"] for r in last.collect()) == list(range(3, 13))
     discard(last)
-    assert "last" not in held(spark)
+    assert not labels_since(spark, before)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
 def test_a_script_leaves_its_lines_alone(spark):
     with staging(spark):
-        before = set(held(spark).values())
+        before = held(spark)
         lines = all_queries()["o12_script"](spark, SF)
-        assert [name.rsplit("-", 1)[0] for name in set(held(spark).values()) - before] == ["script"]
+        assert labels_since(spark, before) == ["script"]
         assert lines.where("section = 1 AND part = 3").count() == lines.where("text LIKE '%INSERT INTO%'").count() > 0
 
 
@@ -100,9 +103,9 @@ def test_verdicts_of_wide_facts_in_steps(spark, monkeypatch, limit):
     sheet = spark.createDataFrame(rows, "row_idx long, n string, c string, t string, h string, l string")
     maps = {"Dock": {"c": "Code", "t": "Town"}, "Ship": {"h": "Hull", "l": "Line"}, "Call": {"n": "No", "c": "Code", "h": "Hull"}}
     with staging(spark):
-        before = set(held(spark).values())
+        before = held(spark)
         result = validate(sheet, [call, dock, ship], fill(maps))
-        left = {name.rsplit("-", 1)[0] for name in set(held(spark).values()) - before}
+        left = labels_since(spark, before)
         assert not any(name.startswith(("tuples", "met")) for name in left)
         check = result.checks["call"]
         assert check.tuples.agg({"copies": "sum"}).first()[0] == 41
@@ -114,5 +117,16 @@ def test_verdicts_of_wide_facts_in_steps(spark, monkeypatch, limit):
         check.write_failing()
         assert {r["row_index"] for r in check.fk_errors.collect()} == {i for i in want if i not in conflicts}
         assert sorted(r["row_index"] for r in check.pk_errors.collect()) == [3, 5]
-        left = {name.rsplit("-", 1)[0] for name in set(held(spark).values()) - before}
+        left = labels_since(spark, before)
         assert "met-call" not in left
+
+
+def test_a_slice_without_rows(spark, monkeypatch):
+    """All rows hold one key, so the other slices of a wide lookup are empty."""
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    one = Table("One", (Column("K", "int", False), Column("V", "varchar(9)", False)), ("K",))
+    sheet = spark.createDataFrame([(i, "7", f"v{i}") for i in range(1, 30)], "row_idx long, k string, v string")
+    check = validate(sheet, [one], fill({"One": {"k": "K", "v": "V"}})).checks["one"]
+    assert (check.accepted.rows, check.judged.count(), check.conflicts.rows) == (0, 29, 1)
+    assert sorted(r["row_index"] for r in check.pk_errors.collect()) == list(range(2, 30))
+    assert check.counts.first()["rejected_rows"] == 29
